@@ -44,3 +44,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = exact_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("full").alias("text_sha256"))
+
+
+@query("op8_simhash_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold, identify
+
+    found = identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
