@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ROW, numbered
+from .common import BLANKS, ROW, numbered, stage
 
 PREFIX_CHARS = 64
 
@@ -57,7 +57,7 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     Returns __row, id, keep_id, group_size, kept, full. An empty table gives no rows; columns with other
     names are ignored. Since the digest of every row is asked for, the full hash is taken in the one scan.
     """
-    keys = text_keys(numbered(docs), text, id_col, full=True)
+    keys = stage(text_keys(numbered(docs), text, id_col, full=True), "text-keys")
     groups = copy_groups(survivors(keys))
     joined = keys.join(groups, "full", "left")
     return joined.select(
@@ -76,7 +76,7 @@ def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     Only survivors of the length and prefix stages have their text read again for the full hash.
     """
     rows = numbered(docs)
-    alive = survivors(text_keys(rows, text, id_col))
+    alive = survivors(stage(text_keys(rows, text, id_col), "text-keys"))
     texts = rows.select(ROW, F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("full"))
     alive = alive.join(texts, ROW)
     losers = alive.join(copy_groups(alive), "full").filter(F.col("keep_row") != F.col(ROW)).select(ROW)
