@@ -92,3 +92,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddings import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings")).select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    found = extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
