@@ -100,3 +100,32 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = extract(table(spark, sf_dir, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "op10_line_dedup",
+    r"""
+    WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    w AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS start FROM l WHERE len(lines) >= 3),
+    k AS (SELECT doc_id, start, array_to_string(lines[start + 1:start + 3], chr(10)) AS part FROM w),
+    later AS (SELECT doc_id, start FROM k QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, start) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest([start, start + 1, start + 2]) AS i FROM later),
+    e AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM l),
+    s AS (SELECT e.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+                 coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE gone.i IS NULL), '') AS kept
+          FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.i = gone.i GROUP BY e.doc_id)
+    SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM s
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
