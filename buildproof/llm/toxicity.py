@@ -15,22 +15,30 @@ TRAIN_DOCS = 4000
 FOLDS = 4
 #: Hash buckets of words, and how many of them a model keeps.
 BUCKETS, KEPT = 1 << 18, 3000
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
+#: Lengths of the beginnings of words that are features too.
+STEMS = (3, 4, 5, 6, 7)
 
 _LETTERS = bytes(b if 48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 else 32 for b in range(256))
-_words: dict[bytes, int] = {}
+_words: dict[bytes, tuple[int, ...]] = {}
+
+
+def _buckets(word: bytes) -> tuple[int, ...]:
+    """Buckets of a word and of its beginnings, which carry the stem in inflected languages."""
+    chars = word.decode(errors="replace")
+    return (zlib.crc32(word) % BUCKETS, *[zlib.crc32(f"{chars[:k]}-".encode()) % BUCKETS for k in STEMS if k <= len(chars)])
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of the distinct words of a whole text, a few shares that describe its form)."""
+    """(buckets of the distinct words of a whole text and of their beginnings, a few shares that describe its form)."""
     text = text or b""
     words = text.translate(_LETTERS).lower().split()
     distinct = set(words)
     if len(_words) + len(distinct) > REMEMBERED:
         _words.clear()
     for w in distinct.difference(_words):
-        _words[w] = zlib.crc32(w) % BUCKETS
-    buckets = np.unique(np.fromiter(map(_words.__getitem__, distinct), np.int32, len(distinct)))
+        _words[w] = _buckets(w)
+    buckets = np.array(sorted(set().union(*map(_words.__getitem__, distinct))), np.int32)
     n = max(len(text), 1)
     upper = len(text) - len(text.translate(None, bytes(range(65, 91))))
     signs = len(text.translate(None, bytes(b for b in range(256) if chr(b).isalnum() or b >= 128 or b in b" \t\n\r.,")))
