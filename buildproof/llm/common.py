@@ -34,7 +34,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Add a row number that tells repeated rows and null ids apart. It is stable as long as the table's files are."""
+    """Add a row number that tells repeated rows and null ids apart.
+
+    It is stable as long as the table's files and their splits are. Splits follow the number of cores unless it is
+    fixed, so it is fixed here: executors that come or go must not renumber a later scan.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.files.minPartitionNum", None) is None:
+        conf.set("spark.sql.files.minPartitionNum", str(df.sparkSession.sparkContext.defaultParallelism))
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 

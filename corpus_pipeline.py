@@ -2,13 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from buildproof.llm.common import stage
 from buildproof.llm.exact_dedup import drop_copies
+from buildproof.llm.langid import drop_unknown
+from buildproof.llm.packing import pack
+from buildproof.llm.simhash import drop_near_copies
+from buildproof.llm.suffix_dedup import drop_repeats
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those that are null or hold no letter go."""
+    return drop_unknown(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal but for white space."""
+    return drop_copies(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_copies(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 200 bytes and more that occur anywhere else."""
+    return drop_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
 
 STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: drop_copies(docs)),
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", packing),
 ]
 
 #: The stages use learned weights, byte spans and a packing program, which SQL can't express.
