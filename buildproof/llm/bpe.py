@@ -10,17 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered
+from .common import ROW, numbered, slices
 
 #: Texts of more bytes are cut into pieces that are encoded in parallel.
 PIECE = 32_768
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Tokens on either side of a join in the first window; the window doubles until both sides agree.
 WINDOW = 8
 #: Characters of one class that a cut needs on both sides.
 MARGIN = 3
 
+#: Letters that the normaliser only puts in lower case, and a sign that is a pre-token of its own.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 _BLANK = re.compile(r"[\x20\t\n\x0b\x0c\r]")
 
 
@@ -46,6 +48,38 @@ class Codec:
         self.plain.normalizer = normalizers.Sequence([])
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.memory: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.signs = {s: np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in ("", *".,;:!?")}
+        self.is_end = np.zeros(self.whole.get_vocab_size(), bool)
+        self.is_end[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Remember the ids of lower-case words of letters. Each is one pre-token, so its last id alone ends a word."""
+        for start in range(0, len(words), 256):
+            part = words[start : start + 256]
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+                made = [raw[x:y] for x, y in zip(at, at[1:])]
+            else:
+                made = [np.array(self.plain.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
+            self.words.update(zip(part, made))
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Remember the ids of chunks. A word of plain letters, with one sign after it or none, is made of their ids."""
+        texts = [m.decode() for m in missing]
+        split = [_SIMPLE.fullmatch(t) for t in texts]
+        need = {m[1].lower() for m in split if m}
+        if len(self.words) + len(need) > REMEMBERED:
+            self.words.clear()
+        self._learn_words(list(need.difference(self.words)))
+        rest = [k for k, m in enumerate(split) if m is None]
+        for k, e in zip(rest, self.whole.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            self.memory[missing[k]] = np.array(e.ids, "<u4").tobytes()
+        for chunk, m in zip(missing, split):
+            if m:
+                self.memory[chunk] = self.words[m[1].lower()] + self.signs[m[2]]
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts; unknown chunks are asked for together."""
@@ -57,8 +91,7 @@ class Codec:
                 if len(self.memory) + len(missing) > REMEMBERED:
                     self.memory.clear()
                     missing = list(set().union(*chunks))
-                for chunk, e in zip(missing, self.whole.encode_batch_fast([m.decode() for m in missing], add_special_tokens=False)):
-                    self.memory[chunk] = np.array(e.ids, "<u4").tobytes()
+                self._learn(missing)
             out += [b"".join(map(self.memory.__getitem__, c)) for c in chunks]
         return out
 
@@ -192,7 +225,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
 
     def short(batches):
         codec = codec_of(path)
-        for b in batches:
+        for b in slices(batches):
             ids = codec.encode_many(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=[ROW, "id", "ids"])
 
@@ -249,7 +282,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         codec = codec_of(path)
         pieces = decoder_of(codec)
-        for b in batches:
+        for b in slices(batches):
             texts = [pieces(np.frombuffer(x, "<u4").tolist()) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*fields, "decoded"])
 

@@ -40,6 +40,8 @@ def numbered(df: DataFrame) -> DataFrame:
     fixed, so it is fixed here: executors that come or go must not renumber a later scan.
     """
     conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":  # the default, for rows that are whole texts
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     if conf.get("spark.sql.files.minPartitionNum", None) is None:
         conf.set("spark.sql.files.minPartitionNum", str(df.sparkSession.sparkContext.defaultParallelism))
     return df.withColumn(ROW, F.monotonically_increasing_id())
@@ -60,3 +62,10 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+def slices(batches, rows: int = 256):
+    """Batches of a few rows each, so that what is made of them is small as well."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
