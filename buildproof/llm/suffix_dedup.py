@@ -14,15 +14,16 @@ DEPTH = 200
 #: Bytes of the strings whose hashes pick a window's anchor.
 GRAM = 32
 #: Bytes of text that are looked at together in a task.
-BLOCK = 1 << 20
-#: Anchors in more different contexts than this are told apart by their windows' hashes.
-CROWD = 1000
+BLOCK = 1 << 19
+#: Anchors in more different contexts than this are told apart further: first by sections of so many
+#: windows, each with the hash of the bytes that all these windows share, then by single windows.
+CROWD, SECTION = 1000, 16
 
 _LOW = np.uint64(BLOCK * 2 - 1)
 
 
 def anchors(texts: list[bytes], depth: int = DEPTH):
-    """(text, first start, last start, gram hash) of every anchor of every text.
+    """(text, first start, last start, place, gram hash) of every anchor of every text.
 
     The anchor of a window of `depth` bytes is the gram with the least hash in it, the leftmost of equals. It depends on
     the window's bytes alone, so equal windows have equal anchors, at the same place in them. Windows that
@@ -65,11 +66,11 @@ def _anchors(units, depth):
     lo, hi, h = starts[first], starts[last], gram[anchor[first]].astype(np.int64)
     unit = owner[lo]
     text, base = np.array([u[0] for u in units])[unit], np.array([u[1] for u in units])[unit] - start[unit]
-    yield text, lo + base, hi + base, h
+    yield text, lo + base, hi + base, anchor[first] + base, h
 
 
 def _anchor_rows(docs: DataFrame, depth: int) -> DataFrame:
-    """h: anchor's hash; x: hash of its context, the bytes of all its windows; q: first start << 16 | further starts."""
+    """h: anchor's hash; x: hash of its context, the bytes of all its windows; q: first start << 16 | distance of the anchor from it << 8 | further starts."""
 
     def run(batches):
         import xxhash
@@ -77,9 +78,9 @@ def _anchor_rows(docs: DataFrame, depth: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         for b in batches:
             texts = b.column(1).to_pylist()
-            for text, lo, hi, h in anchors(texts, depth):
+            for text, lo, hi, at, h in anchors(texts, depth):
                 x = np.array([digest(texts[k][a:z]) for k, a, z in zip(text.tolist(), lo.tolist(), (hi + depth).tolist())], np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x.astype(np.int64)), b.column(0).take(pa.array(text)), pa.array((lo << 16) | (hi - lo))], names=["h", "x", ROW, "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x.astype(np.int64)), b.column(0).take(pa.array(text)), pa.array((lo << 16) | ((at - lo) << 8) | (hi - lo))], names=["h", "x", ROW, "q"])
 
     return docs.mapInArrow(run, f"h long, x long, {ROW} long, q long")
 
@@ -105,32 +106,40 @@ def _runs(starts: np.ndarray) -> list[int]:
 
 
 def _contexts(firsts: DataFrame, packed: DataFrame, depth: int) -> DataFrame:
-    """The bytes of each context that an anchor occurs in, read at one place of it; of crowded anchors, hashes of its windows instead."""
+    """The bytes of each context that an anchor occurs in, read at one place of it; of crowded anchors, the bytes of each section.
+
+    i: the first window of a section, null for a whole context. g: hash of anchor, section and the bytes that its
+    windows share; y: hash of all its bytes. Sections lie at fixed distances from the anchor, so equal windows are in sections of one g.
+    """
 
     def run(batches):
         import xxhash
         import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for b in batches:
             for z, firsts_of in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text, out = unpack(z), [[] for _ in range(7)]
+                text, rows = unpack(z), []
                 for f in firsts_of:
-                    lo, more = f["q"] >> 16, f["q"] & 0xFFFF
-                    if f["crowded"]:
-                        for i in range(more + 1):
-                            d = xxhash.xxh3_128_intdigest(text[lo + i : lo + i + depth])
-                            row = (f["h"], f["x"], f["n"], None, i, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63))
-                            for c, v in zip(out, row):
-                                c.append(v)
-                    else:
-                        for c, v in zip(out, (f["h"], f["x"], f["n"], text[lo : lo + more + depth], None, None, None)):
-                            c.append(v)
+                    lo, more, back = f["q"] >> 16, f["q"] & 0xFF, (f["q"] >> 8) & 0xFF
+                    if not f["crowded"]:
+                        rows.append((f["h"], f["x"], f["n"], text[lo : lo + more + depth], None, None, None))
+                        continue
+                    at = 0
+                    while at <= more:  # back - at: how far the anchor is from the window's start
+                        section = (back - at) // SECTION
+                        end = min(more, back - section * SECTION)
+                        wide = lo + back - section * SECTION
+                        core = text[wide : wide + depth - SECTION + 1]
+                        whole = text[lo + at : lo + end + depth]
+                        rows.append((f["h"], f["x"], f["n"], whole, at, signed(digest(b"%d %d " % (f["h"], section) + core)), signed(digest(whole))))
+                        at = end + 1
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["h", "x", "n", "bytes", "i", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["h", "x", "n", "bytes", "i", "g", "y"])
 
     per_row = firsts.groupBy(ROW).agg(F.collect_list(F.struct("h", "x", "n", "q", "crowded")).alias("firsts"))
-    return packed.join(per_row, ROW).select("z", "firsts").mapInArrow(run, "h long, x long, n long, bytes binary, i int, w1 long, w2 long")
+    return packed.join(per_row, ROW).select("z", "firsts").mapInArrow(run, "h long, x long, n long, bytes binary, i int, g long, y long")
 
 
 def _sorted_repeats(contexts: DataFrame, depth: int) -> DataFrame:
@@ -161,17 +170,43 @@ def _sorted_repeats(contexts: DataFrame, depth: int) -> DataFrame:
     return contexts.select("h", "x", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, x long, runs array<int>")
 
 
-def _crowded_repeats(windows: DataFrame) -> DataFrame:
-    """h, x and runs of repeated starts of crowded anchors, whose windows are counted one by one."""
+def _window_repeats(sections: DataFrame, depth: int) -> DataFrame:
+    """g, y and runs of repeated starts in sections of which too many share their core: windows are counted one by one."""
+
+    def windows(batches):
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for g, y, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                for i in range(len(data) - depth + 1):
+                    d = xxhash.xxh3_128_intdigest(data[i : i + depth])
+                    rows.append((g, y, n, i, (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["g", "y", "n", "i", "w1", "w2"])
 
     def run(batches):
         for b in batches:
             runs = [_runs(np.unique(np.array(s))) for s in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, pa.list_(pa.int32()))], names=["h", "x", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(runs, pa.list_(pa.int32()))], names=["g", "y", "runs"])
+
+    each = sections.select("g", "y", "n", "bytes").mapInArrow(windows, "g long, y long, n long, i int, w1 long, w2 long")
+    often = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
+    hit = each.join(often, ["w1", "w2"], "left_semi")
+    return hit.groupBy("g", "y").agg(F.collect_list("i").alias("starts")).mapInArrow(run, "g long, y long, runs array<int>")
+
 
-    often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    hit = windows.join(often, ["w1", "w2"], "left_semi")
-    return hit.groupBy("h", "x").agg(F.collect_list("i").alias("starts")).mapInArrow(run, "h long, x long, runs array<int>")
+def _crowded_repeats(sections: DataFrame, depth: int, crowd: int) -> DataFrame:
+    """h, x and runs of repeated starts of crowded anchors. Equal sections are counted first; few share a core."""
+    distinct = sections.groupBy("g", "y").agg(F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"))
+    distinct = stage(distinct, "sections")
+    many = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("g")
+    few = distinct.join(many, "g", "left_anti").select(F.col("g").alias("h"), F.col("y").alias("x"), "n", "bytes")
+    found = _sorted_repeats(few, depth).withColumnsRenamed({"h": "g", "x": "y"})
+    found = found.union(_window_repeats(distinct.join(many, "g", "left_semi"), depth))
+    shifted = F.transform("runs", lambda v, k: F.when(k % 2 == 0, v + F.col("i")).otherwise(v))
+    return sections.select("h", "x", "i", "g", "y").join(found, ["g", "y"]).select("h", "x", shifted.alias("runs"))
 
 
 def _merge(places: list[dict], depth: int) -> np.ndarray:
@@ -204,7 +239,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     firsts = firsts.join(crowded, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     packed = _packed(rows)
     contexts = stage(_contexts(firsts, packed, depth), "context-bytes")
-    marks = _sorted_repeats(contexts.filter("bytes is not null"), depth).union(_crowded_repeats(contexts.filter("bytes is null")))
+    marks = _sorted_repeats(contexts.filter("i is null"), depth).union(_crowded_repeats(contexts.filter("i is not null"), depth, crowd))
     places = found.join(marks, ["h", "x"]).groupBy(ROW).agg(F.collect_list(F.struct("q", "runs")).alias("places"))
 
     def cut(batches):

@@ -36,7 +36,7 @@ def corpus(seed=3):
     return texts + [texts[0], texts[3], texts[3], None, "", "x" * 1000, "ab" * 101 + "q", "short", make(9000)]
 
 
-@pytest.mark.parametrize("crowd", [1000, 5])
+@pytest.mark.parametrize("crowd", [1000, 5, 0])
 def test_removal_matches_plain_form(spark, crowd):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, x string")
@@ -50,7 +50,7 @@ def test_long_texts_are_cut_into_blocks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_LOW", np.uint64(4095))
     texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (0, 199, 200, 5000, 300)]
     starts = {k: [] for k in range(len(texts))}
-    for k, lo, hi, _ in anchors(texts):
+    for k, lo, hi, _, _ in anchors(texts):
         for a, b, c in zip(k.tolist(), lo.tolist(), hi.tolist()):
             starts[a] += range(b, c + 1)
     assert all(sorted(starts[k]) == list(range(max(len(t) - 199, 0))) for k, t in enumerate(texts))
