@@ -26,10 +26,18 @@ def negative_count(column: str) -> Column:
 
 
 def outside_domain(df: DataFrame, column: str, allowed: Sequence) -> Column:
-    """Count of values that are not null and not allowed. Allowed values take the column's type; one that can't never matches."""
+    """Count of values that are not null and not allowed.
+
+    Allowed values take the column's type; one that can't never matches. A null among them leaves every comparison
+    open, as NOT IN does, so that nothing counts.
+    """
+    if None in allowed:
+        return F.count_if(F.lit(False))
+    if not allowed:
+        return F.count(F.col(column))
     kind = df.schema[column].dataType.simpleString()
-    literals = [F.lit(str(a) if a is not None and kind == "string" else a).try_cast(kind) for a in allowed]
-    return F.count_if(F.col(column).isNotNull() & ~F.col(column).isin(*literals)) if literals else F.count(F.col(column))
+    literals = [F.lit(str(a) if kind == "string" else a).try_cast(kind) for a in allowed]
+    return F.count_if(F.col(column).isNotNull() & ~F.coalesce(F.col(column).isin(*literals), F.lit(False)))
 
 
 def outside_range(column: str, low=None, high=None) -> Column:

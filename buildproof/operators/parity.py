@@ -40,7 +40,7 @@ def key_text(df: DataFrame, column: str) -> Column:
     c, kind = F.col(column), df.schema[column].dataType
     text = c.cast("string")
     if isinstance(kind, T.NumericType) and not isinstance(kind, T.IntegralType):
-        text = F.when(c == F.floor(c), c.cast("decimal(38,0)").cast("string")).otherwise(text)
+        text = F.when((c % 1 == 0) & (F.abs(c) < 1e37), c.cast("decimal(38,0)").cast("string")).otherwise(text)
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
