@@ -15,7 +15,7 @@ from .common import ROW, numbered, slices
 #: Texts of more bytes are cut into pieces that are encoded in parallel.
 PIECE = 32_768
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Tokens on either side of a join in the first window; the window doubles until both sides agree.
 WINDOW = 8
 #: Characters of one class that a cut needs on both sides.
