@@ -30,7 +30,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table that stage() wrote, once all that was made of it has been written in turn."""
+    jvm = staged.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(staged._stage_path)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import discard, stage
 
 MAX_ROUNDS = 60
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(small.union(small_min.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, now = now, stage(small.union(small_min.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         before, seen = seen, _print(now)
         if before == seen:
             break

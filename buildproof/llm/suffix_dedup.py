@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, stage
+from .common import ROW, discard, numbered, stage
 from .suffix_array import range_hashes, repeated_starts
 
 DEPTH = 200
@@ -230,9 +230,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     numbers = numbered(docs)
     rows = numbers.select(ROW, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(id_col).alias("id"))
     id_type = rows.schema["id"].dataType.simpleString()
-    found = stage(_anchor_rows(rows.filter(F.octet_length("text") >= depth), depth), "anchors")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    found = stage(found.join(shared, "h", "left_semi"), "shared-anchors")
+    every = stage(_anchor_rows(rows.filter(F.octet_length("text") >= depth), depth), "anchors")
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    found = stage(every.join(shared, "h", "left_semi"), "shared-anchors")
+    discard(every)
     firsts = found.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW, "q")).alias("at")).select("h", "x", "n", f"at.{ROW}", "at.q")
     firsts = stage(firsts, "contexts")
     crowded = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("h", F.lit(True).alias("crowded"))
