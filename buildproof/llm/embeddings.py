@@ -27,9 +27,11 @@ def vectors_of(table: DataFrame, vector: str = "embedding", id_col: str = "vec_i
 
     def batch(b):
         column = b.column(2)
+        at, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+        numbers = column.values.to_numpy(zero_copy_only=False) + 0.0  # null components become NaN; no negative zero
         out, dims, ok = [], [], []
-        for v in column.to_pylist():
-            a = np.array([np.nan if x is None else x for x in v or []], np.float64) + 0.0  # no negative zero
+        for k in range(b.num_rows):
+            a = numbers[at[k] : at[k + 1]] if there[k] else numbers[:0]
             good = bool(len(a)) and bool(np.isfinite(a).all()) and bool(a.any())
             out.append(a.tobytes() if good else None)
             dims.append(len(a))
