@@ -87,7 +87,14 @@ def test_measured_plan(spark, sf_dir):
     flags = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey")
     facts = measured(items.crossJoin(flags))
     assert facts["most_rows"] == 30_000 and facts["bytes_read"] > 0
-    assert judge(facts, max_bytes=1) == {"P-COST-001": "WARN", "P-SPILL-001": "PASS", "P-CARD-001": "WARN"}
+    assert judge(facts, max_bytes=1) == {"P-PROF-001": "SKIP", "P-COST-001": "WARN", "P-SPILL-001": "PASS", "P-CARD-001": "WARN"}
+
+
+def test_partition_pruning(spark, tmp_path):
+    path = str(tmp_path / "parts")
+    spark.range(120).selectExpr("id", "id AS part").repartition(1).write.partitionBy("part").parquet(path)
+    assert judge(measured(spark.read.parquet(path)))["P-PROF-001"] == "WARN"
+    assert judge(measured(spark.read.parquet(path).filter("part < 110")))["P-PROF-001"] == "PASS"
 
 
 def test_stream_gives_the_batch_numbers(spark, sf_dir, tmp_path):
