@@ -42,6 +42,15 @@ def discard(staged: DataFrame) -> None:
     path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(grouped: DataFrame, *keys: str) -> DataFrame:
+    """Deal the result of a grouping out anew before it is joined on its keys.
+
+    Else the join would take over the grouping's partitions, and a join on top of a grouping can't be split where
+    one key of the other side is hot. The keys are distinct, so this small shuffle is even.
+    """
+    return grouped.repartition(F.xxhash64(*keys, F.lit(1)))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Add a row number that tells repeated rows and null ids apart.
 

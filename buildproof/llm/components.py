@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stage
+from .common import apart, discard, stage
 
 MAX_ROUNDS = 60
 
@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(apart(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(apart(small_min, "u"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, stage(small.union(small_min.select("u", F.col("m").alias("v"))).distinct(), "edges")
         discard(last)
         before, seen = seen, _print(now)

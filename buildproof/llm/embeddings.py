@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_map, numbered, stage
+from .common import ROW, apart, arrow_map, numbered, stage
 from .components import components
 
 THRESHOLD = 0.95
@@ -228,7 +228,7 @@ def near_vectors(table: DataFrame, vector: str = "embedding", id_col: str = "vec
     roots = components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = classes.join(degree, "node", "left").join(roots, "node", "left").select("v", "copies", "least", F.coalesce("far", F.lit(0)).alias("far"), F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = joined.join(least, "root").select("v", (F.col("copies") - 1 + F.col("far")).alias("n_links"), "component_id")
+    joined = joined.join(apart(least, "root"), "root").select("v", (F.col("copies") - 1 + F.col("far")).alias("n_links"), "component_id")
     out = rows.join(joined, "v", "left")
     out = out.select(ROW, "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))

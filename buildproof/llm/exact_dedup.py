@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ROW, numbered, stage
+from .common import BLANKS, ROW, apart, numbered, stage
 
 PREFIX_CHARS = 64
 
@@ -38,7 +38,7 @@ def survivors(keys: DataFrame) -> DataFrame:
     """
     for key in ("len", "pre"):
         shared = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key)
-        keys = keys.join(shared, key, "left_semi")
+        keys = keys.join(apart(shared, key), key, "left_semi")
     return keys
 
 
@@ -46,7 +46,8 @@ def copy_groups(alive: DataFrame) -> DataFrame:
     """One row per group of equal texts: its full hash, its size and the number and id of the row that stays."""
     first = F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"))
     groups = alive.groupBy("full").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("first"))
-    return groups.filter("group_size > 1").select("full", "group_size", F.col("first.row").alias("keep_row"), F.col("first.id").alias("keep_id"))
+    groups = groups.filter("group_size > 1").select("full", "group_size", F.col("first.row").alias("keep_row"), F.col("first.id").alias("keep_id"))
+    return apart(groups, "full")
 
 
 def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, stage
+from .common import ROW, apart, numbered, stage
 
 #: A subtree on at least so many different pages of a host is part of the site's template.
 MIN_PAGES = 5
@@ -174,7 +174,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
     found = rows.select(ROW, _host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
     found = stage(found.mapInArrow(subtrees, f"{ROW} long, host string, page long, node int, subtree long"), "subtrees")
     shared = found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
-    template = found.join(shared, ["host", "subtree"], "left_semi").groupBy(ROW).agg(F.collect_list("node").alias("template"))
+    template = found.join(apart(shared, "host", "subtree"), ["host", "subtree"], "left_semi").groupBy(ROW).agg(F.collect_list("node").alias("template"))
 
     def read(batches):
         for b in batches:

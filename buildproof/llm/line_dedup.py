@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, stage
+from .common import ROW, apart, numbered, stage
 
 #: Shorter runs are left alone; also the window over which a minimum is selected.
 MIN_RUN = 3
@@ -36,10 +36,10 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", r
     """
     found = stage(windows(numbered(docs), text, id_col, run), "windows")
     shared = found.groupBy("finger").agg(F.min(F.struct(ROW, "place")).alias("a"), F.max(F.struct(ROW, "place")).alias("b")).filter("a <> b").select("finger")
-    near = found.join(shared, "finger", "left_semi").select(ROW, "id", "start", "window")
+    near = found.join(apart(shared, "finger"), "finger", "left_semi").select(ROW, "id", "start", "window")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("start").alias("start"))
     first = near.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select("window", F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
-    later = near.join(first, "window").filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0"))).select(ROW, "start")
+    later = near.join(apart(first, "window"), "window").filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0"))).select(ROW, "start")
     by_row = Window.partitionBy(ROW).orderBy("start")
     fresh = (F.col("start") > F.lag("start").over(by_row) + run).cast("int")
     islands = later.withColumn("island", F.sum(F.coalesce(fresh, F.lit(0))).over(by_row))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_map, numbered, stage
+from .common import ROW, apart, arrow_map, numbered, stage
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -187,7 +187,7 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     found = components(links(classes.select("fp")))
     roots = classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = roots.groupBy("root").agg(F.min("first").alias("best"))
-    roots = roots.join(least, "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row"))
+    roots = roots.join(apart(least, "root"), "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row"))
     return rows.join(roots, "fp")
 
 

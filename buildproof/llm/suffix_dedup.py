@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, discard, numbered, stage
+from .common import ROW, apart, discard, numbered, stage
 from .suffix_array import range_hashes, repeated_starts
 
 DEPTH = 200
@@ -193,7 +193,7 @@ def _window_repeats(sections: DataFrame, depth: int) -> DataFrame:
 
     each = sections.select("g", "y", "n", "bytes").mapInArrow(windows, "g long, y long, n long, i int, w1 long, w2 long")
     often = each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2")
-    hit = each.join(often, ["w1", "w2"], "left_semi")
+    hit = each.join(apart(often, "w1", "w2"), ["w1", "w2"], "left_semi")
     return hit.groupBy("g", "y").agg(F.collect_list("i").alias("starts")).mapInArrow(run, "g long, y long, runs array<int>")
 
 
@@ -202,9 +202,9 @@ def _crowded_repeats(sections: DataFrame, depth: int, crowd: int) -> DataFrame:
     distinct = sections.groupBy("g", "y").agg(F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"))
     distinct = stage(distinct, "sections")
     many = distinct.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("g")
-    few = distinct.join(many, "g", "left_anti").select(F.col("g").alias("h"), F.col("y").alias("x"), "n", "bytes")
+    few = distinct.join(apart(many, "g"), "g", "left_anti").select(F.col("g").alias("h"), F.col("y").alias("x"), "n", "bytes")
     found = _sorted_repeats(few, depth).withColumnsRenamed({"h": "g", "x": "y"})
-    found = found.union(_window_repeats(distinct.join(many, "g", "left_semi"), depth))
+    found = found.union(_window_repeats(distinct.join(apart(many, "g"), "g", "left_semi"), depth))
     shifted = F.transform("runs", lambda v, k: F.when(k % 2 == 0, v + F.col("i")).otherwise(v))
     return sections.select("h", "x", "i", "g", "y").join(found, ["g", "y"]).select("h", "x", shifted.alias("runs"))
 
@@ -232,12 +232,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     id_type = rows.schema["id"].dataType.simpleString()
     every = stage(_anchor_rows(rows.filter(F.octet_length("text") >= depth), depth), "anchors")
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    found = stage(every.join(shared, "h", "left_semi"), "shared-anchors")
+    found = stage(every.join(apart(shared, "h"), "h", "left_semi"), "shared-anchors")
     discard(every)
     firsts = found.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW, "q")).alias("at")).select("h", "x", "n", f"at.{ROW}", "at.q")
     firsts = stage(firsts, "contexts")
     crowded = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("h", F.lit(True).alias("crowded"))
-    firsts = firsts.join(crowded, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    firsts = firsts.join(apart(crowded, "h"), "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     packed = _packed(rows)
     contexts = stage(_contexts(firsts, packed, depth), "context-bytes")
     marks = _sorted_repeats(contexts.filter("i is null"), depth).union(_crowded_repeats(contexts.filter("i is not null"), depth, crowd))
