@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, apart, numbered, stage
+from .common import ROW, apart, numbered, slices, stage
 
 #: A subtree on at least so many different pages of a host is part of the site's template.
 MIN_PAGES = 5
@@ -176,10 +176,23 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
     shared = found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
     template = found.join(apart(shared, "host", "subtree"), ["host", "subtree"], "left_semi").groupBy(ROW).agg(F.collect_list("node").alias("template"))
 
+    def pack(batches):
+        import zstandard
+
+        shrink = zstandard.ZstdCompressor(level=3).compress
+        for b in slices(batches):
+            z = [shrink(source.encode()) for source in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(z, pa.binary())], names=[ROW, "id", "url", "z"])
+
     def read(batches):
-        for b in batches:
-            texts = [Page(source).text(set(t or ())) for source, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+        import zstandard
+
+        grow = zstandard.ZstdDecompressor().decompress
+        for b in slices(batches):
+            texts = [Page(grow(z).decode()).text(set(t or ())) for z, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string())], names=[ROW, "id", "url", "text"])
 
-    joined = rows.join(template, ROW, "left").select(ROW, "id", "url", "html", "template")
-    return joined.mapInArrow(read, f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, url string, text string")
+    id_type = rows.schema["id"].dataType.simpleString()
+    packed = rows.mapInArrow(pack, f"{ROW} long, id {id_type}, url string, z binary")  # pages are shuffled whole
+    joined = packed.join(template, ROW, "left").select(ROW, "id", "url", "z", "template")
+    return joined.mapInArrow(read, f"{ROW} long, id {id_type}, url string, text string")
