@@ -192,6 +192,6 @@ def identify(docs: DataFrame, **names) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told; those without any letter go."""
+    """The documents with a letter in their text; where nothing could be learned, all of them stay too."""
     found = identify(docs)
-    return found.filter(F.col("lang_pred") != UNKNOWN).select(*[f"`{c}`" for c in docs.columns])
+    return found.filter((F.col("lang_pred") != UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*[f"`{c}`" for c in docs.columns])

@@ -14,7 +14,7 @@ from buildproof.llm.suffix_dedup import drop_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those that are null or hold no letter go."""
+    """Documents that hold a letter; those that are null or hold none go, also where no language could be learned."""
     return drop_unknown(docs)
 
 

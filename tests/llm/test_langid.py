@@ -27,3 +27,11 @@ def test_edge_cases(spark):
     assert {50, 51, 52} & {r.doc_id for r in drop_unknown(docs).collect()} == set()
     assert identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(docs.withColumn("lang", docs.lang.substr(1, 0)).filter("doc_id = 50")).collect()} == {"und"}
+
+
+def test_without_labels_only_texts_without_letters_go(spark):
+    rows = [(1, "the quick brown fox", None), (2, "ein Fuchs", None), (3, None, None), (4, "", None), (5, "123 !?", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in drop_unknown(docs).collect()} == {1, 2}
+    only_held_out = docs.withColumn("lang", F.when(fold(F.col("doc_id")) == 0, F.lit("en")))
+    assert {r.doc_id for r in drop_unknown(only_held_out).collect()} == {1, 2}
