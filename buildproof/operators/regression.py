@@ -9,11 +9,28 @@ from pyspark.sql.types import DecimalType, IntegralType, MapType, NumericType
 ROW_COUNT = "__row_count"
 
 
-def exact_sum(df: DataFrame, column: str, scale: int = 2):
-    """A sum that doesn't depend on the order of rows: integers exactly, others as decimals of some digits."""
-    kind = df.schema[column].dataType
-    target = DecimalType(38, 0) if isinstance(kind, IntegralType) else DecimalType(38, kind.scale if isinstance(kind, DecimalType) else scale)
-    return F.sum(F.col(column).cast(target)).cast("double")
+#: Digits after the point that doubles are summed with, and the power of ten that brings up what is left below them.
+DIGITS, LIFT = 12, 1e26
+#: Sums of doubles from here on don't fit into decimals; they are plain, depend on the order of rows, and are compared with this slack.
+LARGE, SLACK = 1e25, 1e-9
+
+
+def exact_sum(df: DataFrame, column: str):
+    """A sum that doesn't depend on the order of rows: integers and decimals exactly, doubles as two decimals.
+
+    The first holds 12 digits after the point, the second what a double has below them, down to 1e-38. What is not a
+    number, or infinite, is left out. If the values are too large for that, it is the plain sum of doubles.
+    """
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (IntegralType, DecimalType)):
+        return F.sum(c.cast(DecimalType(38, getattr(kind, "scale", 0)))).cast("double")
+    c = c.cast("double")
+    c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    target = DecimalType(38, DIGITS).simpleString()
+    high = c.try_cast(target)
+    low = ((c - high.cast("double")) * LIFT).try_cast(target)
+    exact = F.try_sum(high).cast("double") + F.try_sum(low).cast("double") / LIFT
+    return F.when((F.count(c) == F.count(low)) & exact.isNotNull(), exact).otherwise(F.sum(c))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -31,7 +48,8 @@ def fingerprint_breaches(current: DataFrame, baseline: DataFrame, tolerance_pct:
     """Fingerprint entries of the baseline that the current build lacks or misses by more than the tolerance."""
     now = current.select("name", F.col("value").alias("current"))
     both = baseline.select("name", F.col("value").alias("baseline")).join(now, "name", "left")
-    return both.filter(F.col("current").isNull() | (F.abs(F.col("current") - F.col("baseline")) > F.abs("baseline") * tolerance_pct))
+    slack = F.when(F.abs("baseline") >= LARGE, F.lit(max(tolerance_pct, SLACK))).otherwise(F.lit(float(tolerance_pct)))
+    return both.filter(F.col("current").isNull() | (F.abs(F.col("current") - F.col("baseline")) > F.abs("baseline") * slack))
 
 
 def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from buildproof.functions.pii import card_numbers, hide, safe_sample
 from buildproof.operators.assertions import duplicate_groups, orphans, outside_domain, per_column, null_count
 from buildproof.operators.parity import compare_grain, compare_rows, compare_schemas, grain_groups, key_text, row_hash
-from buildproof.operators.regression import added_rows, removed_rows, row_changes, schema_changes
+from buildproof.operators.regression import added_rows, fingerprint, fingerprint_breaches, removed_rows, row_changes, schema_changes
 
 few = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 rows = st.lists(st.tuples(st.integers(0, 2) | st.none(), st.sampled_from(["a", "b", None])), max_size=8)
@@ -69,3 +69,21 @@ def test_personal_data(spark):
     shown = [tuple(r) for r in safe_sample(df, 5).collect()]
     assert shown == [("write to [hidden] or [hidden]", "[hidden]", "[hidden]"), (None, None, "4111 1111 1111 1112")]
     assert safe_sample(df, 5, aggregate_only=True).count() == 0
+
+
+def test_sums_keep_small_values(spark):
+    rates = spark.range(1000).selectExpr("id", "0.004 + id * 1e-7 AS rate", "id * 1e-20 AS tiny")
+    found = {r.name: r.value for r in fingerprint(rates).collect()}
+    assert abs(found["sum:rate"] - (4 + 499500e-7)) < 1e-12 and abs(found["sum:tiny"] / 499500e-20 - 1) < 1e-12
+    moved = rates.selectExpr("id", "rate * 0.5 AS rate", "tiny * 2 AS tiny")
+    assert {r.name for r in fingerprint_breaches(fingerprint(moved), fingerprint(rates), 0.01).collect()} == {"sum:rate", "sum:tiny"}
+    again = rates.repartition(7).orderBy(rates.tiny.desc())
+    assert fingerprint_breaches(fingerprint(again), fingerprint(rates)).count() == 0
+
+
+def test_sums_of_values_too_large_for_decimals(spark):
+    large = spark.sql("SELECT CAST(v AS DOUBLE) AS v FROM VALUES ('1e30'), ('2e300'), ('5'), ('NaN'), (NULL) AS t(v)")
+    assert {r.name: r.value for r in fingerprint(large).collect()} == {"__row_count": 5, "sum:v": 2e300, "count:v": 4}
+    assert fingerprint(large.limit(0)).filter("name = 'sum:v'").first().value == 0
+    floats = spark.sql("SELECT CAST(0.5 AS FLOAT) AS f, CAST(0.001 AS DECIMAL(9,3)) AS d, CAST(3 AS TINYINT) AS i")
+    assert {r.name: r.value for r in fingerprint(floats).filter("name like 'sum%'").collect()} == {"sum:f": 0.5, "sum:d": 0.001, "sum:i": 3}
