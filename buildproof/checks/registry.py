@@ -16,7 +16,10 @@ Params = Mapping[str, Any]
 
 @dataclass(frozen=True)
 class Check:
-    """metrics: scalar columns over the build (fused with those of other checks); rows: a DataFrame of violations instead."""
+    """metrics: scalar columns over the build (fused with those of other checks); rows: a DataFrame of violations instead.
+
+    first: a decision that needs no data, or None if the rows must decide.
+    """
 
     id: str
     name: str
@@ -26,6 +29,7 @@ class Check:
     decide: Callable[[Params, Mapping[str, Any]], tuple[str, str, str]]
     metrics: Callable[[DataFrame, Params], dict[str, Column]] | None = None
     rows: Callable[["Context", Params], DataFrame] | None = None
+    first: Callable[["Context", Params], tuple[str, str, str] | None] | None = None
     columns: Callable[[Params], list[str]] = lambda p: []
 
 
@@ -138,9 +142,22 @@ def _diff_rows(ctx: Context, params: Params) -> DataFrame:
     return row_changes(ctx.build, ctx.baseline)
 
 
+def _diff_first(ctx: Context, params: Params) -> tuple[str, str, str] | None:
+    """Columns that only one side has, or that are numeric on one side only, fail before any row is read.
+
+    Other figures of the fingerprint can't move while all rows are the same, so the rows decide on them.
+    """
+    from ..operators.regression import kind_changes, schema_changes
+
+    added, removed = schema_changes(ctx.build, ctx.baseline)
+    found = {"columns added": added, "columns removed": removed, "columns numeric on one side only": kind_changes(ctx.build, ctx.baseline)}
+    told = "; ".join(f"{what}: {', '.join(names)}" for what, names in found.items() if names)
+    return ("FAIL", told, "the baseline's columns and rows") if told else None
+
+
 register(Check("D-RECON-001", "ties out", "assertions", "BLOCKER", ("metric_sql", "source_of_truth_sql"), _recon, rows=_recon_rows))
 register(Check("D-CUSTOM-001", "own assertion", "assertions", "MEDIUM", ("name", "sql"), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} rows returned", "no rows"), rows=_custom_rows))
-register(Check("R-DIFF-001", "same rows as the baseline", "regression", "HIGH", ("baseline",), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} different rows added or removed", "the baseline's rows"), rows=_diff_rows))
+register(Check("R-DIFF-001", "same rows as the baseline", "regression", "HIGH", ("baseline",), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} different rows added or removed", "the baseline's rows"), rows=_diff_rows, first=_diff_first))
 
 
 def _agg_rows(ctx: Context, params: Params) -> DataFrame:

@@ -103,8 +103,10 @@ def run_checks(ctx: Context, specs: Iterable[Spec]) -> Run:
     for at, check, spec in grouped:
         began = time.monotonic()
         try:
-            n, sample = _sampled(check.rows(ctx, spec.params), ctx.evidence_rows)
-            value: Any = {"rows": n, "sample": sample}
+            value: Any = check.first(ctx, spec.params) if check.first else None
+            if value is None:
+                n, sample = _sampled(check.rows(ctx, spec.params), ctx.evidence_rows)
+                value = {"rows": n, "sample": sample}
         except Exception as error:
             value = error
         found[at] = _decided(check, spec, value, int((time.monotonic() - began) * 1000))
@@ -118,6 +120,7 @@ def _decided(check: Check, spec: Spec, value: Any, took: int) -> Result:
     if isinstance(value, Exception):
         made = result(check, "ERROR", str(value).splitlines()[0][:300], severity=severity, duration_ms=took)
     else:
-        status, observed, expected = check.decide(spec.params, value)
-        made = result(check, status, observed, expected, severity, sample=value.get("sample", []) if status == "FAIL" else [], duration_ms=took)
+        status, observed, expected = value if isinstance(value, tuple) else check.decide(spec.params, value)
+        sample = value.get("sample", []) if status == "FAIL" and not isinstance(value, tuple) else []
+        made = result(check, status, observed, expected, severity, sample=sample, duration_ms=took)
     return replace(made, id=name)

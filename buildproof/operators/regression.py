@@ -56,10 +56,18 @@ def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.array_sort(F.map_entries(c)).alias(c) if isinstance(df.schema[c].dataType, MapType) else F.col(f"`{c}`") for c in columns])
 
 
+def _shared(current: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns they share, without regard to case, under the names of current."""
+    named = {c.upper(): c for c in baseline.columns}
+    columns = [c for c in current.columns if c.upper() in named]
+    other = _comparable(baseline, [named[c.upper()] for c in columns])
+    return _comparable(current, columns), other.toDF(*columns)
+
+
 def added_rows(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Rows that current has more often than baseline, as often as that."""
-    columns = [c for c in current.columns if c in baseline.columns]
-    return _comparable(current, columns).exceptAll(_comparable(baseline, columns))
+    now, before = _shared(current, baseline)
+    return now.exceptAll(before)
 
 
 def removed_rows(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -68,8 +76,9 @@ def removed_rows(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def row_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """Rows of either side that the other has less often: __change (added or removed), __times, and the row. One shuffle."""
-    columns = [c for c in current.columns if c in baseline.columns]
-    signed = _comparable(current, columns).withColumn("__n", F.lit(1)).unionByName(_comparable(baseline, columns).withColumn("__n", F.lit(-1)))
+    now, before = _shared(current, baseline)
+    columns = now.columns
+    signed = now.withColumn("__n", F.lit(1)).unionByName(before.withColumn("__n", F.lit(-1)))
     found = signed.groupBy(*[f"`{c}`" for c in columns]).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
     return found.select(F.when(F.col("__n") > 0, "added").otherwise("removed").alias("__change"), F.abs("__n").alias("__times"), *[f"`{c}`" for c in columns])
 
@@ -78,3 +87,9 @@ def schema_changes(current: DataFrame, baseline: DataFrame) -> tuple[list[str],
     """(columns added, columns removed), without regard to case."""
     a, b = ({c.upper() for c in df.columns} for df in (current, baseline))
     return sorted(a - b), sorted(b - a)
+
+
+def kind_changes(current: DataFrame, baseline: DataFrame) -> list[str]:
+    """Shared columns that are numeric on one side only: a side lacks their sums, even if their values read the same."""
+    a, b = ({f.name.upper(): isinstance(f.dataType, NumericType) for f in df.schema} for df in (current, baseline))
+    return sorted(c for c in a if c in b and a[c] != b[c])

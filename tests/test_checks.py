@@ -92,3 +92,17 @@ def test_freshness_and_empty_build(spark):
 def test_coverage_names_what_was_left_out():
     found = coverage([made("HIGH", "PASS")], ("assertions", "regression"))
     assert found == {"ran": ["assertions"], "left_out": ["regression"], "skipped_checks": []}
+
+
+def test_diff_fails_on_columns_that_differ(build):
+    def diff(now, before):
+        return run_checks(Context(now, baseline=before), [Spec("R-DIFF-001")]).results[0]
+
+    dropped, more = diff(build.drop("note"), build), diff(build.selectExpr("*", "1 AS extra"), build)
+    assert (dropped.status, dropped.observed) == ("FAIL", "columns removed: NOTE")
+    assert (more.status, more.observed) == ("FAIL", "columns added: EXTRA")
+    as_text = diff(build.selectExpr("CAST(id AS STRING) AS id", "code", "amount", "note"), build)
+    assert (as_text.status, as_text.observed) == ("FAIL", "columns numeric on one side only: ID")
+    assert diff(build.withColumnRenamed("id", "ID"), build).status == "PASS"
+    changed = diff(build.selectExpr("id + 1 AS ID", "code", "amount", "note"), build)
+    assert changed.status == "FAIL" and changed.sample
