@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from .common import ROW, apart, numbered, slices, stage
 
-#: A subtree on at least so many different pages of a host is part of the site's template.
-MIN_PAGES = 5
+#: A subtree on at least so many different pages of a host is part of the site's template, if these are so many
+#: of each thousand of its pages too.
+MIN_PAGES, PER_MILLE = 5, 10
+#: On pages without article or main, such elements, and plain div elements without others in them, in the block with most text of its own go only if most pages of the host have them.
+PASSAGES = frozenset("p blockquote pre li dl dd dt table".split())
 
 # Element names and naming habits of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 DROPPED = frozenset("aside button canvas dialog embed footer form head iframe input math menu nav noscript object option select svg template textarea title audio video".split())
+INNER = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol tr tbody thead tfoot caption figure figcaption address details summary center".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
@@ -131,8 +135,42 @@ class Page:
                 out[k] = digest - (1 << 64) if digest >> 63 else digest
         return out
 
-    def text(self, template: set[int]) -> str:
-        """The blocks in page order, one a line, without what is dropped or part of the template."""
+    def _spared(self, template: set[int], most: set[int]) -> set[int]:
+        """Recurring passages, and all in them, of the block that holds most text of the page itself, if nothing marks the content.
+
+        The text of a passage counts for the element around it. Those that most pages of the host have are not spared.
+        """
+        if any(tag in CONTENT and not drop for tag, drop in zip(self.tag, self.dropped)):
+            return set()
+        around = set(self.parent)
+        passage = [tag in PASSAGES or (label == "div." and k not in around) for k, (tag, label) in enumerate(zip(self.tag, self.label))]
+        part = [p or tag in INNER for p, tag in zip(passage, self.tag)]
+        gone, block, size = [], [], {}
+        for k, parent in enumerate(self.parent):
+            gone.append(self.dropped[k] or k in template or (parent >= 0 and gone[parent]))
+            block.append(block[parent] if parent >= 0 and part[k] else k)
+        for k, text in self.runs:
+            if k >= 0 and not gone[k]:
+                if not part[block[k]]:  # else a passage with no element around it
+                    size[block[k]] = size.get(block[k], 0) + len("".join(text.split()))
+        if not size:
+            return set()
+        main = max(size, key=lambda k: (size[k], -k))
+        out, inside = set(), [False] * len(self.tag)
+        lost = [False] * len(self.tag)
+        for k, parent in enumerate(self.parent):
+            inside[k] = k == main or (parent >= 0 and inside[parent])
+            if k != main and inside[k] and not lost[parent] and k not in most and (parent in out or (k in template and passage[k])):
+                out.add(k)
+            lost[k] = self.dropped[k] or (k in template and k not in out) or (parent >= 0 and lost[parent])
+        return out
+
+    def text(self, template: set[int], most: set[int] = frozenset()) -> str:
+        """The blocks in page order, one a line, without what is dropped or part of the template.
+
+        template: elements that recur on the host; most: those of them that stand on most of its pages.
+        """
+        template = template - self._spared(template, most) if template else template
         gone = []
         for k, parent in enumerate(self.parent):
             gone.append(self.dropped[k] or k in template or (parent >= 0 and gone[parent]))
@@ -155,7 +193,8 @@ def _host(url):
 def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id", min_pages: int = MIN_PAGES) -> DataFrame:
     """__row, id, url, text of every page; text is empty where nothing is left, and for null html.
 
-    Equal pages count once, so a page that was fetched many times is no template. The counts are partial sums by host and hash, and
+    Equal pages count once, so a page that was fetched many times is no template. A template stands on min_pages pages and on PER_MILLE
+    of each thousand of the host. The counts are partial sums by host and hash, and
     what recurs is joined back by both; one host may hold most of the pages.
     """
     rows = numbered(pages).select(ROW, F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
@@ -173,8 +212,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
 
     found = rows.select(ROW, _host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
     found = stage(found.mapInArrow(subtrees, f"{ROW} long, host string, page long, node int, subtree long"), "subtrees")
-    shared = found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree")
-    template = found.join(apart(shared, "host", "subtree"), ["host", "subtree"], "left_semi").groupBy(ROW).agg(F.collect_list("node").alias("template"))
+    totals = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    shared = found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages)
+    shared = shared.join(apart(totals, "host"), "host").filter(F.col("n") * 1000 >= F.col("pages") * PER_MILLE)
+    shared = shared.select("host", "subtree", (F.col("n") * 2 > F.col("pages")).alias("most"))
+    template = found.join(apart(shared, "host", "subtree"), ["host", "subtree"]).groupBy(ROW).agg(F.collect_list("node").alias("template"), F.collect_list(F.when(F.col("most"), F.col("node"))).alias("most"))
 
     def pack(batches):
         import zstandard
@@ -189,10 +231,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
 
         grow = zstandard.ZstdDecompressor().decompress
         for b in slices(batches):
-            texts = [Page(grow(z).decode()).text(set(t or ())) for z, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            texts = [Page(grow(z).decode()).text(set(t or ()), set(m or ())) for z, t, m in zip(*(c.to_pylist() for c in b.columns[3:6]))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string())], names=[ROW, "id", "url", "text"])
 
     id_type = rows.schema["id"].dataType.simpleString()
     packed = rows.mapInArrow(pack, f"{ROW} long, id {id_type}, url string, z binary")  # pages are shuffled whole
-    joined = packed.join(template, ROW, "left").select(ROW, "id", "url", "z", "template")
+    joined = packed.join(template, ROW, "left").select(ROW, "id", "url", "z", "template", "most")
     return joined.mapInArrow(read, f"{ROW} long, id {id_type}, url string, text string")

@@ -39,3 +39,30 @@ def test_articles_of_the_table(spark, sf_dir):
     got = {r.id: r.text for r in extract(pages).collect()}
     assert got == want
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_shared_passages_of_pages_without_articles_stay(spark):
+    rows = []
+    for k in range(1200):
+        passage = "<p>A notice that a few texts quote.</p>" if k % 200 == 0 else ""
+        often = "<p>A paragraph that many texts quote.</p>" if k % 5 == 0 else ""
+        body = f"<div class='text'><p>Own words of page {k}, and more of them.</p>{passage}{often}<p>The end of text {k}.</p><p>Printed by the site.</p></div>"
+        box = "" if k % 3 else "<div class='box'><p>Follow us</p></div>"
+        rows.append((k, f"http://big.example/{k}", f"<body><div class='top'><p>Big Example</p></div>{body}{box}<div class='end'>Since 1990</div></body>"))
+    rows += [(2000 + k, None, f"<body><p>Lone page {k}.</p>{'<p>Cited by some.</p>' if k < 6 else ''}</body>") for k in range(20)]
+    got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(1200):
+        want = [f"Own words of page {k}, and more of them.", f"The end of text {k}."]
+        want[1:1] = ["A notice that a few texts quote."] * (k % 200 == 0) + ["A paragraph that many texts quote."] * (k % 5 == 0)
+        assert got[k] == "\n".join(want)
+    assert all(got[2000 + k] == f"Lone page {k}." + "\nCited by some." * (k < 6) for k in range(20))
+
+
+def test_passages_of_a_template_box_go_with_it():
+    source = "<body><div class='text'>Long words of this page only.<div class='box'><p>Follow us</p></div><p>Cited</p></div></body>"
+    page = Page(source)
+    box, follow, cited = (next(k for k, x in enumerate(page.label) if x == label and k >= at) for label, at in (("div.box", 0), ("p.", 0), ("p.", 4)))
+    assert page.text({box, follow, cited}) == "Long words of this page only.\nCited"
+    assert page.text({box, follow, cited}, {cited}) == "Long words of this page only."
+    page = Page("<body><div class='top'>Site</div><div class='text'><div>Long words of this page only.</div><div>Cited</div></div></body>")
+    assert page.text({1, 4}) == "Long words of this page only.\nCited" and page.text({1, 4}, {1, 4}) == "Long words of this page only."
