@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,8 @@ Params = Mapping[str, Any]
 class Check:
     """metrics: scalar columns over the build (fused with those of other checks); rows: a DataFrame of violations instead.
 
-    first: a decision that needs no data, or None if the rows must decide.
+    first: a decision that needs no data, or None if the rows must decide. find: (status, what) of each finding on the query texts,
+    the measured plan, workbooks or a migration, instead of metrics and rows.
     """
 
     id: str
@@ -26,22 +27,37 @@ class Check:
     family: str
     severity: str
     needs: tuple[str, ...]
-    decide: Callable[[Params, Mapping[str, Any]], tuple[str, str, str]]
+    decide: Callable[[Params, Mapping[str, Any]], tuple[str, str, str]] | None = None
     metrics: Callable[[DataFrame, Params], dict[str, Column]] | None = None
     rows: Callable[["Context", Params], DataFrame] | None = None
     first: Callable[["Context", Params], tuple[str, str, str] | None] | None = None
+    find: Callable[["Context", Params], list[tuple[str, str]]] | None = None
     columns: Callable[[Params], list[str]] = lambda p: []
 
 
 @dataclass
 class Context:
-    """What a run is about: the build, its baseline, and other tables by name."""
+    """What a run is about: the build, its baseline, and other tables by name.
+
+    queries: the texts that the build reads with; workbooks: the parts that read_workbooks() gives; migrated: store, name of the
+    snapshot, migrated table and Entry; resolution: of the object map. measured: what several checks share.
+    """
 
     build: DataFrame
     baseline: DataFrame | None = None
     tables: Mapping[str, DataFrame] | None = None
     evidence_rows: int = 20
     as_of: str | None = None
+    queries: tuple[str, ...] = ()
+    workbooks: DataFrame | None = None
+    migrated: tuple | None = None
+    resolution: Any = None
+    measured: dict = field(default_factory=dict)
+
+    def once(self, key, make: Callable[[], Any]) -> Any:
+        if key not in self.measured:
+            self.measured[key] = make()
+        return self.measured[key]
 
 
 CHECKS: dict[str, Check] = {}
@@ -167,3 +183,166 @@ def _agg_rows(ctx: Context, params: Params) -> DataFrame:
 
 
 register(Check("R-AGG-001", "same sums and counts as the baseline", "regression", "MEDIUM", ("baseline",), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} figures moved", "the baseline's figures"), rows=_agg_rows))
+
+
+def _static(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
+    def find(ctx: Context, params: Params) -> list[tuple[str, str]]:
+        from ..plans import static
+
+        lists = {k: tuple(params[k]) for k in ("deprecated", "certified", "sandbox", "raw", "integration") if params.get(k)}
+        found = ctx.once(("static", repr(lists)), lambda: [f for q in ctx.queries for f in static.check(ctx.build.sparkSession, q, **lists)])
+        return [(f.status, f.text) for f in found if f.check == check]
+
+    return find
+
+
+def _read_names(ctx: Context) -> list[str]:
+    """Tables that the queries name; those that a query or the script defines itself are left out by the catalog or here."""
+    from ..plans.catalyst import items, kind, parse, walk
+
+    out: dict[str, None] = {}
+    for q in ctx.queries:
+        nodes = list(walk(parse(ctx.build.sparkSession, q)))
+        local = {p._1().lower() for n in nodes if kind(n) == "UnresolvedWith" for p in items(n.cteRelations())}
+        names = (".".join(items(n.multipartIdentifier())) for n in nodes if kind(n) == "UnresolvedRelation")
+        out |= {n: None for n in names if n.lower() not in local}
+    return list(out)
+
+
+def _missing(ctx: Context, params: Params) -> list[tuple[str, str]]:
+    from ..plans.static import missing_tables
+
+    return [("FAIL", n) for n in missing_tables(ctx.build.sparkSession, _read_names(ctx))]
+
+
+def _mismatched(ctx: Context, params: Params) -> list[tuple[str, str]]:
+    from ..plans.static import mismatched_keys
+
+    return [("FAIL", f"{c}: {a} and {b}") for q in ctx.queries for c, a, b in mismatched_keys(ctx.build.sparkSession, q)]
+
+
+def _deprecated(ctx: Context, params: Params) -> list[tuple[str, str]]:
+    from ..plans.static import deprecated_by_comment
+
+    listed = {d.lower() for d in params.get("deprecated", ())}
+    names = _read_names(ctx)
+    return [("FAIL", n) for n in dict.fromkeys([*(n for n in names if n.lower() in listed), *deprecated_by_comment(ctx.build.sparkSession, names)])]
+
+
+def _measured(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
+    def find(ctx: Context, params: Params) -> list[tuple[str, str]]:
+        from ..plans import performance
+
+        facts = ctx.once("facts", lambda: performance.measured(ctx.build))
+        status = performance.judge(facts, **{k: params[k] for k in ("max_bytes", "max_files", "blow_up") if k in params})[check]
+        return [(status, ", ".join(f"{k}: {v}" for k, v in facts.items()))]
+
+    return find
+
+
+def _workbook(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
+    def find(ctx: Context, params: Params) -> list[tuple[str, str]]:
+        from ..sources.workbook import findings
+
+        given = {k: tuple(params[k]) if k == "certified" else params[k] for k in ("certified", "field_regex", "max_filters", "need_user_filter") if k in params}
+        lacking = {"T-NAME-001": "field_regex", "T-RLS-001": "need_user_filter"}.get(check)
+        if lacking and not given.get(lacking):
+            return [("SKIP", f"not configured: {lacking}")]
+        found = ctx.once(("workbooks", repr(given)), lambda: findings(ctx.workbooks, **given).collect())  # one row per finding on a part
+        # a workbook that can't be read leaves every check on it open
+        return [(r.status, f"{r.path}: {r.subject}") for r in found if r.check in (check, "T-READ-001")]
+
+    return find
+
+
+def _migrated(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
+    def find(ctx: Context, params: Params) -> list[tuple[str, str]]:
+        from . import migration
+
+        store, name, target, entry = ctx.migrated
+        if check == "M-SNAP-001":
+            found = [migration.check_snapshots(store, [name])]
+        else:
+            found = ctx.once("migrated", lambda: migration.check_object(store, name, target, entry))
+        return [(r.status, r.observed) for r in found if r.id == check]
+
+    return find
+
+
+def _sources(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
+    def find(ctx: Context, params: Params) -> list[tuple[str, str]]:
+        from ..sources.workbook import relations
+        from . import migration
+
+        found = ctx.once("sources", lambda: migration.check_sources(relations(ctx.workbooks)))
+        return [(r.status, r.observed) for r in found if r.id == check]
+
+    return find
+
+
+def _mapped(ctx: Context, params: Params) -> list[tuple[str, str]]:
+    from . import migration
+
+    found = migration.check_map(ctx.resolution)
+    return [(found.status, found.observed)]
+
+
+def _family(family: str, needs: str, make: Callable[[str], Callable], rows: str) -> None:
+    for line in rows.strip().splitlines():
+        id, severity, name = line.strip().split(" ", 2)
+        register(Check(id, name, family, severity, (needs,), find=make(id)))
+
+
+_family("static", "queries", _static, """
+    S-STAT-001 HIGH no star
+    S-STAT-002 BLOCKER joins have conditions
+    S-STAT-003 HIGH no NOT IN of a subquery
+    S-STAT-004 MEDIUM no comparison across types
+    S-STAT-005 LOW no function over a filtered column
+    S-STAT-006 MEDIUM no literal dates
+    S-STAT-007 HIGH no deprecated objects
+    S-STAT-008 MEDIUM joins say their kind
+    S-STAT-010 MEDIUM no DISTINCT over joins
+    S-STAT-011 LOW no ORDER BY in a subquery
+    S-STAT-012 HIGH no sandbox
+    S-STAT-013 MEDIUM no raw layer
+    S-STAT-014 HIGH outer joins stay outer
+    S-STAT-015 HIGH no integration layer
+    D-ADD-001 MEDIUM no sum of ratios""")
+_family("metadata", "queries", lambda id: {"S-META-001": _missing, "S-META-002": _mismatched, "S-META-003": _deprecated}.get(id) or _static(id), """
+    S-META-001 BLOCKER tables exist
+    S-META-002 HIGH join keys are of one kind
+    S-META-003 HIGH no deprecated tables
+    S-META-004 MEDIUM certified sources""")
+_family("performance", "build", _measured, """
+    P-PROF-001 LOW partitions are pruned
+    P-COST-001 LOW bytes and files read
+    P-SPILL-001 LOW no spill
+    P-CARD-001 MEDIUM rows don't multiply""")
+_family("tableau_static", "workbooks", _workbook, """
+    T-SRC-001 MEDIUM no custom SQL
+    T-SRC-002 MEDIUM no extracts
+    T-SRC-003 HIGH certified datasources
+    T-LOD-001 HIGH no fixed levels of detail
+    T-CALC-001 MEDIUM no aggregates of ratios
+    T-CALC-002 MEDIUM no literals in calculations
+    T-CALC-003 MEDIUM calculations refer to known ones
+    T-NAME-001 LOW names of fields
+    T-UNUSED-001 LOW no unused calculations
+    T-FILT-001 LOW number of filters
+    T-RLS-001 HIGH row-level security
+    T-TOTAL-001 MEDIUM no totals of averages""")
+_family("migration_parity", "migrated", _migrated, """
+    M-SNAP-001 BLOCKER snapshots are there
+    M-SCHEMA-001 BLOCKER same columns and kinds of type
+    M-ROW-001 BLOCKER same number of rows
+    M-AGG-001 HIGH same sums and extremes
+    M-NULL-001 HIGH same share of nulls
+    M-DIST-001 HIGH same number of keys
+    M-GRAIN-001 HIGH same groups
+    M-HASH-001 HIGH same rows""")
+_family("migration_parity", "workbooks", _sources, """
+    M-SRC-001 HIGH comparable sources
+    M-SRC-002 INFO refused sources""")
+_family("migration_parity", "resolution", lambda id: _mapped, """
+    M-MAP-001 BLOCKER objects are mapped""")

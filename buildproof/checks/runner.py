@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame
 
 from ..functions.pii import safe_sample
 from .registry import CHECKS, Check, Context, result
-from .verdict import Result, coverage, summary, verdict
+from .verdict import FAMILIES, Result, coverage, summary, verdict
+
+#: What a check may need of a run besides its own parameters.
+GIVEN = {"build": "build", "baseline": "baseline", "queries": "query text", "workbooks": "workbook", "migrated": "snapshot to compare with", "resolution": "object map"}
+#: Findings shown.
+NAMED = 10
 
 
 @dataclass(frozen=True)
@@ -34,11 +39,12 @@ class Run:
 
 def _blocked(check: Check, spec: Spec, ctx: Context) -> Result | None:
     """A SKIP result if something that the check needs is not there."""
-    needs = [n for n in check.needs if n != "baseline" and spec.params.get(n) in (None, "", [], ())]
+    needs = [n for n in check.needs if n not in GIVEN and spec.params.get(n) in (None, "", [], ())]
     if needs:
         return result(check, "SKIP", f"not configured: {', '.join(needs)}", severity=spec.severity)
-    if "baseline" in check.needs and ctx.baseline is None:
-        return result(check, "SKIP", "there is no baseline", severity=spec.severity)
+    for n in check.needs:
+        if n in GIVEN and (getattr(ctx, n) is None or getattr(ctx, n) == ()):
+            return result(check, "SKIP", f"there is no {GIVEN[n]}", severity=spec.severity)
     have = {c.upper() for c in ctx.build.columns}
     missing = [c for c in check.columns(spec.params) if c.upper() not in have]
     if missing:
@@ -82,6 +88,13 @@ def _sampled(df: DataFrame, cap: int) -> tuple[int, list[dict]]:
     return n, [r.asDict(recursive=True) for r in safe_sample(df, cap).collect()] if n else []
 
 
+def _folded(found: list[tuple[str, str]], expected: str) -> tuple[str, str, str]:
+    """The worst status of the findings of one check, and what is found of it; no finding is a pass."""
+    status = next((s for s in ("FAIL", "ERROR", "WARN", "SKIP") if any(s == f[0] for f in found)), "PASS")
+    told = [what for s, what in found if s == status and what]
+    return status, "; ".join(told[:NAMED]) + (f" and {len(told) - NAMED} more" if len(told) > NAMED else ""), expected
+
+
 def run_checks(ctx: Context, specs: Iterable[Spec]) -> Run:
     """Results in the order of specs; a check that raises becomes an ERROR and stops nothing else."""
     specs = [s for s in specs if s.enabled]
@@ -103,7 +116,7 @@ def run_checks(ctx: Context, specs: Iterable[Spec]) -> Run:
     for at, check, spec in grouped:
         began = time.monotonic()
         try:
-            value: Any = check.first(ctx, spec.params) if check.first else None
+            value: Any = check.first(ctx, spec.params) if check.first else _folded(check.find(ctx, spec.params), check.name) if check.find else None
             if value is None:
                 n, sample = _sampled(check.rows(ctx, spec.params), ctx.evidence_rows)
                 value = {"rows": n, "sample": sample}
@@ -111,7 +124,7 @@ def run_checks(ctx: Context, specs: Iterable[Spec]) -> Run:
             value = error
         found[at] = _decided(check, spec, value, int((time.monotonic() - began) * 1000))
     results = [found[at] for at in sorted(found)]
-    return Run(results, verdict(results), summary(results), coverage(results, ("assertions", "regression")))
+    return Run(results, verdict(results), summary(results), coverage(results, FAMILIES))
 
 
 def _decided(check: Check, spec: Spec, value: Any, took: int) -> Result:

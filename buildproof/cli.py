@@ -15,7 +15,9 @@ from .checks.runner import Spec, run_checks
 from .checks.verdict import EXIT_CODES, TOOL_ERROR
 from .operators.parity import compare_metrics, measure
 from .plans.build import fold
+from .sources import mapping
 from .sources.baseline import BaselineStore, canonical_name
+from .sources.workbook import read_workbooks
 
 
 def _arguments(argv):
@@ -29,6 +31,9 @@ def _arguments(argv):
     check.add_argument("--format", choices=("json", "junit", "html"), default="json")
     check.add_argument("--baseline")
     check.add_argument("--as-of")
+    check.add_argument("--workbooks", help="folder or glob of BI workbooks")
+    check.add_argument("--map", help="JSON object map of a migration")
+    check.add_argument("--snapshot", help="name of the legacy object's snapshot in the store; needs --map")
     save = commands.add_parser("baseline", help="keep the result of a build script")
     save.add_argument("script")
     save.add_argument("--name")
@@ -61,7 +66,14 @@ def main(argv=None) -> int:
             print(json.dumps(store.save(name, build.result), indent=2))
             return 0
         specs = [Spec(**s) for s in json.loads(Path(args.checks).read_text())]
-        run = run_checks(Context(build.result, baseline=store.load(name) if store.exists(name) else None, as_of=args.as_of), specs)
+        migrated = None
+        if args.snapshot:
+            old = store.manifest(f"{args.snapshot}__metrics")["object"]
+            entries, _ = mapping.load(json.loads(Path(args.map).read_text()))
+            migrated = (store, args.snapshot, build.result, next(e for e in entries if mapping.same_object(e.old, old)))
+        workbooks = read_workbooks(spark, args.workbooks) if args.workbooks else None
+        baseline = store.load(name) if store.exists(name) else None
+        run = run_checks(Context(build.result, baseline=baseline, as_of=args.as_of, queries=tuple(build.queries), workbooks=workbooks, migrated=migrated), specs)
         print({"json": as_json, "junit": as_junit, "html": as_html}[args.format](run))
         return EXIT_CODES[run.verdict]
     except Exception as error:

@@ -20,6 +20,7 @@ class Build:
     name: str | None
     steps: list[str] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
+    queries: list[str] = field(default_factory=list)
 
 
 def statements(script: str) -> list[str]:
@@ -55,6 +56,7 @@ def fold(spark: SparkSession, script: str) -> Build:
             continue
         assert_read_only(spark, query)
         found.result = spark.sql(query)
+        found.queries.append(query)
         if made:
             found.name = re.sub(r'[`"]', "", made[1])
             view = found.name.rsplit(".", 1)[-1]

@@ -106,3 +106,37 @@ def test_diff_fails_on_columns_that_differ(build):
     assert diff(build.withColumnRenamed("id", "ID"), build).status == "PASS"
     changed = diff(build.selectExpr("id + 1 AS ID", "code", "amount", "note"), build)
     assert changed.status == "FAIL" and changed.sample
+
+
+def test_findings_on_texts_plans_and_migrations_count(spark, build, tmp_path):
+    from buildproof.checks.migration import save_snapshot
+    from buildproof.sources.baseline import BaselineStore
+    from buildproof.sources.mapping import Entry
+
+    build.createOrReplaceTempView("checked")
+    bad = run_checks(Context(build, queries=("SELECT a.id FROM checked a INNER JOIN checked b",)), [Spec("S-STAT-002")])
+    assert bad.verdict == "BLOCKED" and (bad.results[0].severity, bad.results[0].status) == ("BLOCKER", "FAIL")
+    lost = run_checks(Context(build, queries=("SELECT id FROM no_such_table",)), [Spec("S-META-001"), Spec("S-STAT-002"), Spec("D-ADD-001")])
+    assert [r.status for r in lost.results] == ["FAIL", "PASS", "PASS"] and lost.results[0].observed == "no_such_table"
+    keys = run_checks(Context(build, queries=("SELECT a.id FROM checked a INNER JOIN checked b ON a.id = b.code",)), [Spec("S-META-002")])
+    assert keys.verdict == "REVIEW"
+    store = BaselineStore(spark, str(tmp_path))
+    entry = Entry("A.B.C", "D.E.F", keys=("note",))
+    save_snapshot(store, "old", build, entry)
+    specs = [Spec(f"M-{x}-001") for x in ("SNAP", "SCHEMA", "ROW", "AGG", "NULL", "DIST", "HASH")]
+    assert {r.status for r in run_checks(Context(build, migrated=(store, "old", build, entry)), specs).results} == {"PASS"}
+    fewer = run_checks(Context(build, migrated=(store, "old", build.filter("id <> 3"), entry)), specs)
+    assert fewer.verdict == "BLOCKED" and statuses(fewer)["M-ROW-001"] == "FAIL" and "migration_parity" in fewer.coverage["ran"]
+
+
+def test_plan_and_workbook_checks_fold_and_gaps_show(spark, build, tmp_path):
+    from buildproof.sources.workbook import read_workbooks
+
+    (tmp_path / "a.twb").write_text("<workbook><datasources><datasource name='d' caption='D'><connection class='snowflake'><relation type='text' name='q'>SELECT 1</relation></connection><column name='[c]' caption='C'><calculation formula='{FIXED : SUM([x])}'/></column></datasource></datasources></workbook>")
+    parts = read_workbooks(spark, str(tmp_path / "*.twb"))
+    run = run_checks(Context(build, workbooks=parts), [Spec("T-LOD-001"), Spec("T-NAME-001"), Spec("T-CALC-003"), Spec("P-SPILL-001"), Spec("P-COST-001"), Spec("S-STAT-001")])
+    assert [r.status for r in run.results] == ["WARN", "SKIP", "PASS", "PASS", "SKIP", "SKIP"] and run.verdict == "READY_WITH_NOTES"
+    assert run.coverage["left_out"] == ["migration_parity", "assertions", "regression", "metadata", "static", "tableau_live"]
+    (tmp_path / "b.twb").write_text("no workbook")
+    unread = run_checks(Context(build, workbooks=read_workbooks(spark, str(tmp_path / "*.twb"))), [Spec("T-CALC-003")])
+    assert unread.results[0].status == "ERROR" and unread.verdict == "READY_WITH_NOTES"
