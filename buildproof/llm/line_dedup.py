@@ -15,46 +15,55 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def windows(docs: DataFrame, text: str, id_col: str, run: int) -> DataFrame:
-    """Every stretch of `run` lines: its start, its hash, and its fingerprint, the least line hash in it, with its place."""
-    hashes = F.transform(lines_of(F.col(text)), lambda x: F.xxhash64(x))
-    rows = docs.select(ROW, F.col(id_col).alias("id"), hashes.alias("h")).filter(F.size("h") >= run)
+def windows(docs: DataFrame, text: str, id_col: str, run: int, min_words: int = 0) -> DataFrame:
+    """Every stretch of `run` lines with min_words words or more: its start, its hash, and its fingerprint, the least line hash in it, with its place."""
+    lines = lines_of(F.col(text))
+    columns = [F.transform(lines, lambda x: F.xxhash64(x)).alias("h")]
+    if min_words:
+        columns.append(F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))).alias("n"))
+    rows = docs.select(ROW, F.col(id_col).alias("id"), *columns).filter(F.size("h") >= run)
     starts = F.sequence(F.lit(1), F.size("h") - (run - 1))
+    if min_words:
+        starts = F.filter(starts, lambda i: F.aggregate(F.slice("n", i, F.lit(run)), F.lit(0), lambda s, n: s + n) >= min_words)
     each = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(F.col("h"), i, F.lit(run)).alias("part")))
     rows = rows.select(ROW, "id", F.explode(each).alias("w")).select(ROW, "id", "w.start", "w.part")
     least = F.array_min("part")
-    return rows.select(ROW, "id", (F.col("start") - 1).alias("start"), F.xxhash64("part").alias("window"), least.alias("finger"), (F.col("start") - 2 + F.array_position("part", least)).cast("int").alias("place"))
+    return rows.select(ROW, "id", (F.col("start") - 1).alias("start"), F.lit(run).alias("len"), F.xxhash64("part").alias("window"), least.alias("finger"), (F.col("start") - 2 + F.array_position("part", least)).cast("int").alias("place"))
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = MIN_RUN) -> DataFrame:
+def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """__row and runs (first line, number of lines) of every document that has lines to delete.
 
-    A stretch of `run` lines goes if it occurred before: in a row of smaller id (null last), or earlier in the table, or
+    A stretch of `run` lines, or of fewer with min_words words or more if that is given, goes if it occurred before: in a row of smaller id (null last), or earlier in the table, or
     earlier in the same text. Two equal stretches select the same minimum, so only places whose
     fingerprint is shared are looked at. From there a match extends both ways by the stretches that hold
     the fingerprint. Counts are partial sums and joins can be split: a line may stand in most documents.
     """
-    found = stage(windows(numbered(docs), text, id_col, run), "windows")
+    each = windows(numbered(docs), text, id_col, run)
+    for short in range(1, run if min_words else 1):
+        each = each.union(windows(numbered(docs), text, id_col, short, min_words))
+    found = stage(each, "windows")
     shared = found.groupBy("finger").agg(F.min(F.struct(ROW, "place")).alias("a"), F.max(F.struct(ROW, "place")).alias("b")).filter("a <> b").select("finger")
-    near = found.join(apart(shared, "finger"), "finger", "left_semi").select(ROW, "id", "start", "window")
+    near = found.join(apart(shared, "finger"), "finger", "left_semi").select(ROW, "id", "start", "len", "window")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("start").alias("start"))
     first = near.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select("window", F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
-    later = near.join(apart(first, "window"), "window").filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0"))).select(ROW, "start")
-    by_row = Window.partitionBy(ROW).orderBy("start")
-    fresh = (F.col("start") > F.lag("start").over(by_row) + run).cast("int")
-    islands = later.withColumn("island", F.sum(F.coalesce(fresh, F.lit(0))).over(by_row))
-    runs = islands.groupBy(ROW, "island").agg(F.min("start").alias("from"), (F.max("start") + run - F.min("start")).alias("len"))
+    later = near.join(apart(first, "window"), "window").filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0"))).select(ROW, "start", "len")
+    by_row = Window.partitionBy(ROW).orderBy("start", "len")
+    end = F.max(F.col("start") + F.col("len")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("start") > end).cast("int")
+    islands = later.withColumn("island", F.sum(F.coalesce(fresh, F.lit(0))).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy(ROW, "island").agg(F.min("start").alias("from"), (F.max(F.col("start") + F.col("len")) - F.min("start")).alias("len"))
     return runs.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("from", "len"))).alias("runs"))
 
 
-def drop_repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = MIN_RUN) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """All columns of docs, the text without repeated runs; also n_lines and n_removed (columns of these names are replaced).
 
     A null text stays null and counts one empty line. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*[f"`{c}`" for c in names])
-    rows = numbered(docs).join(repeated_runs(docs, text, id_col, run).withColumnRenamed("runs", "__runs"), ROW, "left")
+    rows = numbered(docs).join(repeated_runs(docs, text, id_col, run, min_words).withColumnRenamed("runs", "__runs"), ROW, "left")
     lines, runs = lines_of(F.col(text)), F.coalesce(F.col("__runs"), F.array().cast("array<struct<from:int,len:int>>"))
     before = F.transform(runs, lambda r, i: F.when(i == 0, r["from"]).otherwise(r["from"] - F.get(runs, i - 1)["from"] - F.get(runs, i - 1)["len"]))
     kept = F.flatten(F.transform(runs, lambda r, i: F.slice(lines, r["from"] - F.get(before, i) + 1, F.get(before, i))))

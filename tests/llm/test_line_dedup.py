@@ -34,3 +34,31 @@ def test_matches_plain_form(spark, run):
     assert found.columns == ["doc_id", "text", "n_lines", "n_removed"]
     assert sorted([tuple(r) for r in found.collect()], key=str) == plain(rows, run)
     assert drop_repeated_lines(docs.filter(F.lit(False)), run=run).count() == 0
+
+
+def plain_with_words(rows, run, words):
+    order = sorted(range(len(rows)), key=lambda k: rows[k][0])
+    seen, gone = set(), {k: set() for k in order}
+    for k in order:
+        lines = rows[k][1].split("\n")
+        for i in range(len(lines)):
+            for n in range(1, run + 1):
+                part = tuple(lines[i : i + n])
+                if len(part) < n or (n < run and len(" ".join(part).split()) < words):
+                    continue
+                if part in seen:
+                    gone[k] |= set(range(i, i + n))
+                seen.add(part)
+    return [(i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[k]), len(gone[k])) for k, (i, t) in enumerate(rows)]
+
+
+def test_short_stretches_of_many_words_go_where_asked(spark):
+    rng = random.Random(5)
+    long, one, two = (" ".join(f"{name}{k}" for k in range(n)) for name, n in (("w", 60), ("x", 30), ("y", 30)))
+    rows = [(0, f"a\n{long}\nb"), (1, f"c\n{long}\nd"), (2, long), (3, f"{one}\n{two}"), (4, f"e\n{one}\n{two}\nf"), (5, f"{one}\ng"), (6, f"{long}\n{long}")]
+    rows += [(10 + k, "\n".join(rng.choice(["p q r", "s t", "u v w x", "y"]) for _ in range(rng.randint(1, 12)))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (50, 6):
+        got = sorted((r.doc_id, r.text, r.n_removed) for r in drop_repeated_lines(docs, min_words=words).collect())
+        assert got == plain_with_words(rows, 3, words)
+    assert [t for i, t, _ in plain_with_words(rows, 3, 50)[:7]] == [f"a\n{long}\nb", "c\nd", "", f"{one}\n{two}", "e\nf", f"{one}\ng", ""]
