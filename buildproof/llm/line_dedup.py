@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes: runs of lines that occurred before are deleted."""
+"""Line dedup by counting windows of lines, filtered by their least line hash: runs of lines that occurred before are deleted."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import ROW, apart, numbered, stage
 
-#: Shorter runs are left alone; also the window over which a minimum is selected.
+#: Shorter runs are left alone unless they have many words and that is asked for; also the window over which a minimum is selected.
 MIN_RUN = 3
 
 
@@ -36,8 +36,8 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", r
 
     A stretch of `run` lines, or of fewer with min_words words or more if that is given, goes if it occurred before: in a row of smaller id (null last), or earlier in the table, or
     earlier in the same text. Two equal stretches select the same minimum, so only places whose
-    fingerprint is shared are looked at. From there a match extends both ways by the stretches that hold
-    the fingerprint. Counts are partial sums and joins can be split: a line may stand in most documents.
+    fingerprint is shared are looked at. Among these, windows are told apart by the hash of all their lines; no match is
+    extended line by line. Counts are partial sums and joins can be split: a line may stand in most documents.
     """
     each = windows(numbered(docs), text, id_col, run)
     for short in range(1, run if min_words else 1):
