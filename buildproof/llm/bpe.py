@@ -1,4 +1,4 @@
-"""BPE encoding and decoding; long unsplit text is encoded in halves that are joined exactly."""
+"""BPE encoding and decoding: long texts are encoded in halves that are joined exactly, as a tree."""
 
 from __future__ import annotations
 
@@ -10,24 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, slices
+from .common import ROW, ROW_TYPE, in_tasks, numbered, settled, slices
 
-#: Texts of more bytes are cut into pieces that are encoded in parallel.
-PIECE = 32_768
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 250_000
-#: Tokens on either side of a join in the first window; the window doubles until both sides agree.
-WINDOW = 8
-#: Characters of one class that a cut needs on both sides.
-MARGIN = 3
+#: Texts of more characters are encoded in halves, down to this; the halves of texts of more bytes are spread over all tasks.
+LEAF, SPREAD = 4096, 65_536
+#: Bytes of chunks and of their ids that a worker remembers, and the longest chunk that it does.
+REMEMBERED, LONG_CHUNK = 48 << 20, 64
+#: Characters on either side of a join in the first window; the window doubles until both sides agree.
+WINDOW = 64
 
 #: Letters that the normaliser only puts in lower case, and a sign that is a pre-token of its own.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-_BLANK = re.compile(r"[\x20\t\n\x0b\x0c\r]")
-
-
-def _class(c: str) -> int:
-    return 1 if c.isalpha() else 2 if not c.isalnum() and not c.isspace() else 0
 
 
 class Codec:
@@ -46,13 +39,22 @@ class Codec:
             t.no_truncation()
             t.no_padding()
         self.plain.normalizer = normalizers.Sequence([])
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.memory: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        longest = max((len(t.content) for t in self.whole.get_added_tokens_decoder().values()), default=0)
+        self.window = max(WINDOW, 2 * longest)  # no special token reaches out of the first window
+        self.forget()
         self.signs = {s: np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes() for s in ("", *".,;:!?")}
         self.is_end = np.zeros(self.whole.get_vocab_size(), bool)
         self.is_end[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.memory: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def _remember(self, where: dict, keys: list, made: list[bytes]) -> None:
+        where.update(zip(keys, made))
+        self.held += sum(map(len, keys)) + sum(map(len, made)) + 150 * len(keys)  # what Python needs for a pair, about
+
     def _learn_words(self, words: list[str]) -> None:
         """Remember the ids of lower-case words of letters. Each is one pre-token, so its last id alone ends a word."""
         for start in range(0, len(words), 256):
@@ -64,120 +66,93 @@ class Codec:
                 made = [raw[x:y] for x, y in zip(at, at[1:])]
             else:
                 made = [np.array(self.plain.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in part]
-            self.words.update(zip(part, made))
+            self._remember(self.words, part, made)
 
-    def _learn(self, missing: list[bytes]) -> None:
-        """Remember the ids of chunks. A word of plain letters, with one sign after it or none, is made of their ids."""
+    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks, remembered unless they are long. A word of plain letters, with one sign after it or none, is made of their ids."""
         texts = [m.decode() for m in missing]
-        split = [_SIMPLE.fullmatch(t) for t in texts]
-        need = {m[1].lower() for m in split if m}
-        if len(self.words) + len(need) > REMEMBERED:
-            self.words.clear()
-        self._learn_words(list(need.difference(self.words)))
+        split = [_SIMPLE.fullmatch(t) if len(t) <= LONG_CHUNK else None for t in texts]
+        self._learn_words(list({m[1].lower() for m in split if m}.difference(self.words)))
         rest = [k for k, m in enumerate(split) if m is None]
-        for k, e in zip(rest, self.whole.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
-            self.memory[missing[k]] = np.array(e.ids, "<u4").tobytes()
-        for chunk, m in zip(missing, split):
-            if m:
-                self.memory[chunk] = self.words[m[1].lower()] + self.signs[m[2]]
+        made = {missing[k]: np.array(e.ids, "<u4").tobytes() for k, e in zip(rest, self.whole.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False))}
+        made |= {chunk: self.words[m[1].lower()] + self.signs[m[2]] for chunk, m in zip(missing, split) if m}
+        short = [c for c in missing if len(c) <= LONG_CHUNK]
+        self._remember(self.memory, short, [made[c] for c in short])
+        return made
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of texts; unknown chunks are asked for together."""
         out = []
         for start in range(0, len(texts), 64):
             chunks = [t.split() for t in texts[start : start + 64]]
-            missing = list(set().union(*chunks).difference(self.memory))
-            if missing:
-                if len(self.memory) + len(missing) > REMEMBERED:
-                    self.memory.clear()
-                    missing = list(set().union(*chunks))
-                self._learn(missing)
-            out += [b"".join(map(self.memory.__getitem__, c)) for c in chunks]
+            if self.held > REMEMBERED:
+                self.forget()
+            made = self._learn(missing) if (missing := list(set().union(*chunks).difference(self.memory))) else {}
+            for c in chunks:
+                try:
+                    out.append(b"".join(map(self.memory.__getitem__, c)))
+                except KeyError:  # a long chunk
+                    out.append(b"".join([made[x] if x in made else self.memory[x] for x in c]))
         return out
 
-    def encode(self, text: bytes) -> bytes:
-        return self.encode_many([text])[0]
-
-    def spans(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids of a normalised text and the characters that each covers."""
-        e = self.plain.encode(text, add_special_tokens=False)
+    def tokens(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        """Ids of a text and the characters that each covers, from the library alone."""
+        e = self.whole.encode(text, add_special_tokens=False)
         return e.ids, e.offsets
 
 
-def pieces_of(text: bytes, size: int = PIECE) -> list[tuple[bytes, bool]]:
-    """(piece, joined) of a text: pieces of about `size` bytes that end at white space where there is some.
+def halves(text: str, size: int = LEAF) -> list[str]:
+    """The text in halves of halves, none of more than `size` characters. A cut may lie anywhere, in a word too."""
+    if len(text) <= size:
+        return [text]
+    middle = len(text) // 2
+    return halves(text[:middle], size) + halves(text[middle:], size)
 
-    joined tells that a piece continues an unsplit run; such runs are cut in halves by cuts_of().
-    """
-    out, at = [], 0
-    while len(text) - at > size:
-        end = at + size
-        cut = max(text.rfind(b, at, end) for b in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-        if cut <= at:  # no white space: take the whole unsplit run
-            found = re.compile(rb"[ \t\n\x0b\x0c\r]").search(text, end)
-            cut = found.start() if found else len(text)
-        out.append(text[at:cut])
-        at = cut
-    out.append(text[at:])
-    return out
-
-
-def cuts_of(run: str, size: int) -> list[int]:
-    """Where a normalised run without white space is cut: near the halves, again and again, down to `size`.
-
-    A cut lies between two characters of one class (letters, or signs) with MARGIN of it on both sides,
-    so pre-tokens left and right of it are those of the whole run but for the one that it parts.
-    """
-    if len(run) <= size:
-        return []
-    half = len(run) // 2
-    for far in range(len(run) // 4):
-        for at in (half - far, half + far):
-            around = {_class(c) for c in run[at - MARGIN : at + MARGIN]}
-            if len(around) == 1 and 0 not in around:
-                return [*cuts_of(run[:at], size), at, *[at + c for c in cuts_of(run[at:], size)]]
-    return []
-
-
-Part = tuple[str, list, list]  # text, ids, the characters at which tokens start
 
+Part = tuple[str, np.ndarray]  # text and its ids
 
-def encode_part(codec: Codec, text: str) -> Part:
-    ids, offsets = codec.spans(text)
-    return text, ids, _starts(text, offsets)
 
-
-def _starts(text: str, offsets) -> list:
-    return [a for a, _ in offsets]
+def _alike(a: np.ndarray, b: np.ndarray) -> int:
+    """How many ids two arrays share from the start."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
 
 
 def join_parts(codec: Codec, left: Part, right: Part) -> Part:
     """The encoding of two texts put together, from theirs.
 
-    A window of tokens around the join is encoded again. Where it gives the same token, at the same
-    place, as the left side and later the same as the right side, the three are spliced there: every pair of
-    neighbouring tokens then stands in a valid encoding, which makes the whole one valid. Else
-    the window grows, up to the whole text.
+    The characters around the join are encoded again: the end of the left text, the start of the right one, and
+    both as one. Ids that the left text ends with and its end alone as well lie at known characters, as do those that
+    the right text starts with. Where the window gives the same token at the same characters as the left text, and
+    later the same as the right text, the three are spliced: every pair of neighbouring tokens then stands in a
+    valid encoding, which makes the whole one valid. Else the window grows, up to the whole texts.
     """
-    text, shift, k = left[0] + right[0], len(left[0]), WINDOW
+    (lt, li), (rt, ri), k = left, right, codec.window
+    if not lt or not rt:
+        return lt + rt, np.concatenate((li, ri))
     while True:
-        a, b = max(len(left[1]) - k, 0), min(k, len(right[1]))
-        start = left[2][a] if a else 0
-        end = shift + right[2][b] if b < len(right[1]) else len(text)
-        ids, offsets = codec.spans(text[start:end])
-        begins = [start + x for x in _starts(text[start:end], offsets)]
-        if a == 0 and b == len(right[1]):
-            return text, ids, begins
-        pairs = lambda i, s: dict(zip(zip(s, i), range(len(i))))
-        left_at = pairs(left[1][a:], left[2][a:])
-        right_at = pairs(right[1][:b], [shift + x for x in right[2][:b]])
-        unique = lambda s, j: s.count(s[j]) == 1  # noqa: E731  bytes of one character may share its place
-        first = 0 if a == 0 else next((j for j in range(len(ids)) if begins[j] < shift and (begins[j], ids[j]) in left_at and unique(begins, j)), None)
-        last = len(ids) if b == len(right[1]) else next((j for j in range(len(ids) - 1, -1, -1) if begins[j] >= shift and (begins[j], ids[j]) in right_at and unique(begins, j)), None)
+        tail, head = lt[-k:], rt[:k]
+        ids, at = codec.tokens(tail + head)
+        if len(tail) == len(lt) and len(head) == len(rt):
+            return lt + rt, np.array(ids, "<u4")
+        ends = [a for a, _ in at]
+        unique = lambda j: ends.count(ends[j]) == 1  # noqa: E731  bytes of one character may share its place
+        first, before, last, after = 0, 0, len(ids), len(ri)
+        if len(tail) < len(lt):
+            some, where = codec.tokens(tail)
+            same = _alike(np.array(some[::-1], "<u4"), li[: -len(some) - 1 : -1] if len(some) < len(li) else li[::-1])
+            known = {(where[j], some[j]): len(li) - (len(some) - j) for j in range(len(some) - same, len(some))}
+            first = next((j for j in range(len(ids)) if (at[j], ids[j]) in known and unique(j)), None)
+            before = None if first is None else known[at[first], ids[first]]
+        if len(head) < len(rt):
+            some, where = codec.tokens(head)
+            same, shift = _alike(np.array(some, "<u4"), ri), len(tail)
+            known = {((a + shift, b + shift), i): j for j, ((a, b), i) in enumerate(zip(where[:same], some))}
+            last = next((j for j in range(len(ids) - 1, -1, -1) if (at[j], ids[j]) in known and unique(j)), None)
+            after = None if last is None else known[at[last], ids[last]]
         if first is not None and last is not None and first <= last:
-            head = 0 if a == 0 else a + left_at[begins[first], ids[first]]
-            tail = len(right[1]) if b == len(right[1]) and last == len(ids) else right_at[begins[last], ids[last]]
-            return text, left[1][:head] + ids[first:last] + right[1][tail:], left[2][:head] + begins[first:last] + [shift + x for x in right[2][tail:]]
+            return lt + rt, np.concatenate((li[:before], np.array(ids[first:last], "<u4"), ri[after if len(head) < len(rt) else len(ri) :]))
         k *= 2
 
 
@@ -194,86 +169,69 @@ _CODECS: dict[str, Codec] = {}
 def codec_of(path: str) -> Codec:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
     if path not in _CODECS:
+        _CODECS.clear()
         _CODECS[path] = Codec(path)
     return _CODECS[path]
 
 
-def _long_pieces(text: bytes, codec: Codec, size: int):
-    """(kind, piece) of a long text. kind 0: encode as it is; 1: part of a normalised run; 2: its last part."""
-    for piece in pieces_of(text, size):
-        run = piece.strip()
-        if len(run) > size and not _BLANK.search(run.decode()) and not any(s in run.decode() for s in codec.specials):
-            norm = codec.whole.normalizer.normalize_str(run.decode())
-            cuts = [] if re.search(r"\s", norm) else cuts_of(norm, size)
-            if cuts:
-                ends = [*cuts, len(norm)]
-                for a, b in zip([0, *cuts], ends):
-                    yield (2 if b == len(norm) else 1), norm[a:b].encode()
-                continue
-        yield 0, piece
+def encode_texts(codec: Codec, texts: list[bytes], leaf: int = LEAF) -> tuple[list[bytes], list[int]]:
+    """Ids of whole texts, and how many joins each took; the halves of all of them are encoded together."""
+    parts = [halves(t.decode(), leaf) if len(t) > leaf else [t] for t in texts]
+    flat = [p if isinstance(p, bytes) else p.encode() for some in parts for p in some]
+    made, at, out = codec.encode_many(flat), 0, []
+    for some in parts:
+        ids = made[at : at + len(some)]
+        at += len(some)
+        out.append(ids[0] if len(some) == 1 else join_tree(codec, [(p, np.frombuffer(i, "<u4")) for p, i in zip(some, ids)])[1].astype("<u4").tobytes())
+    return out, [len(some) - 1 for some in parts]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", piece: int = PIECE) -> DataFrame:
-    """__row, id, ids (little-endian unsigned 32-bit, as binary) of every whole text; null is empty.
+def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
+    """__row, id, ids (little-endian unsigned 32-bit, as binary) and joins (how many halves were joined) of every whole text; null is empty.
 
-    Short texts are encoded where they are read. Long ones are cut into pieces, spread over all tasks and put
-    together again per document, where the parts of an unsplit run are joined as a tree.
+    Texts are encoded in halves of halves where they are read. Very long ones are dealt out: their halves are
+    encoded in any task, and joined in the one that makes the document's row. Rows that repeat an id are texts
+    of their own, an empty text has no ids, an empty table gives no rows, and other columns are ignored.
     """
-    rows = numbered(docs).select(ROW, F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    long = F.octet_length("text") > piece
+    rows = numbered(settled(docs)).select(ROW, F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    long = F.octet_length("text") > spread
     id_type = rows.schema["id"].dataType.simpleString()
+    key, names = f"{ROW} {ROW_TYPE}, id {id_type}", [ROW, "id", "ids", "joins"]
 
     def short(batches):
         codec = codec_of(path)
         for b in slices(batches):
-            ids = codec.encode_many(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=[ROW, "id", "ids"])
+            ids, joins = encode_texts(codec, b.column(2).to_pylist(), leaf)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()), pa.array(joins, pa.int32())], names=names)
 
     def cut(batches):
-        codec = codec_of(path)
-        for b in batches:
-            for row, i, t in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
-                made = list(_long_pieces(t, codec, piece))
-                n = len(made)
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * n, pa.int64()), pa.array([i.as_py()] * n, b.column(1).type), pa.array(range(n), pa.int32()), pa.array([k for k, _ in made], pa.int32()), pa.array([p for _, p in made], pa.binary())], names=[ROW, "id", "piece", "kind", "text"])
+        for b in slices(batches, 1):
+            made = halves(b.column(2)[0].as_py().decode(), leaf)
+            at = pa.array([0] * len(made), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(range(len(made)), pa.int32()), pa.array(made, pa.string())], names=[ROW, "id", "piece", "text"])
 
     def part(batches):
         codec = codec_of(path)
-        for b in batches:
-            ids, starts = [], []
-            for kind, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                if kind:
-                    _, i, s = encode_part(codec, t.decode())
-                    ids.append(np.array(i, "<u4").tobytes())
-                    starts.append(np.array(s, "<u4").tobytes())
-                else:
-                    ids.append(codec.encode(t))
-                    starts.append(b"")
-            text_kept = [t if k else b"" for k, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(text_kept, pa.binary()), pa.array(ids, pa.binary()), pa.array(starts, pa.binary())], names=[ROW, "id", "piece", "kind", "text", "ids", "starts"])
+        for b in slices(batches):
+            ids = codec.encode_many([t.encode() for t in b.column(3).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[ROW, "id", "piece", "text", "ids"])
 
     def whole(table: pa.Table) -> pa.Table:
-        codec, out, run = codec_of(path), [], []
-        for r in sorted(table.to_pylist(), key=lambda r: r["piece"]):
-            if r["kind"]:
-                run.append((r["text"].decode(), np.frombuffer(r["ids"], "<u4").tolist(), np.frombuffer(r["starts"], "<u4").tolist()))
-                if r["kind"] == 2:
-                    out.append(np.array(join_tree(codec, run)[1], "<u4").tobytes())
-                    run = []
-            else:
-                out.append(r["ids"])
+        table = table.sort_by("piece")
+        parts = [(t, np.frombuffer(i, "<u4")) for t, i in zip(table.column("text").to_pylist(), table.column("ids").to_pylist())]
+        ids = join_tree(codec_of(path), parts)[1].astype("<u4").tobytes()
         first = table.slice(0, 1)
-        return pa.table([first.column(ROW), first.column("id"), pa.array([b"".join(out)], pa.binary())], names=[ROW, "id", "ids"])
+        return pa.table([first.column(ROW), first.column("id"), pa.array([ids], pa.binary()), pa.array([len(parts) - 1], pa.int32())], names=names)
 
-    schema = f"{ROW} long, id {id_type}, ids binary"
-    near = rows.filter(~long).mapInArrow(short, schema)
-    cuts = rows.filter(long).mapInArrow(cut, f"{ROW} long, id {id_type}, piece int, kind int, text binary").repartition(ROW, "piece")
-    parts = cuts.mapInArrow(part, f"{ROW} long, id {id_type}, piece int, kind int, text binary, ids binary, starts binary")
+    schema = f"{key}, ids binary, joins int"
+    near = in_tasks(rows.filter(~long), short, schema)
+    dealt = in_tasks(rows.filter(long), cut, f"{key}, piece int, text string").repartition(ROW, "piece")
+    parts = in_tasks(dealt, part, f"{key}, piece int, text string, ids binary")
     return near.unionByName(parts.groupBy(ROW).applyInArrow(whole, schema))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add decoded, the text that the library's decode() gives for the ids."""
+    """Add decoded, the text that the library's decode() gives for the ids (a column of that name is replaced)."""
     fields = [f for f in encoded.columns if f != "decoded"]
     encoded = encoded.select(*fields)
     at = fields.index("ids")
@@ -286,7 +244,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [pieces(np.frombuffer(x, "<u4").tolist()) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*fields, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return in_tasks(encoded, run, schema)
 
 
 def decoder_of(codec: Codec):

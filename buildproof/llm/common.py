@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
+ROW_TYPE = "struct<file:bigint,index:bigint>"
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -26,20 +30,55 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Tables of stage() that are still there: path and session.
+_STAGED: dict[str, SparkSession] = {}
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    What a lazy result still reads can't be deleted by the operator that made it; it goes with discard_since(), or
+    when the application ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/stage-{name}-{uuid.uuid4().hex}"
+    _STAGED[path] = df.sparkSession
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
 
 
-def discard(staged: DataFrame) -> None:
-    """Delete a table that stage() wrote, once all that was made of it has been written in turn."""
-    jvm = staged.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staged._stage_path)
-    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(path: str) -> None:
+    spark = _STAGED.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables that stage() wrote, once all that was made of them has been written in turn."""
+    for df in staged:
+        if getattr(df, "_stage_path", None):
+            _delete(df._stage_path)
+
+
+def staged_now() -> set[str]:
+    return set(_STAGED)
+
+
+def discard_since(before: set[str], *but: DataFrame) -> None:
+    """Delete the tables staged since staged_now() gave `before`, but for some that are still read."""
+    for path in set(_STAGED) - before - {df._stage_path for df in but}:
+        _delete(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in list(_STAGED):
+        try:
+            _delete(path)
+        except Exception:  # the session is gone; its folder is the application's to clear
+            _STAGED.pop(path, None)
 
 
 def apart(grouped: DataFrame, *keys: str) -> DataFrame:
@@ -51,18 +90,69 @@ def apart(grouped: DataFrame, *keys: str) -> DataFrame:
     return grouped.repartition(F.xxhash64(*keys, F.lit(1)))
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df is nothing but a scan of Parquet files, each read once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "SubqueryAlias":
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    relation = plan.relation()
+    return relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and relation.location().rootPaths().size() == 1
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows as a plain scan of Parquet files, whose rows have a fixed place; anything else is staged first.
+
+    An operator that reads its input more than once settles it, so that every reading gives the same rows
+    under the same numbers, whatever df is made of (a shuffle, a random filter, a join).
+    """
+    return df if _plain_scan(df) else stage(df, "rows")
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """Add a row number that tells repeated rows and null ids apart.
+    """Add the place of every row of a settled table, which tells repeated rows and null ids apart.
 
-    It is stable as long as the table's files and their splits are. Splits follow the number of cores unless it is
-    fixed, so it is fixed here: executors that come or go must not renumber a later scan.
+    The place is the hash of the file's path and the row's index in that file. Both belong to the
+    file, so lost executors, other splits or other plans never renumber a later scan.
     """
-    conf = df.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":  # the default, for rows that are whole texts
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
-    if conf.get("spark.sql.files.minPartitionNum", None) is None:
-        conf.set("spark.sql.files.minPartitionNum", str(df.sparkSession.sparkContext.defaultParallelism))
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    at = df.metadataColumn("_metadata")
+    return df.withColumn(ROW, F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("index")))
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The place of every row of a settled table, and the row as a struct `doc`, so that no column of it can clash."""
+    at = df.metadataColumn("_metadata")
+    place = F.struct(F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("index"))
+    return df.select(place.alias(ROW), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand at most 4 MB of rows to Python at once. For queries and jobs to call; operators change no setting."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def release() -> None:
+    """Hand back what a task has left in its worker process, since workers are reused by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def in_tasks(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with a function of all batches of a task; the worker's memory is handed back at the end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
@@ -79,7 +169,7 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return in_tasks(df, run, schema)
 
 
 def slices(batches, rows: int = 256):

@@ -37,4 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._stage_path = now._stage_path  # what it reads
+    return out

@@ -7,23 +7,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, apart, arrow_map, numbered, stage
+from .common import ROW, ROW_TYPE, apart, arrow_map, discard_since, numbered, settled, stage, staged_now
 from .components import components
 
 THRESHOLD = 0.95
-#: Vectors of a tile, and rows of a tile compared at a time.
-TILE, BLOCK = 4096, 1024
-#: The share of all dimensions that is accumulated first.
-LEADING = 0.5
-#: Cells of the space of the first axes; tiles are cut from cells. Split points come from a bounded sample.
-CELLS, SAMPLE = 64, 20_000
+#: Bytes of the vectors of a tile, and rows of a tile compared at a time.
+TILE, BLOCK = 8 << 20, 1024
+#: Shares of all dimensions after each of which the pairs that can't reach the threshold are given up.
+SHARES = (0.125, 0.25, 0.5, 1.0)
+#: Axes that the boxes of cells are measured on. Axes and split points come from a sample of at most so many vectors, and of
+#: so many bytes; a cell needs PER_CELL of them. They decide what is compared first, never what is found.
+NEAR_AXES, SAMPLE, SAMPLE_BYTES, PER_CELL = 8, 20_000, 32 << 20, 8
 #: Single-precision products are off by less than this for unit vectors.
 SLACK = 1e-4
 
 
 def vectors_of(table: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     """__row, id, v (float bytes), dim, ok of every row. ok: not null, all finite, some component not zero."""
-    rows = numbered(table).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = numbered(settled(table)).select(ROW, F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     def batch(b):
         column = b.column(2)
@@ -38,7 +39,7 @@ def vectors_of(table: DataFrame, vector: str = "embedding", id_col: str = "vec_i
             ok.append(good)
         return {ROW: b.column(0), "id": b.column(1), "v": out, "dim": dims, "ok": ok}
 
-    return arrow_map(rows, batch, f"{ROW} long, id long, v binary, dim int, ok boolean")
+    return arrow_map(rows, batch, f"{ROW} {ROW_TYPE}, id {rows.schema['id'].dataType.simpleString()}, v binary, dim int, ok boolean")
 
 
 def _unit(column, dim: int) -> np.ndarray:
@@ -48,21 +49,12 @@ def _unit(column, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def axes_of(distinct: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes (columns, most variance first) of all unit vectors; dim x dim sums reach the driver."""
+def axes_of(sample: np.ndarray, dim: int) -> np.ndarray:
+    """Principal axes (columns, most variance first) of some unit vectors."""
+    return np.linalg.eigh(sample.T @ sample)[1][:, ::-1] if len(sample) else np.eye(dim)
 
-    def batch(b):
-        u = _unit(b.column(0), dim)
-        i, j = np.indices((dim, dim))
-        return {"i": i.ravel(), "j": j.ravel(), "s": (u.T @ u).ravel()}
-
-    second = np.zeros((dim, dim))
-    for i, j, s in arrow_map(distinct.select("v"), batch, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s")).collect():
-        second[i, j] = s
-    return np.linalg.eigh(second)[1][:, ::-1]
 
-
-def cells_of(sample: np.ndarray, cells: int = CELLS) -> list:
+def cells_of(sample: np.ndarray, cells: int) -> list:
     """A tree of medians over the leading axes: nested [axis, value, below, above], or a cell's number."""
     numbers = iter(range(cells))
 
@@ -86,23 +78,41 @@ def cell_of(tree, points: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool):
+def _steps(dim: int) -> list[int]:
+    return sorted({max(1, round(dim * share)) for share in SHARES})
+
+
+def compare(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float, same: bool, seen: list | None = None):
     """Pairs (i, j) of unit rows of a and b with cosine >= threshold; i < j where the tiles are the same.
 
-    Products of the leading axes come first. What the others can add is at most the product of the
-    norms of the suffixes; where that can't reach the threshold the pair is done. The rest is computed in double precision.
+    Products are accumulated from the leading axes on. After each step, what the other axes can add is at most the product
+    of the norms of the suffixes; a block in which no pair can reach the threshold is given up, rows and columns
+    without such a pair are left out, and few such pairs are computed at once. All are, in double precision. seen: gets the share of axes that each block took.
     """
-    lead = max(1, int(axes.shape[0] * LEADING))
+    ends = _steps(axes.shape[0])
+    begins = [0, *ends[:-1]]
     ra, rb = a @ axes, b @ axes
-    sa, sb = (np.sqrt((r[:, lead:] ** 2).sum(1)).astype(np.float32) for r in (ra, rb))
-    la, lb = ra[:, :lead].astype(np.float32), rb[:, :lead].astype(np.float32)
+    suffix = [[np.sqrt((r[:, e:] ** 2).sum(1)).astype(np.float32) for e in ends] for r in (ra, rb)]
+    fa, fb = ra.astype(np.float32), rb.astype(np.float32)
     found_i, found_j = [], []
     for p in range(0, len(a), BLOCK):
         for q in range(p if same else 0, len(b), BLOCK):
-            reach = la[p : p + BLOCK] @ lb[q : q + BLOCK].T
-            reach += np.multiply.outer(sa[p : p + BLOCK], sb[q : q + BLOCK])
-            i, j = np.nonzero(reach >= threshold - SLACK)
-            i, j = i + p, j + q
+            rows, cols = np.arange(p, min(p + BLOCK, len(a))), np.arange(q, min(q + BLOCK, len(b)))
+            total = np.zeros((len(rows), len(cols)), np.float32)
+            for k, (start, end) in enumerate(zip(begins, ends)):
+                total += fa[rows, start:end] @ fb[cols, start:end].T
+                open_ = total + np.multiply.outer(suffix[0][k][rows], suffix[1][k][cols]) >= threshold - SLACK
+                i, j = np.nonzero(open_)
+                if len(i) * 64 <= open_.size:
+                    break
+                wide, tall = open_.any(1), open_.any(0)
+                if wide.mean() * tall.mean() < 0.5:
+                    total = total[np.ix_(wide, tall)]
+                    i, j = (np.cumsum(wide) - 1)[i], (np.cumsum(tall) - 1)[j]
+                    rows, cols = rows[wide], cols[tall]
+            if seen is not None:
+                seen.append(end / axes.shape[0])
+            i, j = rows[i], cols[j]
             if same:
                 i, j = i[i < j], j[i < j]
             for start in range(0, len(i), 1 << 16):
@@ -130,16 +140,19 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def _tiles(distinct: DataFrame, dim: int, axes: np.ndarray, threshold: float, tile: int) -> DataFrame:
-    """pair, side, node ids, copies and vectors of every pair of tiles that may hold a link."""
-    near_axes = min(4, dim)
+def _tiles(distinct: DataFrame, dim: int, threshold: float, tile: int) -> tuple[np.ndarray, DataFrame]:
+    """Principal axes; and pair, side, node ids, copies and vectors of every pair of tiles that may hold a link.
+
+    Cells are boxes on the leading axes, one for each tile's worth of vectors as far as the sample tells them
+    apart; larger cells are cut into tiles by hash. Two cells further apart than the threshold allows are no pair.
+    """
+    n, most = distinct.count(), min(SAMPLE, SAMPLE_BYTES // (8 * dim))
+    spot = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30))
+    sample = [bytes(r.v) for r in distinct.filter(spot).select("v").limit(2 * most).collect()]
+    points = _unit(pa.array(sample, pa.binary()), dim) if sample else np.zeros((0, dim))
+    axes, near_axes = axes_of(points, dim), min(NEAR_AXES, dim)
     lead = axes[:, :near_axes]
-    n = distinct.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    spot = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = [bytes(r.v) for r in distinct.filter(spot).select("v").collect()]
-    points = _unit(pa.array(sample, pa.binary()), dim) @ lead if sample else np.zeros((0, near_axes))
-    tree = cells_of(points, max(1, min(CELLS, n // tile)))
+    tree = cells_of(points @ lead, max(1, min(len(sample) // PER_CELL, n // tile)))
 
     def place(b):
         at = _unit(b.column(2), dim) @ lead
@@ -175,16 +188,16 @@ def _tiles(distinct: DataFrame, dim: int, axes: np.ndarray, threshold: float, ti
         at = pa.array(out.pop("at"), pa.int64())
         return out | {name: b.column(name).take(at) for name in ("nodes", "copies", "vectors")}
 
-    return arrow_map(blobs, spread, "pair string, side int, nodes binary, copies binary, vectors binary")
+    return axes, arrow_map(blobs, spread, "pair string, side int, nodes binary, copies binary, vectors binary")
 
 
-def tile_links(distinct: DataFrame, dim: int, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def tile_links(distinct: DataFrame, dim: int, threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
     """kind, a, b: kind 0: node a has links to b vectors of other classes; kind 1: a and b belong together.
 
     distinct: node, copies, v. A pair of tiles gives at most one row of each kind per vector, however
     many links it finds.
     """
-    axes = axes_of(distinct, dim)
+    axes, tiles = _tiles(distinct, dim, threshold, tile or max(256, TILE // (8 * dim)))
 
     def run(table: pa.Table) -> pa.Table:
         sides = {}
@@ -204,18 +217,21 @@ def tile_links(distinct: DataFrame, dim: int, threshold: float = THRESHOLD, tile
         kind = np.concatenate((np.zeros(len(a) - len(u), np.int32), np.ones(len(u), np.int32)))
         return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return _tiles(distinct, dim, axes, threshold, tile).groupBy("pair").applyInArrow(run, "kind int, a long, b long")
+    return tiles.groupBy("pair").applyInArrow(run, "kind int, a long, b long")
 
 
-def near_vectors(table: DataFrame, vector: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def near_vectors(table: DataFrame, vector: str = "embedding", id_col: str = "vec_id", threshold: float = THRESHOLD, tile: int | None = None) -> DataFrame:
     """__row, id, n_links, component_id, kept of every vector.
 
     Equal vectors form a class that is compared once, so a group of copies may hold a third of all rows. A vector that
     is null, empty, zero or holds a null or non-finite component links with nothing; vectors of different length
-    never link. component_id is the least id of a component; repeated ids count as vectors of their own.
+    never link. component_id is the least id of a component; repeated ids count as vectors of their own. An empty
+    table gives no rows; other columns are ignored.
     """
     rows = stage(vectors_of(table, vector, id_col), "vectors")
-    classes = stage(rows.filter("ok").groupBy("v", "dim").agg(F.count(F.lit(1)).alias("copies"), F.min(ROW).alias("node"), F.min("id").alias("least")), "classes")
+    classes = rows.filter("ok").groupBy("v", "dim").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written with its number
+    before = staged_now()
     dims = [r.dim for r in classes.select("dim").distinct().collect()]
     found = None
     for dim in dims:
@@ -224,6 +240,7 @@ def near_vectors(table: DataFrame, vector: str = "embedding", id_col: str = "vec
     if found is None:
         return rows.select(ROW, "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = stage(found, "links")
+    discard_since(before, found)
     degree = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("far"))
     roots = components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     joined = classes.join(degree, "node", "left").join(roots, "node", "left").select("v", "copies", "least", F.coalesce("far", F.lit(0)).alias("far"), F.coalesce("root", "node").alias("root"))

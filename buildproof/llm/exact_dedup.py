@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ROW, apart, numbered, stage
+from .common import BLANKS, ROW, apart, numbered, settled, stage, whole_rows
 
 PREFIX_CHARS = 64
 
@@ -54,11 +54,11 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     """Group of every document, with the digest of its normalised text.
 
     Texts are equal when identical without the characters of [\\x20\\x09-\\x0D]; null counts as empty. The row
-    with the most code points, then the smallest id (null last), then the first place in the table stays.
+    with the most code points, then the smallest id (null last), then the least place in the table stays.
     Returns __row, id, keep_id, group_size, kept, full. An empty table gives no rows; columns with other
     names are ignored. Since the digest of every row is asked for, the full hash is taken in the one scan.
     """
-    keys = stage(text_keys(numbered(docs), text, id_col, full=True), "text-keys")
+    keys = stage(text_keys(numbered(settled(docs)), text, id_col, full=True), "text-keys")
     groups = copy_groups(survivors(keys))
     joined = keys.join(groups, "full", "left")
     return joined.select(
@@ -72,13 +72,15 @@ def exact_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents without the copies that exact_groups() drops; all columns stay.
+    """The documents without the copies that exact_groups() drops; all columns stay as they are, whatever their names.
 
-    Only survivors of the length and prefix stages have their text read again for the full hash.
+    Only survivors of the length and prefix stages have their text read again for the full hash. Rows that repeat
+    an id are documents of their own; an empty table gives no rows.
     """
+    docs = settled(docs)
     rows = numbered(docs)
     alive = survivors(stage(text_keys(rows, text, id_col), "text-keys"))
     texts = rows.select(ROW, F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("full"))
     alive = alive.join(texts, ROW)
     losers = alive.join(copy_groups(alive), "full").filter(F.col("keep_row") != F.col(ROW)).select(ROW)
-    return rows.join(losers, ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return whole_rows(docs).join(losers, ROW, "left_anti").select("doc.*")

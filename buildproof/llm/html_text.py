@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, apart, numbered, slices, stage
+from .common import ROW, ROW_TYPE, apart, in_tasks, numbered, settled, slices, stage
 
 #: A subtree on at least so many different pages of a host is part of the site's template, if these are so many
-#: of each thousand of its pages too.
+#: of each thousand of its pages too. On a host with fewer pages nothing can be counted, and telling names serve instead.
 MIN_PAGES, PER_MILLE = 5, 10
 #: On pages without article or main, such elements, and plain div elements without others in them, in the block with most text of its own go only if most pages of the host have them.
 PASSAGES = frozenset("p blockquote pre li dl dd dt table".split())
 
 # Element names and naming habits of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
-DROPPED = frozenset("aside button canvas dialog embed footer form head iframe input math menu nav noscript object option select svg template textarea title audio video".split())
+DROPPED = frozenset("aside button canvas dialog embed footer form head iframe input menu nav noscript object option select svg template textarea title audio video".split())
 INNER = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol tr tbody thead tfoot caption figure figcaption address details summary center".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,42 +29,71 @@ OWN_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)
 SCOPES = frozenset("ul ol dl table body article main section div aside nav footer form header".split())
 _HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|notice|consent|gdpr|popup|modal|newsletter|subscribe|subscription|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|topbar|share|sharing|social|related|recommended|comment|comments|commentlist|disqus|respond|widget|pagination|pager|login|search)(?:$|[\s_-])", re.I)
 _ROLE = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|alertdialog|menu|menubar|form)$", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Classes that mean adverts and reader comments and nothing else: these go inside an article too.
+_NEVER_TEXT = frozenset("ad ads advert adverts advertisement sponsored comments commentlist comment-list disqus".split())
+_NAME, _STOP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile(r"=\s*[\"']|>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+#: Stands for the page itself among its elements, so that the pages of a host are counted with its subtrees.
+WHOLE = -1
+
+
 class Page:
     """The elements that give a page its structure, and its text with the element around each stretch.
 
-    parent, tag, dropped, guarded, holds: one entry per element. guarded: inside an article or main element; holds: such
+    parent, tag, dropped, hinted, guarded, holds: one entry per element. dropped: by what kind of element it is; hinted: its
+    class or id tells of a menu, an advert or the like; guarded: inside an article or main element; holds: such
     an element is inside. runs: (element, text), with element -1 where a block ends.
     """
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.dropped, self.guarded, self.holds, self.label = [], [], [], [], [], []
+        self.parent, self.tag, self.dropped, self.hinted, self.guarded, self.holds, self.label = [], [], [], [], [], [], []
         self.runs: list[tuple[int, str]] = []
         self.stack: list[int] = []
+        self.open: dict[str, int] = {}
+        self._read(source)
+
+    def _read(self, source: str) -> None:
+        """One way through the source: what follows a mark is looked for from there on, and the search goes on where it ended."""
         at, n = 0, len(source)
+        last = {q: source.rfind(q) for q in "\"'"}
         while at < n:
-            m = _TOKEN.search(source, at)
-            if m is None:
-                self._text(source[at:])
-                break
-            if m.start() > at:
-                self._text(source[at : m.start()])
-            at = m.end()
-            if m[2]:
-                tag = m[2].lower()
-                if m[1]:
-                    self._end(tag)
-                elif tag in RAW or tag == "script" or tag == "style":
-                    close = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*>?", re.I).search(source, at)
-                    at = close.end() if close else n
-                else:
-                    self._start(tag, m[3])
+            mark = source.find("<", at)
+            self._text(source[at : mark if mark >= 0 else n])
+            if mark < 0:
+                return
+            if source.startswith(("<!", "<?"), mark):
+                end = "-->" if source.startswith("<!--", mark) else "]]>" if source.startswith("<![CDATA[", mark) else ">"
+                found = source.find(end, mark + 2)
+                at = found + len(end) if found >= 0 else n
+                continue
+            closes = source.startswith("</", mark)
+            name = _NAME.match(source, mark + 1 + closes)
+            if name is None:
+                self._text("<")
+                at = mark + 1
+                continue
+            end, stop = name.end(), None
+            while (stop := _STOP.search(source, end)) and stop.group() != ">":
+                quote, end = stop.group()[-1], stop.end()
+                if end <= last[quote]:
+                    end = source.index(quote, end) + 1
+            if stop is None:  # the tag never ends: no tag is left
+                self._text(source[mark:])
+                return
+            tag, at = name.group().lower(), stop.end()
+            if closes:
+                self._end(tag)
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}(?![\w-])[^>]*>?", re.I).search(source, at)
+                at = close.end() if close else n
+            else:
+                self._start(tag, source[name.end() : stop.start()])
 
     def _text(self, text: str) -> None:
-        self.runs.append((self.stack[-1] if self.stack else -2, text))
+        if text:
+            self.runs.append((self.stack[-1] if self.stack else -2, text))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
@@ -83,26 +112,39 @@ class Page:
         guarded = around is not None and (self.guarded[around] or self.tag[around] in CONTENT)
         names = f"{found.get('class', '')} {found.get('id', '')}"
         drop = tag in DROPPED or (tag == "header" and not guarded) or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-        drop = drop or (tag not in CONTENT and tag not in ("html", "body") and (bool(_HINT.search(names)) or bool(_ROLE.match(found.get("role", "")))))
-        if tag in BLOCKS or drop:
+        own = tag not in CONTENT and tag not in ("html", "body")
+        drop = drop or (own and (bool(_ROLE.match(found.get("role", ""))) or not _NEVER_TEXT.isdisjoint(found.get("class", "").lower().split()) and guarded))
+        hint = own and not drop and bool(_HINT.search(names))
+        if tag in BLOCKS or drop or hint:
             self.parent.append(-1 if around is None else around)
             self.tag.append(tag)
             self.dropped.append(drop)
+            self.hinted.append(hint)
             self.guarded.append(guarded)
             self.holds.append(tag in ("html", "body"))
             self.label.append(f"{tag}.{names.strip()}")
             self.stack.append(len(self.tag) - 1)
+            self.open[tag] = self.open.get(tag, 0) + 1
             if tag in CONTENT:
-                for k in self.stack:
+                for k in reversed(self.stack):
+                    if self.holds[k] and self.tag[k] not in ("html", "body"):
+                        break
                     self.holds[k] = True
             if attributes.endswith("/") and tag not in BLOCKS:
-                self.stack.pop()
+                self._cut(len(self.stack) - 1)
+
+    def _cut(self, k: int) -> None:
+        for j in self.stack[k:]:
+            self.open[self.tag[j]] -= 1
+        del self.stack[k:]
 
     def _close_open(self, tags: set, stop: frozenset) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             tag = self.tag[self.stack[k]]
             if tag in tags:
-                del self.stack[k:]
+                self._cut(k)
                 self.runs.append((-1, ""))
                 return
             if tag in stop or (not stop and tag in BLOCKS and tag != "p"):
@@ -111,13 +153,22 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self.runs.append((-1, ""))
+        if not self.open.get(tag):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.tag[self.stack[k]] == tag:
-                del self.stack[k:]
+                self._cut(k)
                 return
             if self.tag[self.stack[k]] in CONTENT and tag not in ("body", "html"):
                 return
 
+    def labels(self) -> list[tuple[int, int]]:
+        """(element, hash of its label) of elements with telling names, and of the page itself: a slot that most pages have, whatever it holds."""
+        import xxhash
+
+        made = [(k, f"\x02{self.label[k]}") for k, hint in enumerate(self.hinted) if hint and not self.holds[k]]
+        return [(k, xxhash.xxh64_intdigest(x) - (1 << 63)) for k, x in [(WHOLE, "\x03"), *made]]
+
     def hashes(self) -> dict[int, int]:
         """Subtree hash of every element that may belong to a template: outside the content, and not around it."""
         import xxhash
@@ -135,7 +186,12 @@ class Page:
                 out[k] = digest - (1 << 64) if digest >> 63 else digest
         return out
 
-    def _spared(self, template: set[int], most: set[int]) -> set[int]:
+    def _named(self, template: set[int], most: set[int]) -> list[bool]:
+        """Elements that go by kind or name. A telling name counts outside the content where the host has too few pages to count, or where pages of the host have that slot; inside it, where most have."""
+        large = WHOLE in template
+        return [d or (h and not self.holds[k] and (k in most if self.guarded[k] else k in template or not large)) for k, (d, h) in enumerate(zip(self.dropped, self.hinted))]
+
+    def _spared(self, template: set[int], most: set[int], named: list[bool]) -> set[int]:
         """Recurring passages, and all in them, of the block that holds most text of the page itself, if nothing marks the content.
 
         The text of a passage counts for the element around it. Those that most pages of the host have are not spared.
@@ -143,11 +199,11 @@ class Page:
         if any(tag in CONTENT and not drop for tag, drop in zip(self.tag, self.dropped)):
             return set()
         around = set(self.parent)
-        passage = [tag in PASSAGES or (label == "div." and k not in around) for k, (tag, label) in enumerate(zip(self.tag, self.label))]
+        passage = [not hint and (tag in PASSAGES or (label == "div." and k not in around)) for k, (tag, label, hint) in enumerate(zip(self.tag, self.label, self.hinted))]
         part = [p or tag in INNER for p, tag in zip(passage, self.tag)]
         gone, block, size = [], [], {}
         for k, parent in enumerate(self.parent):
-            gone.append(self.dropped[k] or k in template or (parent >= 0 and gone[parent]))
+            gone.append(named[k] or k in template or (parent >= 0 and gone[parent]))
             block.append(block[parent] if parent >= 0 and part[k] else k)
         for k, text in self.runs:
             if k >= 0 and not gone[k]:
@@ -162,18 +218,23 @@ class Page:
             inside[k] = k == main or (parent >= 0 and inside[parent])
             if k != main and inside[k] and not lost[parent] and k not in most and (parent in out or (k in template and passage[k])):
                 out.add(k)
-            lost[k] = self.dropped[k] or (k in template and k not in out) or (parent >= 0 and lost[parent])
+            lost[k] = named[k] or (k in template and k not in out) or (parent >= 0 and lost[parent])
         return out
 
-    def text(self, template: set[int], most: set[int] = frozenset()) -> str:
-        """The blocks in page order, one a line, without what is dropped or part of the template.
+    def read(self, template: set[int], most: set[int] = frozenset()) -> tuple[str, int]:
+        """The blocks in page order, one a line, without what is dropped or part of the template; and how many subtrees the template took.
 
-        template: elements that recur on the host; most: those of them that stand on most of its pages.
+        template: elements that recur on the host, with WHOLE if it has pages enough to count; most: those of them
+        that stand on most of its pages. The template is taken first; kinds and names are for what it leaves.
         """
-        template = template - self._spared(template, most) if template else template
-        gone = []
+        named = self._named(template, most)
+        counted = {k for k in template if k >= 0 and not self.guarded[k]}
+        counted -= self._spared(counted, most, named) if counted else set()
+        gone, taken = [], 0
         for k, parent in enumerate(self.parent):
-            gone.append(self.dropped[k] or k in template or (parent >= 0 and gone[parent]))
+            below = parent >= 0 and gone[parent]
+            taken += k in counted and not below
+            gone.append(below or k in counted or named[k])
         blocks, current = [], []
         for k, text in [*self.runs, (-1, "")]:
             if k == -1:
@@ -183,7 +244,10 @@ class Page:
                 current = []
             elif k < 0 or not gone[k]:
                 current.append(text)
-        return "\n".join(blocks)
+        return "\n".join(blocks), taken
+
+    def text(self, template: set[int], most: set[int] = frozenset()) -> str:
+        return self.read(template, most)[0]
 
 
 def _host(url):
@@ -191,19 +255,22 @@ def _host(url):
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id", min_pages: int = MIN_PAGES) -> DataFrame:
-    """__row, id, url, text of every page; text is empty where nothing is left, and for null html.
+    """__row, id, url, text, n_template of every page; text is empty where nothing is left, and for null html.
 
-    Equal pages count once, so a page that was fetched many times is no template. A template stands on min_pages pages and on PER_MILLE
-    of each thousand of the host. The counts are partial sums by host and hash, and
-    what recurs is joined back by both; one host may hold most of the pages.
+    n_template: subtrees of the page that the counts removed. Equal pages count once, so a page that was fetched many times is
+    no template. A template stands on min_pages pages and on PER_MILLE of each thousand of the host; so does
+    the slot of an element with a telling name, whatever it holds. The counts are partial sums by host and hash, and
+    what recurs is joined back by both; one host may hold most of the pages. Rows that repeat an id are pages of their
+    own, pages without a host count as one host, an empty table gives no rows, other columns are ignored.
     """
-    rows = numbered(pages).select(ROW, F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    rows = numbered(settled(pages)).select(ROW, F.col(id_col).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def subtrees(batches):
-        for b in batches:
+        for b in slices(batches):
             at, order, digest = [], [], []
             for k, source in enumerate(b.column(3).to_pylist()):
-                for node, h in Page(source).hashes().items():
+                page = Page(source)
+                for node, h in [*page.labels(), *page.hashes().items()]:
                     at.append(k)
                     order.append(node)
                     digest.append(h)
@@ -211,9 +278,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(order, pa.int32()), pa.array(digest, pa.int64())], names=[ROW, "host", "page", "node", "subtree"])
 
     found = rows.select(ROW, _host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    found = stage(found.mapInArrow(subtrees, f"{ROW} long, host string, page long, node int, subtree long"), "subtrees")
-    totals = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    shared = found.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).filter(F.col("n") >= min_pages)
+    found = stage(in_tasks(found, subtrees, f"{ROW} {ROW_TYPE}, host string, page long, node int, subtree long"), "subtrees")
+    totals = found.filter(F.col("node") == WHOLE).select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    shared = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     shared = shared.join(apart(totals, "host"), "host").filter(F.col("n") * 1000 >= F.col("pages") * PER_MILLE)
     shared = shared.select("host", "subtree", (F.col("n") * 2 > F.col("pages")).alias("most"))
     template = found.join(apart(shared, "host", "subtree"), ["host", "subtree"]).groupBy(ROW).agg(F.collect_list("node").alias("template"), F.collect_list(F.when(F.col("most"), F.col("node"))).alias("most"))
@@ -231,10 +298,10 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
 
         grow = zstandard.ZstdDecompressor().decompress
         for b in slices(batches):
-            texts = [Page(grow(z).decode()).text(set(t or ()), set(m or ())) for z, t, m in zip(*(c.to_pylist() for c in b.columns[3:6]))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string())], names=[ROW, "id", "url", "text"])
+            made = [Page(grow(z).decode()).read(set(t or ()), set(m or ())) for z, t, m in zip(*(c.to_pylist() for c in b.columns[3:6]))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32())], names=[ROW, "id", "url", "text", "n_template"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    packed = rows.mapInArrow(pack, f"{ROW} long, id {id_type}, url string, z binary")  # pages are shuffled whole
+    packed = in_tasks(rows, pack, f"{ROW} {ROW_TYPE}, id {id_type}, url string, z binary")  # pages are shuffled whole
     joined = packed.join(template, ROW, "left").select(ROW, "id", "url", "z", "template", "most")
-    return joined.mapInArrow(read, f"{ROW} long, id {id_type}, url string, text string")
+    return in_tasks(joined, read, f"{ROW} {ROW_TYPE}, id {id_type}, url string, text string, n_template int")

@@ -7,11 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a window, and what one training document may give: windows spread over its whole text.
+from .common import in_tasks, settled, slices
+
+#: Bytes of a window. A text is cut into windows from its start to its end.
 WINDOW = 256
-TRAIN_WINDOWS = 3
-#: About so many labelled documents of each language are used for training; the bound of the sample.
-TRAIN_DOCS = 600
+#: At most so many windows of each language, out of all windows of its labelled documents, are used for training; the bound of the sample.
+TRAIN_WINDOWS = 3000
+#: A text is rejected if no language has so large a share of its probability: there is no majority among the windows.
+MAJORITY = 0.5
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
 FOLDS = 5
 UNKNOWN = "und"
@@ -124,29 +127,29 @@ class ByteNet:
         return out / np.maximum(np.where(lengths > 0, lengths, 1), 1)[:, None]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = TRAIN_DOCS) -> ByteNet | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_lang: int = TRAIN_WINDOWS) -> ByteNet | None:
     """A network learned from the text and label of labelled documents outside fold 0; None if there are none.
 
-    The sample is bounded: documents of each language whose id hashes low, per_lang of them at most, with
-    TRAIN_WINDOWS windows of WINDOW bytes each.
+    The sample is bounded: per_lang windows of each language at most. Every window of every such text may be in it, beginnings
+    and ends alike, by its hash; documents count alike, so one of many windows gives no more than others.
     """
+    windows = F.ceil(F.octet_length("text") / WINDOW).cast("int")
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text")).filter((fold(F.col("id")) != 0) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     langs = sorted(counts)
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / counts[k])))])
-    spot = F.xxhash64("id", F.lit(17))
-    rows = labelled.filter((F.pmod(spot, F.lit(1 << 30)) / float(1 << 30)) < F.element_at(share, F.col("lang")))
-    cut = lambda j: F.substring(F.col("text"), F.floor(F.octet_length("text") * (j / TRAIN_WINDOWS)).cast("int") + 1, F.lit(WINDOW))
-    rows = rows.select("lang", spot.alias("spot"), F.array(*[cut(j) for j in range(TRAIN_WINDOWS)]).alias("windows")).collect()
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(1.2 * per_lang / counts[k] * (1 << 30)))])
+    spot = lambda k: F.xxhash64("id", k, F.lit(17))
+    low = F.filter(F.sequence(F.lit(0), windows - 1), lambda k: F.pmod(spot(k), F.lit(1 << 30)) * windows < F.element_at(share, F.col("lang")))
+    each = F.transform(low, lambda k: F.struct(spot(k).alias("spot"), F.substring(F.col("text"), k * WINDOW + 1, F.lit(WINDOW)).alias("window")))
+    rows = labelled.select("lang", F.explode(each).alias("x")).select("lang", "x.spot", "x.window").collect()
     taken, x, y = dict.fromkeys(langs, 0), [], []
-    for r in sorted(rows, key=lambda r: (r.spot, r.windows)):
+    for r in sorted(rows, key=lambda r: (r.spot, r.lang, bytes(r.window))):
         if taken[r.lang] < per_lang:
             taken[r.lang] += 1
-            for window in dict.fromkeys(map(bytes, r.windows)):
-                x.append(np.frombuffer(window.ljust(WINDOW, b"\0"), np.uint8))
-                y.append(langs.index(r.lang))
+            x.append(np.frombuffer(bytes(r.window).ljust(WINDOW, b"\0"), np.uint8))
+            y.append(langs.index(r.lang))
     net = ByteNet(langs)
     net.fit(np.array(x), np.array(y))
     return net
@@ -156,42 +159,53 @@ def predict(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFra
     """All columns of docs with lang_pred and score (columns of these names are replaced).
 
     A text that is null or has no letter gets `und` with score 1; without a network every other gets `und`
-    with score 0. The whole text is read, window by window; the score is the mean probability.
+    with score 0. The whole text is read, window by window; the score is the mean probability. Each row is predicted
+    by itself, so repeated rows and ids get the same; an empty table gives no rows.
     """
     from pyspark.sql.types import DoubleType, StringType, StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs = docs.drop("lang_pred", "score")
-    rows = docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    letter = "letter"
+    while letter in docs.columns:
+        letter += "_"
+    rows = docs.withColumn(letter, F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)))
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     target = to_arrow_schema(schema)
+    at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches, 2048):
             letters = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             pred, score = np.full(b.num_rows, UNKNOWN, object), np.where(letters, 0.0, 1.0)
             if net is not None and letters.any():
-                texts = b.column(b.schema.get_field_index(text)).cast(pa.large_binary()).filter(pa.array(letters))
-                if texts.offset:
-                    texts = pa.concat_arrays([texts])
-                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                texts = pa.concat_arrays([b.column(at).cast(pa.large_binary()).filter(pa.array(letters))])
+                offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
                 proba = net.texts_proba(np.frombuffer(texts.buffers()[2], np.uint8), offsets)
                 best = proba.argmax(1)
                 pred[letters] = np.array(net.langs, object)[best]
                 score[letters] = np.clip(proba[np.arange(len(best)), best], 0, 1)
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(b.columns[:-1], target)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], schema=target)
 
-    return rows.mapInArrow(run, schema)
+    return in_tasks(rows, run, schema)
+
 
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """Train on the labelled documents of the table and predict for all of them: predict() says what each case gives."""
+    docs = settled(docs)
+    return predict(docs, train(docs, text, lang, id_col), text)
 
-def identify(docs: DataFrame, **names) -> DataFrame:
-    """Train on the labelled documents of the table and predict for all of them."""
-    return predict(docs, train(docs, **names), names.get("text", "text"))
 
+def drop_unknown(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", majority: float = MAJORITY) -> DataFrame:
+    """The documents whose language is told: a learned language is predicted, with a majority of the probability. All columns stay as they are.
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The documents with a letter in their text; where nothing could be learned, all of them stay too."""
-    found = identify(docs)
-    return found.filter((F.col("lang_pred") != UNKNOWN) | F.col("text").rlike(r"\p{L}")).select(*[f"`{c}`" for c in docs.columns])
+    Texts that are null or have no letter go, as do those of which no language has a majority. Where no labelled document
+    outside fold 0 is there to learn from, nothing can be told of a text with letters, and it stays. An empty table gives no rows.
+    """
+    docs = settled(docs)
+    net = train(docs, text, lang, id_col)
+    safe = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # no name of the table can clash with the prediction's
+    found = predict(safe, net, f"c{docs.columns.index(text)}")
+    told = F.col("lang_pred") != UNKNOWN
+    keep = told & (F.col("score") >= majority) if net is not None else F.col(f"c{docs.columns.index(text)}").rlike(r"\p{L}")
+    return found.filter(keep).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -1,74 +1,146 @@
-"""Line dedup by counting windows of lines, filtered by their least line hash: runs of lines that occurred before are deleted."""
+"""Line dedup by winnowing: minima of windows of line hashes are selected, equal ones joined, matches extended both ways, later runs deleted."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, apart, numbered, stage
+from .common import ROW, apart, discard, numbered, settled, stage, whole_rows
 
-#: Shorter runs are left alone unless they have many words and that is asked for; also the window over which a minimum is selected.
+#: Shorter runs are left alone unless they have many words and that is asked for; also the window of which a minimum is selected.
 MIN_RUN = 3
+#: Lines of a block in which matches are extended. Blocks overlap by a window, so none is cut in two.
+BLOCK = 64
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def windows(docs: DataFrame, text: str, id_col: str, run: int, min_words: int = 0) -> DataFrame:
-    """Every stretch of `run` lines with min_words words or more: its start, its hash, and its fingerprint, the least line hash in it, with its place."""
-    lines = lines_of(F.col(text))
-    columns = [F.transform(lines, lambda x: F.xxhash64(x)).alias("h")]
+def _hashes(text: str) -> Column:
+    return F.transform(lines_of(F.col(text)), lambda x: F.xxhash64(x))
+
+
+def _least_at(part: Column) -> Column:
+    """Place of the leftmost least hash in a stretch, from 0."""
+    return F.array_position(part, F.array_min(part)).cast("int") - 1
+
+
+def fingerprints(docs: DataFrame, text: str, id_col: str, run: int, min_words: int = 0) -> DataFrame:
+    """One row per selected line: place, finger (its hash), and the hashes around it that a window with it can hold, the first at `lo`.
+
+    Every window of `run` lines (with min_words words or more) selects its leftmost least hash; a line that several
+    windows select is one row. words: numbers of words of the lines around, if they count.
+    """
+    columns = [_hashes(text).alias("h")]
     if min_words:
-        columns.append(F.transform(lines, lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))).alias("n"))
+        columns.append(F.transform(lines_of(F.col(text)), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))).alias("words"))
     rows = docs.select(ROW, F.col(id_col).alias("id"), *columns).filter(F.size("h") >= run)
-    starts = F.sequence(F.lit(1), F.size("h") - (run - 1))
+    starts = F.sequence(F.lit(0), F.size("h") - run)
     if min_words:
-        starts = F.filter(starts, lambda i: F.aggregate(F.slice("n", i, F.lit(run)), F.lit(0), lambda s, n: s + n) >= min_words)
-    each = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(F.col("h"), i, F.lit(run)).alias("part")))
-    rows = rows.select(ROW, "id", F.explode(each).alias("w")).select(ROW, "id", "w.start", "w.part")
-    least = F.array_min("part")
-    return rows.select(ROW, "id", (F.col("start") - 1).alias("start"), F.lit(run).alias("len"), F.xxhash64("part").alias("window"), least.alias("finger"), (F.col("start") - 2 + F.array_position("part", least)).cast("int").alias("place"))
+        starts = F.filter(starts, lambda i: F.aggregate(F.slice("words", i + 1, F.lit(run)), F.lit(0), lambda s, n: s + n) >= min_words)
+    places = F.array_distinct(F.transform(starts, lambda i: i + _least_at(F.slice("h", i + 1, F.lit(run)))))
+    lo = lambda p: F.greatest(p - (run - 1), F.lit(0))
+    around = lambda c, p: F.slice(c, lo(p) + 1, p + run - lo(p))
+    made = lambda p: F.struct(p.alias("place"), F.get("h", p).alias("finger"), lo(p).alias("lo"), around("h", p).alias("around"), *([around("words", p).alias("words")] if min_words else []))
+    found = rows.select(ROW, "id", F.explode(F.transform(places, made)).alias("x"))
+    return found.select(ROW, "id", "x.*")
+
+
+def seeds(found: DataFrame, run: int, min_words: int = 0) -> DataFrame:
+    """start, len and hash of every window that selected one of these lines: the least match that counts."""
+    part = lambda c, s: F.slice(c, s - F.col("lo") + 1, F.lit(run))
+    last = F.least(F.col("place"), F.col("lo") + F.size("around") - run)
+    starts = F.when(last >= F.col("lo"), F.sequence(F.col("lo"), last)).otherwise(F.array().cast("array<int>"))
+    mine = lambda s: s + _least_at(part("around", s)) == F.col("place")
+    long = lambda s: F.aggregate(part("words", s), F.lit(0), lambda t, n: t + n) >= min_words if min_words else F.lit(True)
+    each = F.transform(F.filter(starts, lambda s: mine(s) & long(s)), lambda s: F.struct(s.alias("start"), F.xxhash64(part("around", s)).alias("window")))
+    return found.select(ROW, "id", "finger", F.explode(each).alias("x")).select(ROW, "id", "finger", "x.start", F.lit(run).alias("len"), "x.window")
+
+
+def _blocks(docs: DataFrame, text: str, run: int) -> DataFrame:
+    """Lines of every document in blocks, each line as two hashes: block, first line, lines."""
+    lines = F.transform(lines_of(F.col(text)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(run), x).alias("b")))
+    rows = docs.select(ROW, lines.alias("v"))
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / BLOCK).cast("int")), lambda k: F.struct(k.alias("block"), F.slice("v", k * BLOCK + 1, F.lit(BLOCK + run - 1)).alias("lines")))
+    return rows.select(ROW, F.explode(each).alias("x")).select(ROW, "x.block", "x.lines")
+
+
+def _extended(matches: DataFrame, blocks: DataFrame) -> DataFrame:
+    """__row, from, len of the runs of equal lines around matches. matches: __row, start, len, and the earlier place r0, s0.
+
+    Matches of one diagonal in a pair of blocks are extended together. The lines are compared again by both hashes;
+    a match that does not hold is dropped. What goes beyond a block is found from the matches in the next one.
+    """
+    pairs = matches.select(ROW, "start", "len", "r0", (F.col("start") - F.col("s0")).alias("shift"), F.floor(F.col("start") / BLOCK).cast("int").alias("block"), F.floor(F.col("s0") / BLOCK).cast("int").alias("block0"))
+    pairs = pairs.groupBy(ROW, "r0", "shift", "block", "block0").agg(F.collect_set(F.struct("start", "len")).alias("seeds"))
+    there = blocks.select(F.col(ROW).alias("r0"), F.col("block").alias("block0"), F.col("lines").alias("lines0"))
+    both = pairs.join(blocks, [ROW, "block"]).join(there, ["r0", "block0"])
+    at, at0 = F.col("block") * BLOCK, F.col("block0") * BLOCK + F.col("shift")
+    low = F.greatest(at, at0)
+    n = F.least(at + F.size("lines"), at0 + F.size("lines0")) - low
+    both = both.select(ROW, "seeds", low.alias("low"), n.alias("n"), F.zip_with(F.slice("lines", low - at + 1, n), F.slice("lines0", low - at0 + 1, n), lambda x, y: x == y).alias("same"))
+    both = both.select(ROW, "seeds", "low", "n", F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: ~F.get("same", i)).alias("off"))
+
+    def run(s: Column) -> Column:
+        j = s["start"] - F.col("low")
+        before = F.coalesce(F.array_max(F.filter("off", lambda i: i < j)), F.lit(-1))
+        after = F.coalesce(F.array_min(F.filter("off", lambda i: i >= j)), F.col("n"))
+        return F.struct((F.col("low") + before + 1).alias("from"), (after - before - 1).alias("len"), (after - j >= s["len"]).alias("holds"))
+
+    runs = F.array_distinct(F.filter(F.transform("seeds", run), lambda r: r["holds"]))
+    return both.select(ROW, F.explode(runs).alias("x")).select(ROW, "x.from", "x.len")
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """__row and runs (first line, number of lines) of every document that has lines to delete.
 
-    A stretch of `run` lines, or of fewer with min_words words or more if that is given, goes if it occurred before: in a row of smaller id (null last), or earlier in the table, or
-    earlier in the same text. Two equal stretches select the same minimum, so only places whose
-    fingerprint is shared are looked at. Among these, windows are told apart by the hash of all their lines; no match is
-    extended line by line. Counts are partial sums and joins can be split: a line may stand in most documents.
+    A stretch of `run` lines, or of fewer with min_words words or more if that is given, goes if it occurred before: in a row of
+    smaller id (null last), or of an earlier place, or earlier in the same text. Two equal stretches select
+    the same line, so only lines whose hash is selected twice are looked at; their windows are joined to the first
+    place of each, and the match is extended to the lines before and after it. Counts are partial sums
+    and joins can be split: a line may stand in most documents.
     """
-    each = windows(numbered(docs), text, id_col, run)
-    for short in range(1, run if min_words else 1):
-        each = each.union(windows(numbered(docs), text, id_col, short, min_words))
-    found = stage(each, "windows")
-    shared = found.groupBy("finger").agg(F.min(F.struct(ROW, "place")).alias("a"), F.max(F.struct(ROW, "place")).alias("b")).filter("a <> b").select("finger")
-    near = found.join(apart(shared, "finger"), "finger", "left_semi").select(ROW, "id", "start", "len", "window")
+    docs = settled(docs)
+    rows, found, staged = numbered(docs), None, []
+    for length in range(1 if min_words else run, run + 1):
+        words = 0 if length == run else min_words
+        kept = stage(fingerprints(rows, text, id_col, length, words), "fingerprints")
+        shared = kept.groupBy("finger").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("finger")
+        some = seeds(kept.join(apart(shared, "finger"), "finger", "left_semi"), length, words)
+        found = some if found is None else found.union(some)
+        staged.append(kept)
+    found = stage(found, "seeds")
+    discard(*staged)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("start").alias("start"))
-    first = near.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select("window", F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
-    later = near.join(apart(first, "window"), "window").filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0"))).select(ROW, "start", "len")
-    by_row = Window.partitionBy(ROW).orderBy("start", "len")
-    end = F.max(F.col("start") + F.col("len")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (F.col("start") > end).cast("int")
-    islands = later.withColumn("island", F.sum(F.coalesce(fresh, F.lit(0))).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.groupBy(ROW, "island").agg(F.min("start").alias("from"), (F.max(F.col("start") + F.col("len")) - F.min("start")).alias("len"))
+    key = ["finger", "window", "len"]
+    first = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select(*key, F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
+    later = found.join(apart(first, *key), key).filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0")))
+    blocks = stage(_blocks(rows, text, run), "line-blocks")
+    spans = stage(_extended(later, blocks), "runs")
+    discard(found, blocks)
+    by_row = Window.partitionBy(ROW).orderBy("from", "len")
+    end = F.max(F.col("from") + F.col("len")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.col("from") > end).cast("int")
+    islands = spans.withColumn("island", F.sum(F.coalesce(fresh, F.lit(0))).over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy(ROW, "island").agg(F.min("from").alias("from"), (F.max(F.col("from") + F.col("len")) - F.min("from")).alias("len"))
     return runs.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("from", "len"))).alias("runs"))
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """All columns of docs, the text without repeated runs; also n_lines and n_removed (columns of these names are replaced).
 
-    A null text stays null and counts one empty line. An empty table gives no rows.
+    A null text stays null and counts one empty line. Rows that repeat an id are documents of their own. An empty table gives no rows.
     """
+    docs = settled(docs)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    docs = docs.select(*[f"`{c}`" for c in names])
-    rows = numbered(docs).join(repeated_runs(docs, text, id_col, run, min_words).withColumnRenamed("runs", "__runs"), ROW, "left")
-    lines, runs = lines_of(F.col(text)), F.coalesce(F.col("__runs"), F.array().cast("array<struct<from:int,len:int>>"))
+    rows = whole_rows(docs).join(repeated_runs(docs, text, id_col, run, min_words), ROW, "left")
+    old = F.col("doc").getField(text)
+    lines, runs = lines_of(old), F.coalesce(F.col("runs"), F.array().cast("array<struct<from:int,len:int>>"))
     before = F.transform(runs, lambda r, i: F.when(i == 0, r["from"]).otherwise(r["from"] - F.get(runs, i - 1)["from"] - F.get(runs, i - 1)["len"]))
     kept = F.flatten(F.transform(runs, lambda r, i: F.slice(lines, r["from"] - F.get(before, i) + 1, F.get(before, i))))
     last = F.element_at(runs, -1)
     tail = F.slice(lines, last["from"] + last["len"] + 1, F.size(lines))
-    cut = F.when((F.size(runs) == 0) | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.concat(kept, tail), "\n"))
+    cut = F.when((F.size(runs) == 0) | old.isNull(), old).otherwise(F.array_join(F.concat(kept, tail), "\n"))
     removed = F.aggregate(runs, F.lit(0), lambda s, r: s + r["len"])
-    return rows.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in names], F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return rows.select(*[(cut if c == text else F.col("doc").getField(c)).alias(c) for c in names], F.size(lines).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))

@@ -13,22 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, stage
+from .common import ROW, ROW_TYPE, in_tasks, numbered, settled, slices, stage
 
 SEQUENCE = 1024
 END_ID = 2
-#: Steps of the multiplicative weights method, and how fast covered lengths lose weight.
-STEPS, RATE = 600, 8.0
+#: Phases of the multiplicative weights method and prices asked in each, how fast a length that lags behind gains
+#: weight, how much more a long piece is worth than its tokens, and how often what rounding leaves is solved again.
+PHASES, ASKED, RATE, POWER, ROUNDS = 2, 24, 0.5, 1.15, 4
 #: Texts that the library encodes itself: those with white space beyond ASCII, with separators that some tables
-#: count as white space, with what may be a special token, or with very long words.
+#: count as white space, with what may be a special token of the file, or with very long words.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-_ODD_ASCII, LONG_WORD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f"), 2000
+_ODD_ASCII, LONG_WORD = ("\x1c", "\x1d", "\x1e", "\x1f"), 2000
 #: The published pattern of byte-level BPE files of this kind.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def needs_care(text: str) -> bool:
-    return any(x in text for x in _ODD_ASCII) or (not text.isascii() and bool(_ODD.search(text))) or max(map(len, text.split()), default=0) > LONG_WORD
+def needs_care(text: str, special: tuple[str, ...] = ()) -> bool:
+    return any(x in text for x in (*_ODD_ASCII, *special)) or (not text.isascii() and bool(_ODD.search(text))) or max(map(len, text.split()), default=0) > LONG_WORD
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -41,39 +42,39 @@ def _bytes_of_characters() -> dict[str, int]:
 class ByteCodec:
     """Ids of texts by a byte-level BPE file.
 
-    Where the file's ids are the ranks of its merges, a rank-based encoder made of the same file does the bulk; it
-    gives the same ids in less time. Texts that need care, and files of another order, go to the library.
+    Where the file's ids are the ranks of its merges and it splits text by the published pattern and nothing else, a
+    rank-based encoder made of the same file does the bulk; it gives the same ids in less time. Texts that need care,
+    and all texts by other files, go to the library.
     """
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        model = json.loads(self.tokenizer.to_str())["model"]
+        self.path, self._library, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        model, splitter = config["model"], config.get("pre_tokenizer") or {}
+        self.special = tuple(t["content"] for t in config.get("added_tokens") or [])
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        ordered = all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        byte = _bytes_of_characters()
-        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special} if ordered else {}
-        self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if ordered else None
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.fast is None or needs_care(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        known = splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True) and not config.get("normalizer") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        if known and all(model["vocab"].get(a + b) == 256 + k for k, (a, b) in enumerate(pairs)):
+            byte = _bytes_of_characters()
+            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
+            self.fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def _slow(self, text: str) -> list[int]:
+        if self._library is None:
+            from tokenizers import Tokenizer
 
-_CODECS: dict[str, ByteCodec] = {}
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library.encode(text, add_special_tokens=False).ids
 
-
-def _codec(path: str) -> ByteCodec:
-    if path not in _CODECS:
-        _CODECS[path] = ByteCodec(path)
-    return _CODECS[path]
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        careful = self.fast is None or needs_care(text, self.special)
+        return np.array(self._slow(text) if careful else self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def piece_bounds(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -83,13 +84,16 @@ def piece_bounds(n: int, size: int = SEQUENCE) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id", size: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
-    """__row, id, piece, start, length, crc (and ids) of every document's pieces; null is empty."""
-    rows = numbered(docs).select(ROW, F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """__row, id, piece, start, length, crc (and ids) of every document's pieces; null is empty.
+
+    The encoder lives as long as a task, so that a reused worker keeps none of it.
+    """
+    rows = numbered(settled(docs)).select(ROW, F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        codec = _codec(path)
-        for b in batches:
+        codec = ByteCodec(path)
+        for b in slices(batches):
             at, cols = [], [[] for _ in range(5)]
             for k, t in enumerate(b.column(2).to_pylist()):
                 ids = codec.encode(t) + end
@@ -102,11 +106,11 @@ def pieces(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
             made = [b.column(0).take(at), b.column(1).take(at), pa.array(cols[0], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[1:4]]]
             yield pa.RecordBatch.from_arrays([*made, *([pa.array(cols[4], pa.binary())] if keep_ids else [])], names=[ROW, "id", "piece", "start", "length", "crc", *(["ids"] if keep_ids else [])])
 
-    return rows.mapInArrow(run, f"{ROW} long, id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long" + ", ids binary" * keep_ids)
+    return in_tasks(rows, run, f"{ROW} {ROW_TYPE}, id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, crc long" + ", ids binary" * keep_ids)
 
 
-def best_pattern(value: np.ndarray, lengths: np.ndarray, size: int) -> list[int]:
-    """The lengths, repeats allowed, that fit into `size` with the largest total value (knapsack by dynamic programming)."""
+def best_values(value: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """For every room up to size, which length to put into it last for the largest total value, or -1 (knapsack by dynamic programming)."""
     best, taken = np.zeros(size + 1), np.full(size + 1, -1, np.int64)
     upto = np.searchsorted(lengths, np.arange(size + 1), "right")
     for room in range(1, size + 1):
@@ -115,9 +119,14 @@ def best_pattern(value: np.ndarray, lengths: np.ndarray, size: int) -> list[int]
         if k:
             total = best[room - lengths[:k]] + value[:k]
             j = int(total.argmax())
-            if total[j] > best[room]:
+            if total[j] > best[room] + 1e-12:
                 best[room], taken[room] = total[j], j
-    out, room = [], size
+    return taken
+
+
+def best_pattern(taken: np.ndarray, lengths: np.ndarray, room: int) -> list[int]:
+    """The lengths (by index, repeats allowed) that best_values() puts into a room."""
+    out = []
     while room > 0:
         if taken[room] < 0:
             room -= 1
@@ -155,41 +164,84 @@ def fill(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
     return [x for found in open_by_gap.values() for x in found]
 
 
-def configure(counts: dict[int, int], size: int = SEQUENCE, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences for a histogram of lengths: (lengths in order, number of such sequences).
+def program(counts: dict[int, int], size: int = SEQUENCE) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
+    """(lengths, fractional uses of patterns) of the configuration program: full sequences that use each length as often as it occurs, at most.
 
-    The configuration program asks for the fewest patterns that cover every length as often as it occurs.
-    Multiplicative weights solve it: each step prices the lengths, most for those least covered, takes the
-    pattern of the greatest price and uses it a fixed share of the bound. Numbers are rounded down, and
-    the lengths still open are filled best fit, longest first. Whichever of this and plain best fit needs fewer sequences is returned.
+    Multiplicative weights: in each phase all lengths are to be used up to the same share of their number. The
+    lengths are priced, those that lag behind the most dearly (a price grows exponentially with the lag), those that have
+    their share not at all; a knapsack by dynamic programming gives the dearest filling of every room. Each
+    lagging length, the longest first, takes the filling of the room that it leaves, as often as the shares allow.
+    Then prices are asked again, until nothing more fits.
     """
-    plain = fill(counts, size)
-    lengths = np.array(sorted(k for k in counts if k < size), np.int64)
-    if not len(lengths):
-        return plain
+    lengths = np.array(sorted(counts), np.int64)
     need = np.array([counts[int(k)] for k in lengths], float)
-    bound = max(math.ceil((lengths * need).sum() / size), int(need[2 * lengths > size].sum()))
-    share, covered, uses = bound / steps, np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(steps):
-        price = np.exp(-RATE * covered / need) * lengths
-        price[covered >= need] = 0
-        if not price.any():
-            break
-        pattern = best_pattern(price, lengths, size)
-        np.add.at(covered, pattern, share)
-        uses[tuple(pattern)] += share
-    left, rounded = {k: n for k, n in counts.items()}, []
-    for pattern, amount in sorted(uses.items(), key=lambda x: -x[1]):
-        each = defaultdict(int)
-        for j in pattern:
-            each[int(lengths[j])] += 1
-        n = min(int(amount), *[left[k] // m for k, m in each.items()])
+    used, uses = np.zeros(len(lengths)), defaultdict(float)
+    for phase in range(1, PHASES + 1):
+        goal = need * phase / PHASES
+        for _ in range(ASKED):
+            lag = np.clip((goal - used) / need * PHASES, 0, 4)
+            price = (lengths / size) ** POWER * np.exp(RATE * lag)
+            price[used >= goal - 1e-9] = 0
+            taken, moved = best_values(price, lengths, size), False
+            for i in np.flatnonzero(goal - used > 1e-9)[::-1]:
+                pattern = [int(i), *best_pattern(taken, lengths, size - int(lengths[i]))]
+                if int(lengths[pattern].sum()) < size:
+                    continue
+                index, times = np.unique(pattern, return_counts=True)
+                amount = float(((goal[index] - used[index]) / times).min())
+                if amount > 1e-9:
+                    used[index] += amount * times
+                    uses[tuple(pattern)] += amount
+                    moved = True
+            if not moved:
+                break
+    return lengths, uses
+
+
+def _rounded(lengths: np.ndarray, uses: dict[tuple[int, ...], float], left: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
+    """Whole numbers for fractional uses, as far as pieces are left. What a pattern loses goes to the next with the same longest piece."""
+    carried, out = defaultdict(float), []
+    for pattern, amount in uses.items():
+        carried[pattern[0]] += amount
+        whole = int(carried[pattern[0]] + 1e-6)
+        carried[pattern[0]] -= whole
+        held = [int(k) for k in lengths[list(pattern)]]
+        times = {k: held.count(k) for k in held}
+        n = min(whole, *(left[k] // m for k, m in times.items()))
         if n:
-            rounded.append((tuple(sorted((int(lengths[j]) for j in pattern), reverse=True)), n))
-            for k, m in each.items():
+            out.append((tuple(sorted(held, reverse=True)), n))
+            for k, m in times.items():
                 left[k] -= n * m
-    rounded += fill({k: n for k, n in left.items() if n}, size)
-    return min((rounded, plain), key=lambda found: sum(n for _, n in found))
+    return out
+
+
+def configure(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences for a histogram of lengths: (lengths in order, number of such sequences).
+
+    The configuration program is solved and its uses are rounded; the pieces that rounding leaves are a smaller
+    program, solved in turn. What fills no sequence after that is filled best fit, longest first. If best fit
+    does better with the pieces of the last programs than these did, they are undone, but never the first.
+    """
+    left = dict(counts)
+    whole = [((size,), left.pop(size))] if size in left else []
+    rounds: list[list] = []
+    for _ in range(ROUNDS):
+        left = {k: n for k, n in left.items() if n}
+        found = _rounded(*program(left, size), left) if left else []
+        if not found:
+            break
+        rounds.append(found)
+    used = lambda some: sum(n for _, n in some)
+    best = None
+    for kept in range(len(rounds), min(len(rounds), 1) - 1, -1):
+        rest = {k: n for k, n in left.items() if n}
+        for held, n in (x for found in rounds[kept:] for x in found):
+            for k in held:
+                rest[k] = rest.get(k, 0) + n
+        made = [*whole, *(x for found in rounds[:kept] for x in found), *fill(rest, size)]
+        if best is None or used(made) < used(best):
+            best = made
+    return best
 
 
 def _slots(patterns) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -234,4 +286,4 @@ def pack(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
                 seq[rows], offset[rows] = base[j] + rank[rows] - first[j], at[j]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(assign, f"doc_id {made.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_tasks(ranked, assign, f"doc_id {made.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

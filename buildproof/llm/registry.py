@@ -22,6 +22,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from .common import small_batches
+
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,6 +78,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        "joins",
     )
 
 
@@ -99,7 +103,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
     found = extract(table(spark, sf_dir, "pages"))
-    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template")
 
 
 @query(

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, apart, arrow_map, numbered, stage
+from .common import ROW, ROW_TYPE, apart, arrow_map, discard_since, numbered, settled, slices, stage, staged_now, whole_rows
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -50,12 +50,12 @@ def fingerprint(text: bytes | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """__row, id and fingerprint of every document."""
-    rows = numbered(docs).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
+    rows = numbered(settled(docs)).select(ROW, F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
 
     def batch(b):
-        return {ROW: b.column(0), "id": b.column(1), "fp": [fingerprint(t) for t in b.column(2).to_pylist()]}
+        return {ROW: b.column(0), "id": b.column(1), "fp": [fingerprint(t) for s in slices([b]) for t in s.column(2).to_pylist()]}
 
-    return arrow_map(rows, batch, f"{ROW} long, id long, fp long")
+    return arrow_map(rows, batch, f"{ROW} {ROW_TYPE}, id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _bit_pairs(fps: DataFrame) -> np.ndarray:
@@ -180,11 +180,14 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
     A null or blank text has fingerprint 0 and links like any other. A null id is never a component_id
     unless a component has no other. keep_row is the row of the one that stays: the least id, then place.
+    Rows that repeat an id are documents of their own; an empty table gives no rows; other columns are ignored.
     """
     rows = stage(fingerprints(docs, text, id_col), "fingerprints")
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"))
     classes = stage(rows.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    before = staged_now()
     found = components(links(classes.select("fp")))
+    discard_since(before, found)
     roots = classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = roots.groupBy("root").agg(F.min("first").alias("best"))
     roots = roots.join(apart(least, "root"), "root").select("fp", F.col("best.id").alias("component_id"), F.col("best.row").alias("keep_row"))
@@ -192,7 +195,8 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents, one of each group that near_groups() finds; all columns stay."""
+    """The documents, one of each group that near_groups() finds; all columns stay, whatever their names."""
+    docs = settled(docs)
     found = near_groups(docs, text, id_col)
     losers = found.filter(F.col("keep_row") != F.col(ROW)).select(ROW)
-    return numbered(docs).join(losers, ROW, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return whole_rows(docs).join(losers, ROW, "left_anti").select("doc.*")

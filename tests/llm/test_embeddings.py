@@ -1,6 +1,6 @@
 import numpy as np
 
-from buildproof.llm.embeddings import near_vectors
+from buildproof.llm.embeddings import axes_of, compare, near_vectors
 
 
 def brute(rows):
@@ -50,3 +50,43 @@ def test_no_rows_and_no_usable_vector(spark):
     table = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted((r.id, r.n_links, r.component_id, r.kept) for r in near_vectors(table).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert near_vectors(table.limit(0)).count() == 0
+
+
+def test_many_tiles_hot_classes_and_chains(spark):
+    """64 dimensions, clusters about the threshold, chains of links, a class with a third of all rows, ids that are texts."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(150, 64))
+    made = [centers[k % 150] + rng.normal(size=64) * rng.choice([0.1, 0.2, 0.25, 0.3, 1.5]) for k in range(1600)]
+    step = centers[0]
+    for _ in range(40):
+        step = step + rng.normal(size=64) * 0.2
+        made.append(step)
+    vectors = np.array(made + [made[5]] * 800, np.float32).astype(float)
+    ids = [f"v{k:05d}" for k in rng.permutation(len(vectors))]
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.argsort(np.argsort(ids))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(label)).min(1))
+        if (low == label).all():
+            break
+        label = low
+    want = sorted((i, int(n), sorted(ids)[k]) for i, n, k in zip(ids, near.sum(1), label))
+    assert 100 < near.sum() and len(set(label)) < len(ids) - 1000
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id string, embedding array<double>")
+    for tile in (None, 64):
+        assert sorted((r.id, r.n_links, r.component_id) for r in near_vectors(table, tile=tile).collect()) == want
+
+
+def test_blocks_stop_early():
+    rng = np.random.default_rng(2)
+    spread = np.exp(-np.arange(64) / 6)  # most variance in a few axes, as embeddings have it
+    x = rng.normal(size=(3000, 64)) * spread
+    x[1] = x[0] * 1.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    seen = []
+    i, j = compare(x, x, axes_of(x, 64), 0.95, True, seen)
+    want = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want.tolist())) and (0, 1) in set(zip(i.tolist(), j.tolist()))
+    assert max(seen) < 1 and min(seen) <= 0.25

@@ -66,3 +66,35 @@ def test_passages_of_a_template_box_go_with_it():
     assert page.text({box, follow, cited}, {cited}) == "Long words of this page only."
     page = Page("<body><div class='top'>Site</div><div class='text'><div>Long words of this page only.</div><div>Cited</div></div></body>")
     assert page.text({1, 4}) == "Long words of this page only.\nCited" and page.text({1, 4}, {1, 4}) == "Long words of this page only."
+
+
+def test_names_delete_nothing_of_an_article():
+    inside = "<h2 id='related-work'>Related</h2><section id='search'><p>Search</p></section><div class='social-history'>Social</div><p>x <math><mi>y</mi></math></p>"
+    assert Page(f"<div class='page-widget'><article>{inside}<div class='ad'>Buy</div></article></div>").text(set()) == "Related\nSearch\nSocial\nx y"
+
+
+def test_reading_takes_time_in_proportion():
+    import time
+
+    for unit in ("<a ", '<a "', "<a b='", "<p", "<!--", "<div>", "</p>", "<p><article></p>", "<li><ul>", "<script>", "&", "<a b=' \">"):
+        began = time.perf_counter()
+        page = Page(unit * (1_000_000 // len(unit)))
+        page.hashes()
+        page.text(set())
+        assert time.perf_counter() - began < 8, unit
+    began = time.perf_counter()
+    assert Page('<a "' * 250_000).text(set()).startswith("<a")
+    assert time.perf_counter() - began < 1
+
+
+def test_counts_alone_find_boilerplate_without_telling_names(spark):
+    rows = [(k, f"http://plain.example/{k}", f"<div class='q{k % 2}'>Start here</div><div class='w7'><b>Offer</b> of the week</div><main><p>Text {k}</p></main><div>Written by the house</div>") for k in range(60)]
+    rows += [(100 + k, f"http://slots.example/{k}", f"<div class='ad'>Buy thing {k}</div><div class='widget'>once</div><p>Text {k}</p>" if k == 7 else f"<div class='ad'>Buy thing {k}</div><p>Text {k}</p>") for k in range(300)]
+    got = {r.id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].text == f"Text {k}" and got[k].n_template == 3 for k in range(60))
+    assert all(got[100 + k].text == f"Text {k}" for k in range(300) if k != 7) and got[107].text == "once\nText 7"
+
+
+def test_counts_remove_subtrees_of_the_given_pages(spark):
+    found = extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert found.selectExpr("count_if(n_template > 0) > 0.5 * count(*)").first()[0]

@@ -23,7 +23,11 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     found = {r.doc_id: r for r in identify(docs).collect()}
     assert {found[i].lang_pred for i in (50, 51, 52)} == {"und"} and found[53].lang_pred in ("en", "de") and found[None].lang_pred in ("en", "de")
-    assert sorted(docs.columns) == sorted(drop_unknown(docs).columns)
+    clashing = docs.selectExpr("doc_id", "text", "lang", "concat(score, '!') as score", "doc_id as lang_pred", "'own' as __row", "1 as letter")
+    kept = drop_unknown(clashing)
+    assert kept.columns == clashing.columns
+    before = {r.doc_id: r for r in clashing.collect()}
+    assert all(before[r.doc_id] == r for r in kept.collect())
     assert {50, 51, 52} & {r.doc_id for r in drop_unknown(docs).collect()} == set()
     assert identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(docs.withColumn("lang", docs.lang.substr(1, 0)).filter("doc_id = 50")).collect()} == {"und"}
@@ -35,3 +39,47 @@ def test_without_labels_only_texts_without_letters_go(spark):
     assert {r.doc_id for r in drop_unknown(docs).collect()} == {1, 2}
     only_held_out = docs.withColumn("lang", F.when(fold(F.col("doc_id")) == 0, F.lit("en")))
     assert {r.doc_id for r in drop_unknown(only_held_out).collect()} == {1, 2}
+
+
+def test_lookups_match_a_direct_convolution():
+    import numpy as np
+
+    from buildproof.llm.langid import FILTERS, WIDTHS, WINDOW, ByteNet
+
+    rng = np.random.default_rng(4)
+    net = ByteNet(["a", "b", "c"])
+    net.p = {k: rng.normal(0, 0.5, v.shape).astype(np.float32) for k, v in net.p.items()}
+
+    def direct(window):
+        e, pooled = net.p["emb"][window].astype(float), []
+        for w in WIDTHS:
+            for f in range(FILTERS):
+                pooled.append(max(sum(float(e[i + o] @ net.p[f"w{w}"][o][:, f]) for o in range(w)) for i in range(WINDOW - w + 1)))
+        z = np.maximum(pooled, 0) @ net.p["out"] + net.p["bias"]
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    sizes = [0, 1, 255, 256, 257, 700]
+    texts = [rng.integers(1, 256, n).astype(np.uint8) for n in sizes]
+    got = net.texts_proba(np.concatenate(texts), np.concatenate(([0], np.cumsum(sizes))))
+    for t, p in zip(texts, got):
+        parts = [t[k : k + WINDOW] for k in range(0, len(t), WINDOW)]
+        if parts:  # a whole text is the mean of its windows by their bytes
+            want = sum(direct(np.pad(x, (0, WINDOW - len(x)))) * len(x) for x in parts) / len(t)
+            assert np.abs(want - p).max() < 1e-4
+
+
+def test_training_reads_whole_texts(spark):
+    """Only the ends of long texts tell the languages apart."""
+    same = "0 " * 3000
+    rows = [(k, same + ("the quick brown fox jumps " if k % 2 else "der schnelle braune fuchs springt ") * 30, "en" if k % 2 else "de") for k in range(60)]
+    rows += [(100, "the quick fox", None), (101, "der braune fuchs", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify(docs).filter("doc_id >= 100").collect()} == {100: "en", 101: "de"}
+
+
+def test_a_text_without_majority_is_rejected(spark):
+    rows = [(k, "the quick brown fox jumps over it " * 3 if k % 2 else "der schnelle braune fuchs springt weit " * 3, "en" if k % 2 else "de") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert drop_unknown(docs).count() == 60
+    assert drop_unknown(docs, majority=1.1).count() == 0  # the prediction decides

@@ -62,3 +62,33 @@ def test_short_stretches_of_many_words_go_where_asked(spark):
         got = sorted((r.doc_id, r.text, r.n_removed) for r in drop_repeated_lines(docs, min_words=words).collect())
         assert got == plain_with_words(rows, 3, words)
     assert [t for i, t, _ in plain_with_words(rows, 3, 50)[:7]] == [f"a\n{long}\nb", "c\nd", "", f"{one}\n{two}", "e\nf", f"{one}\ng", ""]
+
+
+def test_only_selected_lines_are_joined(spark):
+    from buildproof.llm.common import ROW, numbered, settled
+    from buildproof.llm.line_dedup import fingerprints, seeds
+
+    rng = random.Random(9)
+    texts = ["\n".join(f"line {rng.randint(0, 400)}" for _ in range(rng.randint(3, 150))) for _ in range(80)]
+    docs = settled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = fingerprints(numbered(docs), "text", "doc_id", 3)
+    windows = sum(t.count("\n") - 1 for t in texts)
+    assert found.count() < 0.6 * windows
+    assert found.select(ROW, "place").distinct().count() == found.count()
+    assert seeds(found, 3).select(ROW, "start").distinct().count() == windows  # no window is without a selected line
+
+
+def test_matches_are_extended_over_blocks_and_verified(spark):
+    from buildproof.llm.line_dedup import _blocks, _extended, repeated_runs
+    from buildproof.llm.common import ROW, numbered, settled
+
+    lines = [f"l{k}" for k in range(300)]
+    docs = settled(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([f"own{k}" for k in range(70)] + lines[5:290] + ["end"]))], "doc_id long, text string"))
+    runs = repeated_runs(docs).collect()
+    assert [[tuple(x) for x in r.runs] for r in runs] == [[(70, 285)]]
+    rows = numbered(docs)
+    ids = {r.doc_id: r[ROW] for r in rows.select("doc_id", ROW).collect()}
+    schema = f"{ROW} struct<file:bigint,index:bigint>, start int, len int, r0 struct<file:bigint,index:bigint>, s0 int"
+    # one match is extended to all of its block that agrees; a false one is dropped
+    matches = spark.createDataFrame([(ids[2], 100, 3, ids[1], 35), (ids[2], 10, 3, ids[1], 50)], schema)
+    assert [(r["from"], r["len"]) for r in _extended(matches, _blocks(rows, "text", 3)).collect()] == [(70, 60)]

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from buildproof.llm.packing import ByteCodec, best_pattern, configure, pack
+from buildproof.llm.packing import ByteCodec, best_pattern, best_values, configure, fill, pack, piece_bounds, program
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["a  b\n\n c\t d ", "  ", "\n\nx", " \xa0 y", "don't  stop'll\r\n\r\nz", "<|endoftext|> hi", "é  日本語　テスト", "", None, "end \n", "x" * 5000, "word " * 30_000, "a\x1fb", "🙂🙂 ok"]
@@ -58,6 +58,8 @@ def test_configure_covers_the_histogram(n):
         for k in pattern:
             got[k] += m
     assert got == counts
+    if n == 4000:
+        assert sum(m for _, m in found) <= sum(m for _, m in fill(dict(counts), 1024))
     bound = max(-(-sum(k * m for k, m in counts.items()) // 1024), sum(m for k, m in counts.items() if k > 512))
     assert sum(m for _, m in found) <= bound * 1.01 + 1
 
@@ -69,5 +71,28 @@ def test_knapsack_matches_brute_force():
         best = np.zeros(31)
         for room in range(1, 31):
             best[room] = max([best[room - 1], *(best[room - w] + v for w, v in zip(lengths, value) if w <= room)])
-        pattern = best_pattern(value, lengths, 30)
+        pattern = best_pattern(best_values(value, lengths, 30), lengths, 30)
         assert lengths[pattern].sum() <= 30 and abs(value[pattern].sum() - best[30]) < 1e-9
+
+
+@pytest.mark.parametrize("times", [1, 120])
+def test_the_program_places_nearly_all_pieces(times):
+    """The lengths of the given documents, and 1.8 million pieces of the same kind."""
+    import pyarrow.parquet as pq
+
+    codec, counts = ByteCodec(PATH), Counter()
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        counts.update(length for _, length in piece_bounds(len(codec.encode(text or "")) // 4 + 1))
+    counts = {k: n * times for k, n in counts.items()}
+    plain = sum(n for _, n in fill(dict(counts), 1024))
+    found = configure(dict(counts))
+    placed = sum(len(pattern) * n for pattern, n in found if sum(pattern) == 1024)
+    assert placed >= 0.95 * sum(counts.values()) and sum(n for _, n in found) <= plain
+    some = {k: n for k, n in counts.items() if k < 1024}
+    lengths, uses = program(some)
+    used = Counter()
+    for pattern, amount in uses.items():
+        assert lengths[list(pattern)].sum() == 1024
+        for j in pattern:
+            used[int(lengths[j])] += amount
+    assert all(used[k] <= n + 1e-6 for k, n in some.items()) and sum(used.values()) >= 0.95 * sum(some.values())

@@ -4,6 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from buildproof.llm.langid import identify
 from tests.llm.test_exact_dedup import plain as plain_groups
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_suffix_dedup import plain as plain_removal
@@ -28,13 +29,15 @@ def corpus():
 def test_stages_match_plain_forms(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     for name, function in corpus_pipeline.STAGES[:-1]:
+        docs_before = docs = corpus_pipeline.stage(docs, "before")
         before = [(r.doc_id, r.text) for r in docs.collect()]
         after = function(spark, docs, "")
         assert after.columns == docs.columns
         docs = corpus_pipeline.stage(after, name)
         got = sorted((r.doc_id, r.text) for r in docs.collect())
         if name == "language_id":
-            assert got == sorted((i, t) for i, t in before if t and any(c.isalpha() for c in t))
+            told = {r.doc_id for r in identify(docs_before).filter("lang_pred <> 'und' and score >= 0.5").collect()}
+            assert got == sorted((i, t) for i, t in before if i in told) and not {202, 203} & told and len(told) > 60
         elif name == "exact_dedup":
             keep = {i for i, _, _, kept in [(r[0], *r[1:]) for r in plain_groups(before)] if kept}
             assert got == sorted((i, t) for i, t in before if i in keep)
@@ -57,3 +60,24 @@ def test_stages_match_plain_forms(spark):
 def test_run_over_the_table(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(0 < r.length <= 1024 and r.offset + r.length <= 1024 for r in rows)
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    rows = [(k, f"the words of document number {k} and some more of them here", "en", k, "x", k * 0.5, "mine") for k in range(12)] + [(3, "the words of document number 3 and some more of them here", "en", 3, "x", 1.5, "mine"), (None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __row long, lang_pred string, score double, doc string")
+    before = {r.doc_id: r for r in docs.collect()}
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        after = function(spark, docs, "")
+        assert after.columns == docs.columns and after.schema == docs.schema, name
+        assert all(before[r.doc_id] == r for r in after.collect()), name
+        assert function(spark, docs.limit(0), "").count() == 0, name
+    name, function = corpus_pipeline.STAGES[-1]
+    assert function(spark, docs, "").count() == len(rows) and function(spark, docs.limit(0), "").count() == 0
+
+
+def test_intermediate_tables_go(spark, sf_dir):
+    from buildproof.llm.common import staged_now
+
+    before = staged_now()
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert not {p for p in staged_now() - before if "language_id" in p or "exact_dedup" in p or "fingerprints" in p}
