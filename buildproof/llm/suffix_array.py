@@ -47,27 +47,49 @@ def keys_of(text: np.ndarray, beyond: int) -> np.ndarray:
     return (four[:-4] << 27)[: len(text) + beyond] | three[4:][: len(text) + beyond]
 
 
+def _grouped_order(k: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order by group, then k. Both sorts are of plain numbers, which is faster than one by two columns."""
+    order = np.argsort(k)
+    rank = np.empty(len(k), np.int64)
+    rank[order] = np.arange(len(k))
+    return np.argsort(group * len(k) + rank)
+
+
 def sort_directly(at: np.ndarray, keys: np.ndarray, same: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` symbols. same: a hash of those, which ends work on equal ones."""
+    """Suffixes in order of their first `depth` symbols. same: a hash of those, which ends work on equal ones.
+
+    Each step looks STEP symbols further at the suffixes still tied. Groups in which these agree are left as they are.
+    """
     at = at[np.argsort(keys[at])]
     fresh = np.ones(len(at), bool)
     fresh[1:] = keys[at[1:]] != keys[at[:-1]]
-    done = STEP
-    todo = np.arange(len(at))
+    todo, done = np.arange(len(at)), STEP
+
+    def open_ones(starts: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Which members belong to groups of several different suffixes."""
+        first = np.flatnonzero(starts)
+        sizes = np.diff(np.append(first, len(starts)))
+        tied = (sizes > 1) & (np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first)) if len(first) else np.zeros(0, bool)
+        return np.repeat(tied, sizes)
+
+    todo = todo[open_ones(fresh, same[at])]
     while done < depth + STEP and len(todo):
-        first = np.flatnonzero(fresh[todo])
-        sizes = np.diff(np.append(first, len(todo)))
-        w = same[at[todo]]
-        tied = (sizes > 1) & (np.minimum.reduceat(w, first) != np.maximum.reduceat(w, first))
-        todo = todo[np.repeat(tied, sizes)]
-        if not len(todo):
-            break
-        group = np.repeat(np.arange(int(tied.sum())), sizes[tied])
-        p = at[todo]
-        k = keys[p + done]
-        order = np.lexsort((k, group))
-        at[todo], k = p[order], k[order]
-        fresh[todo[1:]] |= (k[1:] != k[:-1]) & (group[1:] == group[:-1])
+        k = keys[at[todo] + done]
+        starts = fresh[todo]
+        group = np.cumsum(starts) - 1
+        differs = np.zeros(len(todo), bool)
+        differs[1:] = (k[1:] != k[:-1]) & ~starts[1:]
+        varied = np.zeros(int(group[-1]) + 1, bool)
+        varied[group[differs]] = True
+        part = np.flatnonzero(varied[group])
+        if len(part):
+            kp, gp, places = k[part], group[part], todo[part]
+            order = _grouped_order(kp, gp)
+            at[places], kp = at[places][order], kp[order]
+            fresh[places[1:]] |= (kp[1:] != kp[:-1]) & (gp[1:] == gp[:-1])
+            keep = np.ones(len(todo), bool)
+            keep[part] = open_ones(fresh[places], same[at[places]])
+            todo = todo[keep]
         done += STEP
     return at
 
@@ -80,7 +102,7 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     return (following < n - 1) & (text[following] < text[np.minimum(following + 1, n - 1)])
 
 
-def suffix_array(text: np.ndarray, depth: int, same: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int, same: np.ndarray | None = None, keys: np.ndarray | None = None) -> np.ndarray:
     """Suffixes of text (symbols 0 to 256, ending in a 0 that separates parts) in order of their first `depth` symbols.
 
     Stage one sorts only the suffixes that are smaller than their successors. Stage two scans the buckets
@@ -88,7 +110,7 @@ def suffix_array(text: np.ndarray, depth: int, same: np.ndarray | None = None) -
     front of its own bucket. Suffixes that start at a separator come first, in any order.
     """
     n = len(text)
-    keys = keys_of(text, depth + 2 * STEP)
+    keys = keys_of(text, depth + 2 * STEP) if keys is None else keys
     if same is None:
         at = np.arange(n)
         same = range_hashes(text, at, np.minimum(at + depth, n))
@@ -125,9 +147,9 @@ def suffix_array(text: np.ndarray, depth: int, same: np.ndarray | None = None) -
     return np.concatenate(out)
 
 
-def common_prefixes(order: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
+def common_prefixes(order: np.ndarray, text: np.ndarray, depth: int, keys: np.ndarray | None = None) -> np.ndarray:
     """How many symbols, up to depth, each suffix in order shares with the one before it (0 for the first)."""
-    keys = keys_of(text, depth + 2 * STEP)
+    keys = keys_of(text, depth + 2 * STEP) if keys is None else keys
     out = np.zeros(len(order), np.int64)
     todo, done = np.arange(1, len(order)), 0
     while done < depth and len(todo):
@@ -153,9 +175,10 @@ def repeated_starts(parts: list[bytes], weights: list[int], depth: int) -> list[
     owner = np.repeat(np.arange(len(parts)), sizes + 1)
     at, end = np.arange(len(text)), ends[owner]
     same = range_hashes(text, at, np.minimum(at + depth, end + 1))
-    order = suffix_array(text, depth, same)
+    keys = keys_of(text, depth + 2 * STEP)
+    order = suffix_array(text, depth, same, keys)
     order = order[order + depth <= end[order]]
-    new = common_prefixes(order, text, depth) < depth
+    new = common_prefixes(order, text, depth, keys) < depth
     first = np.flatnonzero(new)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(parts)
     if len(order):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, apart, discard, numbered, stage
+from .common import ROW, ROW_TYPE, apart, discard, in_tasks, numbered, settled, slices, stage, whole_rows
 from .suffix_array import range_hashes, repeated_starts
 
 DEPTH = 200
@@ -76,13 +76,13 @@ def _anchor_rows(docs: DataFrame, depth: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
+        for b in slices(batches, 1024):
             texts = b.column(1).to_pylist()
             for text, lo, hi, at, h in anchors(texts, depth):
                 x = np.array([digest(texts[k][a:z]) for k, a, z in zip(text.tolist(), lo.tolist(), (hi + depth).tolist())], np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x.astype(np.int64)), b.column(0).take(pa.array(text)), pa.array((lo << 16) | ((at - lo) << 8) | (hi - lo))], names=["h", "x", ROW, "q"])
 
-    return docs.mapInArrow(run, f"h long, x long, {ROW} long, q long")
+    return in_tasks(docs, run, f"h long, x long, {ROW} {ROW_TYPE}, q long")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in b.column(1).to_pylist()], pa.binary()), b.column(2)], names=[ROW, "z", "id"])
 
-    return docs.mapInArrow(run, f"{ROW} long, z binary, id {docs.schema['id'].dataType.simpleString()}")
+    return in_tasks(docs, run, f"{ROW} {ROW_TYPE}, z binary, id {docs.schema['id'].dataType.simpleString()}")
 
 
 def _runs(starts: np.ndarray) -> list[int]:
@@ -111,6 +111,7 @@ def _contexts(firsts: DataFrame, packed: DataFrame, depth: int) -> DataFrame:
     i: the first window of a section, null for a whole context. g: hash of anchor, section and the bytes that its
     windows share; y: hash of all its bytes. Sections lie at fixed distances from the anchor, so equal windows are in sections of one g.
     """
+    types = {"h": pa.int64(), "x": pa.int64(), "n": pa.int64(), "bytes": pa.binary(), "i": pa.int32(), "g": pa.int64(), "y": pa.int64()}
 
     def run(batches):
         import xxhash
@@ -118,28 +119,39 @@ def _contexts(firsts: DataFrame, packed: DataFrame, depth: int) -> DataFrame:
 
         unpack, digest = zstandard.ZstdDecompressor().decompress, xxhash.xxh3_64_intdigest
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        for b in batches:
-            for z, firsts_of in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text, rows = unpack(z), []
-                for f in firsts_of:
-                    lo, more, back = f["q"] >> 16, f["q"] & 0xFF, (f["q"] >> 8) & 0xFF
-                    if not f["crowded"]:
-                        rows.append((f["h"], f["x"], f["n"], text[lo : lo + more + depth], None, None, None))
-                        continue
-                    at = 0
-                    while at <= more:  # back - at: how far the anchor is from the window's start
-                        section = (back - at) // SECTION
-                        end = min(more, back - section * SECTION)
-                        wide = lo + back - section * SECTION
-                        core = text[wide : wide + depth - SECTION + 1]
-                        whole = text[lo + at : lo + end + depth]
-                        rows.append((f["h"], f["x"], f["n"], whole, at, signed(digest(b"%d %d " % (f["h"], section) + core)), signed(digest(whole))))
-                        at = end + 1
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["h", "x", "n", "bytes", "i", "g", "y"])
+
+        def sections(text, h, lo, back, more):
+            """(first window, hash of what the windows share, bytes) of each section of a context."""
+            at = 0
+            while at <= more:  # back - at: how far the anchor is from the window's start
+                section = (back - at) // SECTION
+                end = min(more, back - section * SECTION)
+                wide = lo + back - section * SECTION
+                core = text[wide : wide + depth - SECTION + 1]
+                yield at, signed(digest(b"%d %d " % (h, section) + core)), text[lo + at : lo + end + depth]
+                at = end + 1
+
+        for b in slices(batches):
+            at, of = b.column(1).offsets.to_numpy(), b.column(1).values
+            h, x, n, q, crowded = (of.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            lo, back, more = q >> 16, (q >> 8) & 0xFF, q & 0xFF
+            first, end = lo.tolist(), (lo + more + depth).tolist()
+            whole, rows = [], []
+            for z, start, stop in zip(b.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                text = unpack(z)
+                whole += [text[first[j] : end[j]] for j in range(start, stop)]
+                for j in start + np.flatnonzero(crowded[start:stop]):
+                    rows += [(h[j], x[j], n[j], data, i, g, signed(digest(data))) for i, g, data in sections(text, h[j], int(lo[j]), int(back[j]), int(more[j]))]
+            used = slice(int(at[0]), int(at[-1]))
+            plain = np.flatnonzero(~crowded[used].astype(bool))
+            none = pa.nulls(len(plain))
+            columns = [pa.array(c[used][plain], pa.int64()) for c in (h, x, n)] + [pa.array([whole[j] for j in plain.tolist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(none.cast(types[c]) for c in ("i", "g", "y"))], names=list(types))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], names=list(types))
 
     per_row = firsts.groupBy(ROW).agg(F.collect_list(F.struct("h", "x", "n", "q", "crowded")).alias("firsts"))
-    return packed.join(per_row, ROW).select("z", "firsts").mapInArrow(run, "h long, x long, n long, bytes binary, i int, g long, y long")
+    return in_tasks(packed.join(per_row, ROW).select("z", "firsts"), run, "h long, x long, n long, bytes binary, i int, g long, y long")
 
 
 def _sorted_repeats(contexts: DataFrame, depth: int) -> DataFrame:
@@ -158,7 +170,7 @@ def _sorted_repeats(contexts: DataFrame, depth: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in hit], pa.int64()), pa.array([r[1] for r in hit], pa.int64()), pa.array([r[2] for r in hit], pa.list_(pa.int32()))], names=["h", "x", "runs"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+            for row in zip(b.column(0).to_numpy().tolist(), b.column(1).to_numpy().tolist(), b.column(2).to_numpy().tolist(), b.column(3).to_pylist()):
                 if size > BLOCK and row[0] != held[-1][0]:
                     yield made(held)
                     held, size = [], 0
@@ -167,7 +179,7 @@ def _sorted_repeats(contexts: DataFrame, depth: int) -> DataFrame:
         if held:
             yield made(held)
 
-    return contexts.select("h", "x", "n", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, x long, runs array<int>")
+    return in_tasks(contexts.select("h", "x", "n", "bytes").repartition("h").sortWithinPartitions("h"), run, "h long, x long, runs array<int>")
 
 
 def _window_repeats(sections: DataFrame, depth: int) -> DataFrame:
@@ -209,49 +221,63 @@ def _crowded_repeats(sections: DataFrame, depth: int, crowd: int) -> DataFrame:
     return sections.select("h", "x", "i", "g", "y").join(found, ["g", "y"]).select("h", "x", shifted.alias("runs"))
 
 
-def _merge(places: list[dict], depth: int) -> np.ndarray:
-    """Byte ranges (k x 2) covered by windows; places: first start of a context and runs relative to it."""
-    spans = [((p["q"] >> 16) + a, (p["q"] >> 16) + a + n - 1 + depth) for p in places for a, n in zip(p["runs"][::2], p["runs"][1::2])]
-    spans = np.array(sorted(spans), np.int64)
-    reach = np.maximum.accumulate(spans[:, 1])
-    first = np.flatnonzero(np.append(True, spans[1:, 0] > reach[:-1]))
-    return np.column_stack((spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]))
+def _merge(places, depth: int) -> list[np.ndarray]:
+    """Byte ranges (k x 2) covered by windows, for each row of an Arrow list of places: first start of a context, and runs relative to it."""
+    at, of = places.offsets.to_numpy(), places.values
+    q, runs = of.field(0).to_numpy(zero_copy_only=False), of.field(1)
+    ends, flat = runs.offsets.to_numpy(), runs.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    pair = np.arange(int(ends[at[0]]), int(ends[at[-1]]), 2)
+    place = np.searchsorted(ends, pair, "right") - 1
+    row = np.searchsorted(at, place, "right") - 1
+    shift = row << 44  # rows one after the other, so that one pass merges all of them
+    start = (q[place] >> 16) + flat[pair] + shift
+    reach = start + flat[pair + 1] - 1 + depth
+    order = np.argsort(start)
+    start, reach = start[order], np.maximum.accumulate(reach[order])
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1])) if len(start) else np.zeros(0, np.int64)
+    spans = np.column_stack((start[first], reach[np.append(first[1:], len(start)) - 1])) if len(first) else np.zeros((0, 2), np.int64)
+    owner = spans[:, 0] >> 44
+    cut = np.searchsorted(owner, np.arange(len(places) + 1))
+    return [spans[a:z] - (k << 44) for k, (a, z) in enumerate(zip(cut, cut[1:]))]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", depth: int = DEPTH, crowd: int = CROWD) -> DataFrame:
     """__row, id, n_bytes, n_removed, spans (start, end, ...) and kept (bytes) of every document; null is empty.
 
-    Only windows whose anchor occurs twice can repeat. Equal contexts of an anchor are counted and read
-    once; the different ones are sorted together in suffix arrays. Neighbours in them that share
+    Only windows whose anchor occurs twice can repeat. Where all its contexts are equal, all of each repeats. The others are
+    sorted together in suffix arrays, equal ones counted and read once. Neighbours in them that share
     `depth` bytes are repeats, as is all of a context that occurs twice. What is found goes back to every place of its
     context. Matches never cross documents; overlaps and repeats within one document count; rows that
-    repeat an id are documents of their own.
+    repeat an id are documents of their own. An empty table gives no rows; other columns are ignored.
     """
-    numbers = numbered(docs)
+    numbers = numbered(settled(docs))
     rows = numbers.select(ROW, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.col(id_col).alias("id"))
     id_type = rows.schema["id"].dataType.simpleString()
     every = stage(_anchor_rows(rows.filter(F.octet_length("text") >= depth), depth), "anchors")
-    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    found = stage(every.join(apart(shared, "h"), "h", "left_semi"), "shared-anchors")
+    shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("x") == F.max("x")).alias("lone")).filter("n > 1").select("h", "lone")
+    found = stage(every.join(apart(shared, "h"), "h"), "shared-anchors")
     discard(every)
-    firsts = found.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW, "q")).alias("at")).select("h", "x", "n", f"at.{ROW}", "at.q")
+    several = found.filter("not lone")
+    firsts = several.groupBy("h", "x").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(ROW, "q")).alias("at")).select("h", "x", "n", f"at.{ROW}", "at.q")
     firsts = stage(firsts, "contexts")
     crowded = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("h", F.lit(True).alias("crowded"))
-    firsts = firsts.join(apart(crowded, "h"), "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    told = firsts.join(apart(crowded, "h"), "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     packed = _packed(rows)
-    contexts = stage(_contexts(firsts, packed, depth), "context-bytes")
+    contexts = stage(_contexts(told, packed, depth), "context-bytes")
+    discard(firsts)
     marks = _sorted_repeats(contexts.filter("i is null"), depth).union(_crowded_repeats(contexts.filter("i is not null"), depth, crowd))
-    places = found.join(marks, ["h", "x"]).groupBy(ROW).agg(F.collect_list(F.struct("q", "runs")).alias("places"))
+    all_of_it = F.array(F.lit(0), (F.col("q").bitwiseAND(F.lit(0xFF)) + 1).cast("int")).alias("runs")
+    hits = several.join(marks, ["h", "x"]).select(ROW, "q", "runs").union(found.filter("lone").select(ROW, "q", all_of_it))
+    places = hits.groupBy(ROW).agg(F.collect_list(F.struct("q", "runs")).alias("places"))
 
     def cut(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches):
             sizes, removed, spans, kept = [], [], [], []
-            for z, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                data = unpack(z) if z else b""
-                ranges = _merge(p, depth) if p else np.zeros((0, 2), np.int64)
+            for z, ranges in zip(b.column(1).to_pylist(), _merge(b.column(2), depth)):
+                data = unpack(z)
                 flat = ranges.ravel().tolist()
                 edge = [0, *flat, len(data)]
                 sizes.append(len(data))
@@ -261,11 +287,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[ROW, "id", "n_bytes", "n_removed", "spans", "kept"])
 
     joined = packed.join(places, ROW, "left").select(ROW, "z", "places", "id")
-    return joined.mapInArrow(cut, f"{ROW} long, id {id_type}, n_bytes long, n_removed long, spans array<long>, kept binary")
+    return in_tasks(joined, cut, f"{ROW} {ROW_TYPE}, id {id_type}, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All documents and columns, the text without repeated strings (bytes of a character cut in two go) and n_chars, if there, counted anew."""
+    """All documents and columns, the text without repeated strings (bytes of a character cut in two go) and n_chars, if there, counted anew.
+
+    A text without repeats, null included, stays as it is, with its n_chars; an empty table gives no rows.
+    """
+    docs = settled(docs)
     found = remove_repeats(docs, text, id_col).filter("n_removed > 0").select(ROW, F.col("kept").alias("__kept"))
 
     def decode(batches):
@@ -273,8 +303,10 @@ def drop_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
             texts = [k.decode(errors="ignore") for k in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[ROW, "__text"])
 
-    changed = found.mapInArrow(decode, f"{ROW} long, __text string")
-    joined = numbered(docs).join(changed, ROW, "left")
-    new = F.coalesce("__text", F.col(f"`{text}`"))
-    columns = [new.alias(c) if c == text else F.when(F.col("__text").isNotNull(), F.char_length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns)
+    changed = found.mapInArrow(decode, f"{ROW} {ROW_TYPE}, __text string")
+    joined = whole_rows(docs).join(changed, ROW, "left")
+    new = {text: F.coalesce("__text", F.col("doc").getField(text))}
+    if "n_chars" in docs.columns and text != "n_chars":
+        count = F.col("doc").getField("n_chars")
+        new["n_chars"] = F.when(F.col("__text").isNotNull(), F.char_length("__text")).otherwise(count).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
