@@ -328,6 +328,14 @@ def m_rename_agg(spark, sf_dir):
     return M.compare_metrics(M.measure(table(spark, sf_dir, "orders").select("o_totalprice")), M.measure(new), ["sum"], 0.01)
 
 
+@query("m_row_hash_classes", "SELECT n, CAST(COUNT(*) AS BIGINT) AS classes FROM (SELECT CAST(COUNT(*) AS BIGINT) AS n FROM lineitem GROUP BY l_quantity, l_returnflag, l_shipdate) GROUP BY n")
+def m_row_hash_classes(spark, sf_dir):
+    """Sizes of the classes of rows with one hash: those of equal rows, if and only if hashes are equal exactly where rows are."""
+    lines = table(spark, sf_dir, "lineitem").select("l_quantity", "l_returnflag", "l_shipdate")
+    classes = lines.groupBy(M.row_hash(lines, lines.columns).alias("h")).agg(A.row_count().alias("n"))
+    return classes.groupBy("n").agg(A.row_count().alias("classes"))
+
+
 @query("m_row_hash")
 def m_row_hash(spark, sf_dir):
     """The hash of every row, by key; the values are this engine's own."""
@@ -357,7 +365,15 @@ def pii_redact_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(pii.hide(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("pii_cards_documents")
+_DIGIT = "CAST(substr(s, length(s) - i, 1) AS INTEGER)"
+_CHECK = f"list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN i % 2 = 0 THEN {_DIGIT} WHEN {_DIGIT} > 4 THEN {_DIGIT} * 2 - 9 ELSE {_DIGIT} * 2 END))"
+
+
+@query(
+    "pii_cards_documents",
+    f"WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '{pii.CARD}')) AS x FROM documents), d AS (SELECT doc_id, regexp_replace(x, '[ -]', '', 'g') AS s FROM f) "
+    f"SELECT doc_id, CAST(COUNT(*) AS INTEGER) AS n_cards FROM d WHERE {_CHECK} % 10 = 0 GROUP BY doc_id",
+)
 def pii_cards_documents(spark, sf_dir):
     """Documents with numbers that pass the check digit of payment cards."""
     return table(spark, sf_dir, "documents").select("doc_id", F.size(pii.card_numbers(F.col("text"))).alias("n_cards")).filter("n_cards > 0")

@@ -74,7 +74,9 @@ def _difference(check: str, name: str, severity: str, found: DataFrame | None, d
     if found is None:
         return _made(check, name, severity, "SKIP", why_not)
     rows = found.limit(NAMED + 1).collect()
-    return _made(check, name, severity, "FAIL" if rows else "PASS", _few(describe(r) for r in rows), expected)
+    more = found.count() - NAMED if len(rows) > NAMED else 0  # counted only where there is more than is named
+    told = ", ".join(describe(r) for r in rows[:NAMED]) + (f" and {more} more" if more else "")
+    return _made(check, name, severity, "FAIL" if rows else "PASS", told, expected)
 
 
 def check_object(store: BaselineStore, name: str, target: DataFrame, entry: Entry, row_tolerance: float = 0.0) -> list[Result]:

@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import assertions as A
+from ..functions.pii import NAMES
 from .verdict import Result
 
 Params = Mapping[str, Any]
@@ -47,6 +49,9 @@ class Context:
     baseline: DataFrame | None = None
     tables: Mapping[str, DataFrame] | None = None
     evidence_rows: int = 20
+    aggregate_only: bool = False
+    pii_names: tuple[str, ...] = NAMES
+    redact: bool = True
     as_of: str | None = None
     queries: tuple[str, ...] = ()
     workbooks: DataFrame | None = None
@@ -60,6 +65,9 @@ class Context:
         return self.measured[key]
 
 
+#: Hours that a build may be old unless a limit is given.
+SLA_HOURS = 24.0
+
 CHECKS: dict[str, Check] = {}
 
 
@@ -93,15 +101,13 @@ def _bounds(value, low, high, what: str) -> tuple[str, str, str]:
 
 
 def _fresh(params: Params, values: Mapping[str, Any]) -> tuple[str, str, str]:
-    age = values["age"]
+    age, limit = values["age"], params.get("sla_hours", SLA_HOURS)
     if age is None:
-        return "WARN", "no timestamp", f"at most {params['sla_hours']} h old"
-    return ("FAIL" if age > params["sla_hours"] else "PASS"), f"{age:.2f} h old", f"at most {params['sla_hours']} h old"
+        return "WARN", "no timestamp", f"at most {limit} h old"
+    return ("FAIL" if age > limit else "PASS"), f"{age:.2f} h old", f"at most {limit} h old"
 
 
 def _age(df: DataFrame, params: Params) -> dict[str, Column]:
-    from pyspark.sql import functions as F
-
     now = F.lit(params["as_of"]).cast("timestamp_ntz") if params.get("as_of") else F.localtimestamp()
     latest = F.max(F.col(params["event_ts_col"]).cast("timestamp_ntz"))
     return {"age": F.timestamp_diff("MICROSECOND", latest, now) / 3.6e9}
@@ -116,13 +122,13 @@ total = lambda metric, key: lambda df, p: {"total": A.row_count()} | {c: metric(
 
 register(Check("D-GRAIN-002", "row count within bounds", "assertions", "HIGH", (), lambda p, v: _bounds(v["rows"], p.get("min_rows"), p.get("max_rows"), "rows"), lambda df, p: {"rows": A.row_count()}))
 register(Check("D-NULL-001", "key is not null", "assertions", "BLOCKER", ("key",), lambda p, v: _any(v, "nulls", "no nulls in the key"), per(A.null_count, "key"), columns=lambda p: _listed(p, "key")))
-register(Check("D-NULL-002", "null rate", "assertions", "MEDIUM", ("columns",), lambda p, v: _rates(p, v, 0.05, "null"), total(A.null_count, "columns"), columns=lambda p: _listed(p, "columns")))
+register(Check("D-NULL-002", "null rate", "assertions", "MEDIUM", ("columns",), lambda p, v: _rates(p, v, 0.0, "null"), total(A.null_count, "columns"), columns=lambda p: _listed(p, "columns")))
 register(Check("D-BLANK-001", "blank rate", "assertions", "MEDIUM", ("columns",), lambda p, v: _rates(p, v, 0.0, "blank"), total(A.blank_count, "columns"), columns=lambda p: _listed(p, "columns")))
 register(Check("D-POS-001", "no negative values", "assertions", "HIGH", ("columns",), lambda p, v: _any(v, "negative values", "none below zero"), per(A.negative_count, "columns"), columns=lambda p: _listed(p, "columns")))
 register(Check("D-DOMAIN-001", "allowed values", "assertions", "MEDIUM", ("column", "allowed"), lambda p, v: _any(v, "values outside the set", "allowed values only"), lambda df, p: {p["column"]: A.outside_domain(df, p["column"], p["allowed"])}, columns=lambda p: [p["column"]]))
 register(Check("D-RANGE-001", "values within bounds", "assertions", "MEDIUM", ("column",), lambda p, v: _any(v, "values out of bounds", f"{p.get('min')} to {p.get('max')}"), lambda df, p: {p["column"]: A.outside_range(p["column"], p.get("min"), p.get("max"))}, columns=lambda p: [p["column"]]))
-register(Check("D-FRESH-001", "freshness", "assertions", "HIGH", ("event_ts_col", "sla_hours"), _fresh, _age, columns=lambda p: [p["event_ts_col"]]))
-register(Check("D-GRAIN-001", "key is unique", "assertions", "BLOCKER", ("key",), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} key groups with more than one row", "one row per key"), rows=lambda ctx, p: A.duplicate_groups(ctx.build, p["key"]), columns=lambda p: _listed(p, "key")))
+register(Check("D-FRESH-001", "freshness", "assertions", "HIGH", ("event_ts_col",), _fresh, _age, columns=lambda p: [p["event_ts_col"]]))
+register(Check("D-GRAIN-001", "key is unique", "assertions", "BLOCKER", ("key",), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} key groups with more than one row", "one row per key"), rows=lambda ctx, p: A.duplicate_groups(ctx.build, p["key"]).orderBy(F.desc("dup_count")), columns=lambda p: _listed(p, "key")))
 register(Check("D-DUP-001", "no duplicate rows", "assertions", "MEDIUM", (), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} duplicated row groups", "none"), rows=lambda ctx, p: A.duplicate_rows(ctx.build)))
 register(Check("D-RI-001", "no orphans", "assertions", "HIGH", ("fk_column", "ref_table", "ref_column"), lambda p, v: (("FAIL" if v["rows"] else "PASS"), f"{v['rows']} orphans", "every key has a parent"), rows=lambda ctx, p: A.orphans(ctx.build, p["fk_column"], (ctx.tables or {})[p["ref_table"]], p["ref_column"]), columns=lambda p: [p["fk_column"]]))
 register(Check("D-DISTINCT-001", "number of distinct values", "assertions", "MEDIUM", ("column",), lambda p, v: _bounds(v["rows"], p.get("min"), p.get("max"), "distinct values"), rows=lambda ctx, p: ctx.build.select(p["column"]).dropna().distinct(), columns=lambda p: [p["column"]]))

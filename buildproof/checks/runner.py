@@ -82,10 +82,15 @@ def _scalar(ctx: Context, wanted: list[tuple[int, Check, Spec]]) -> dict[int, di
         return out
 
 
-def _sampled(df: DataFrame, cap: int) -> tuple[int, list[dict]]:
-    """How many rows there are, and a few of them with personal data hidden before they leave the executors."""
-    n = df.count()
-    return n, [r.asDict(recursive=True) for r in safe_sample(df, cap).collect()] if n else []
+def _sampled(df: DataFrame, ctx: Context) -> tuple[int, list[dict]]:
+    """How many rows there are, and a few of them with personal data hidden before they leave the executors.
+
+    Few rows are counted as they are shown, in one run of the build; only if there are more are they counted.
+    """
+    cap = max(ctx.evidence_rows, 1)
+    found = [r.asDict(recursive=True) for r in (safe_sample(df, cap + 1, ctx.pii_names) if ctx.redact else df.limit(cap + 1)).collect()]
+    n = len(found) if len(found) <= cap else df.count()
+    return n, [] if ctx.aggregate_only else found[: ctx.evidence_rows]
 
 
 def _folded(found: list[tuple[str, str]], expected: str) -> tuple[str, str, str]:
@@ -118,7 +123,7 @@ def run_checks(ctx: Context, specs: Iterable[Spec]) -> Run:
         try:
             value: Any = check.first(ctx, spec.params) if check.first else _folded(check.find(ctx, spec.params), check.name) if check.find else None
             if value is None:
-                n, sample = _sampled(check.rows(ctx, spec.params), ctx.evidence_rows)
+                n, sample = _sampled(check.rows(ctx, spec.params), ctx)
                 value = {"rows": n, "sample": sample}
         except Exception as error:
             value = error

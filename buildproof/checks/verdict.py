@@ -13,7 +13,7 @@ SEVERITIES = ("BLOCKER", "HIGH", "MEDIUM", "LOW", "INFO")
 STATUSES = ("PASS", "FAIL", "WARN", "SKIP", "ERROR")
 #: Worst first.
 VERDICTS = ("BLOCKED", "REVIEW", "READY_WITH_NOTES", "READY")
-#: Families of checks, the riskiest to leave out first.
+# Families of checks, the riskiest to leave out first.
 FAMILIES = ("migration_parity", "assertions", "regression", "metadata", "static", "performance", "tableau_static", "tableau_live")
 EXIT_CODES = {"READY": 0, "READY_WITH_NOTES": 0, "REVIEW": 1, "BLOCKED": 2}
 TOOL_ERROR = 3

@@ -5,21 +5,51 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import asdict
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .checks import audit, ruleset
+from .checks.estate import MODES, load_manifest, run_estate
+from .checks.limits import limited
 from .checks.registry import CHECKS, Context
-from .checks.report import as_html, as_json, as_junit
+from .checks.report import as_html, as_json, as_junit, estate_as_html, estate_as_json, estate_as_junit
 from .checks.runner import Spec, run_checks
 from .checks.verdict import EXIT_CODES, TOOL_ERROR
 from .operators.parity import compare_metrics, measure
 from .plans.build import fold
+from .plans.lineage import lineage
 from .sources import mapping
 from .sources.baseline import BaselineStore, canonical_name
 from .sources.workbook import read_workbooks
 
 
+def doctor() -> list[tuple[str, bool, str]]:
+    """(what, whether it works, what was seen) of the parts that a run needs."""
+
+    def session() -> str:
+        spark = SparkSession.builder.appName("buildproof").getOrCreate()
+        return f"Spark {spark.version} counts {spark.range(10).count()}"
+
+    def answer() -> str:
+        spark = SparkSession.builder.getOrCreate()
+        return run_checks(Context(spark.range(3).toDF("k")), [Spec("D-GRAIN-001", {"key": ["k"]})]).verdict
+
+    def yaml_there() -> str:
+        import yaml
+
+        return yaml.__version__
+
+    out = []
+    for what, see in (("python", lambda: sys.version.split()[0]), ("session", session), ("checks", lambda: str(len(CHECKS))), ("a run", answer), ("rulesets", yaml_there)):
+        try:
+            out.append((what, True, see()))
+        except Exception as error:
+            out.append((what, False, str(error).splitlines()[0] if str(error) else type(error).__name__))
+    return out
+
+
 def _arguments(argv):
     parser = argparse.ArgumentParser(prog="buildproof", description=__doc__)
     parser.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table to register")
@@ -27,7 +57,11 @@ def _arguments(argv):
     commands = parser.add_subparsers(dest="command", required=True)
     check = commands.add_parser("check", help="run checks on a build script")
     check.add_argument("script")
-    check.add_argument("--checks", required=True, help="JSON list of {id, params, enabled, severity}")
+    check.add_argument("--checks", help="JSON list of {id, params, enabled, severity}")
+    check.add_argument("--ruleset", help="YAML ruleset; --checks come on top")
+    check.add_argument("--profile", help="YAML profile laid over the ruleset")
+    check.add_argument("--pin", help="file with the only version of the ruleset that is accepted")
+    check.add_argument("--audit", help="log to which a line is added")
     check.add_argument("--format", choices=("json", "junit", "html"), default="json")
     check.add_argument("--baseline")
     check.add_argument("--as-of")
@@ -41,6 +75,19 @@ def _arguments(argv):
     parity.add_argument("old")
     parity.add_argument("new")
     parity.add_argument("--tolerance", type=float, default=0.01)
+    estate = commands.add_parser("estate", help="measure or compare the objects of workbooks")
+    estate.add_argument("mode", choices=MODES)
+    estate.add_argument("workbooks", help="YAML manifest or glob")
+    estate.add_argument("--map", help="YAML object map for workbooks without their own")
+    estate.add_argument("--swapped", action="store_true", help="the workbooks name the migrated objects already")
+    estate.add_argument("--identity", action="store_true", help="objects that the map lacks kept their names")
+    estate.add_argument("--format", choices=("json", "junit", "html"), default="json")
+    graph = commands.add_parser("lineage", help="show what a query reads and how it is joined")
+    graph.add_argument("script")
+    runs = commands.add_parser("history", help="show the last runs of every target")
+    runs.add_argument("log")
+    runs.add_argument("--last", type=int, default=20)
+    commands.add_parser("doctor", help="say whether this installation works")
     commands.add_parser("list", help="list the checks")
     return parser.parse_args(argv)
 
@@ -51,6 +98,10 @@ def main(argv=None) -> int:
         if args.command == "list":
             print("\n".join(f"{c.id}  {c.severity}  {c.name}" for c in CHECKS.values()))
             return 0
+        if args.command == "doctor":
+            found = doctor()
+            print("\n".join(f"{'ok' if ok else 'FAIL'}  {what}: {said}" for what, ok, said in found))
+            return 0 if all(ok for _, ok, _ in found) else TOOL_ERROR
         spark = SparkSession.builder.appName("buildproof").getOrCreate()
         for one in args.table:
             name, _, path = one.partition("=")
@@ -59,13 +110,30 @@ def main(argv=None) -> int:
             found = compare_metrics(measure(spark.table(args.old)), measure(spark.table(args.new)), ["row_count", "sum", "min", "max"], args.tolerance).collect()
             print(json.dumps([r.asDict() for r in found], indent=2))
             return 2 if any(r.breach for r in found) else 0
+        if args.command == "estate":
+            estate = run_estate(spark, load_manifest(args.workbooks, args.map), BaselineStore(spark, args.store), args.mode, swapped=args.swapped, identity=args.identity)
+            print({"json": estate_as_json, "junit": estate_as_junit, "html": estate_as_html}[args.format](estate))
+            return EXIT_CODES[estate.verdict]
+        if args.command == "lineage":
+            graph = lineage(spark, Path(args.script).read_text(encoding="utf-8-sig"))
+            print(json.dumps({"nodes": [asdict(n) for n in graph.nodes.values()], "edges": [asdict(e) for e in graph.edges], "risks": graph.risks}, indent=2))
+            return 1 if graph.risks else 0
+        if args.command == "history":
+            print("\n".join(r for r in audit.trend(audit.history(spark, args.log), args.last).orderBy("target", "n").toJSON().collect()))
+            return 0
         build = fold(spark, Path(args.script).read_text(encoding="utf-8-sig"))
         store = BaselineStore(spark, args.store)
         name = getattr(args, "name", None) or getattr(args, "baseline", None) or canonical_name(build.name or Path(args.script).stem)
         if args.command == "baseline":
             print(json.dumps(store.save(name, build.result), indent=2))
             return 0
-        specs = [Spec(**s) for s in json.loads(Path(args.checks).read_text())]
+        specs = [Spec(**s) for s in json.loads(Path(args.checks).read_text())] if args.checks else []
+        rules = ruleset.load(args.ruleset, ruleset.read_pin(args.pin) if args.pin else None) if args.ruleset else ruleset.Ruleset("none")
+        if args.profile:
+            rules = ruleset.overlaid(rules, ruleset.read_mapping(args.profile), args.profile)
+        if not args.checks and not args.ruleset:
+            raise ValueError("--checks or --ruleset is needed")
+        specs = [*rules.specs(), *specs]
         migrated = None
         if args.snapshot:
             old = store.manifest(f"{args.snapshot}__metrics")["object"]
@@ -73,9 +141,14 @@ def main(argv=None) -> int:
             migrated = (store, args.snapshot, build.result, next(e for e in entries if mapping.same_object(e.old, old)))
         workbooks = read_workbooks(spark, args.workbooks) if args.workbooks else None
         baseline = store.load(name) if store.exists(name) else None
-        run = run_checks(Context(build.result, baseline=baseline, as_of=args.as_of, queries=tuple(build.queries), workbooks=workbooks, migrated=migrated), specs)
+        shown = rules.defaults
+        context = Context(build.result, baseline=baseline, as_of=args.as_of, queries=tuple(build.queries), workbooks=workbooks, migrated=migrated, evidence_rows=shown.evidence_sample_rows, aggregate_only=shown.aggregate_only, pii_names=rules.pii_column_patterns, redact=shown.redact_pii)
+        with limited(spark, f"check-{name}", shown.statement_timeout_s * max(len(specs), 1) if args.ruleset else None):
+            run = run_checks(context, specs)
+        if args.audit:
+            audit.append(args.audit, audit.record(run, name, args.script, rules.version, args.profile or ""))
         print({"json": as_json, "junit": as_junit, "html": as_html}[args.format](run))
-        return EXIT_CODES[run.verdict]
+        return EXIT_CODES[run.verdict] or (1 if args.ruleset and rules.fails(run.verdict) else 0)
     except Exception as error:
         print(f"error: {error}", file=sys.stderr)
         return TOOL_ERROR

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, VariantType
 
 # The shapes of e-mail addresses, social security numbers, bank accounts and card numbers.
 PATTERNS = {
@@ -15,8 +16,17 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
 }
 CARD = r"\b(?:[0-9][ -]?){12,18}[0-9]\b"
-#: Column names that hold personal data.
-NAMES = (r"e[-_]?mail", r"phone|mobile", r"ssn|social[-_]?sec", r"birth|dob", r"first[-_]?name|last[-_]?name|full[-_]?name", r"address|street|zip|postal", r"iban|account[-_]?n", r"passport|licen[cs]e[-_]?n")
+# Names of columns that hold personal data unless others are given.
+NAMES = (
+    r"(?i)email",
+    r"(?i)phone",
+    r"(?i)\bssn\b|social_security",
+    r"(?i)address",
+    r"(?i)(first|last|full)_?name",
+    r"(?i)birth|\bdob\b",
+    r"(?i)passport|driver_?license",
+    r"(?i)\bip_?address\b",
+)
 HIDDEN = "[hidden]"
 
 
@@ -41,17 +51,31 @@ def has_card(column: Column) -> Column:
     return F.size(card_numbers(column)) > 0
 
 
+def hide_all(column: Column) -> Column:
+    """hide(), and nothing at all of a text with a number that passes the check digit of payment cards."""
+    return F.when(has_card(column), F.lit(HIDDEN)).otherwise(hide(column))
+
+
+def _shown(column: Column, kind: DataType, name: str, names: Sequence[str]) -> Column:
+    """The value with personal data hidden, however deep it lies. A field with a telling name is hidden whole: as text, or else as null."""
+    if any(re.search(p, name) for p in names):
+        return F.when(column.isNotNull(), F.lit(HIDDEN)) if isinstance(kind, StringType) else F.lit(None).cast(kind)
+    if isinstance(kind, StringType):
+        return hide_all(column)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: _shown(x, kind.elementType, "", names))
+    if isinstance(kind, StructType):
+        fields = [_shown(column.getField(f.name), f.dataType, f.name, names).alias(f.name) for f in kind.fields]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(_shown(e["key"], kind.keyType, "", names).alias("key"), _shown(e["value"], kind.valueType, "", names).alias("value")))
+        return entries  # two keys may read the same once hidden, so a map is shown as its entries
+    if isinstance(kind, (BinaryType, VariantType)):
+        return F.when(column.isNotNull(), F.lit(HIDDEN))
+    return column
+
+
 def safe_sample(df: DataFrame, cap: int, names: Sequence[str] = NAMES, aggregate_only: bool = False) -> DataFrame:
-    """At most cap rows to show as evidence: columns with telling names hidden whole, other text by content."""
-    pattern = f"(?i)({'|'.join(names)})"
-    import re
-
-    columns = []
-    for f in df.schema:
-        c = F.col(f"`{f.name}`")
-        if re.search(pattern, f.name):
-            c = F.when(c.isNotNull(), F.lit(HIDDEN))
-        elif isinstance(f.dataType, StringType):
-            c = F.when(has_card(c), F.lit(HIDDEN)).otherwise(hide(c))
-        columns.append(c.alias(f.name))
+    """At most cap rows to show as evidence: columns with telling names hidden, other text by content, in nested columns too."""
+    columns = [_shown(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType, f.name, names).alias(f.name) for f in df.schema]
     return df.select(*columns).limit(0 if aggregate_only else cap)

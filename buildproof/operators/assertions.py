@@ -8,21 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def row_count() -> Column:
     return F.count(F.lit(1))
 
 
 def null_count(column: str) -> Column:
-    return F.count_if(F.col(column).isNull())
+    return F.count_if(named(column).isNull())
 
 
 def blank_count(column: str) -> Column:
     """Values that are empty or only spaces."""
-    return F.count_if(F.trim(F.col(column)) == "")
+    return F.count_if(F.trim(named(column)) == "")
 
 
 def negative_count(column: str) -> Column:
-    return F.count_if(F.col(column) < 0)
+    return F.count_if(named(column) < 0)
 
 
 def outside_domain(df: DataFrame, column: str, allowed: Sequence) -> Column:
@@ -34,19 +39,19 @@ def outside_domain(df: DataFrame, column: str, allowed: Sequence) -> Column:
     if None in allowed:
         return F.count_if(F.lit(False))
     if not allowed:
-        return F.count(F.col(column))
+        return F.count(named(column))
     kind = df.schema[column].dataType.simpleString()
     literals = [F.lit(str(a) if kind == "string" else a).try_cast(kind) for a in allowed]
-    return F.count_if(F.col(column).isNotNull() & ~F.coalesce(F.col(column).isin(*literals), F.lit(False)))
+    return F.count_if(named(column).isNotNull() & ~F.coalesce(named(column).isin(*literals), F.lit(False)))
 
 
 def outside_range(column: str, low=None, high=None) -> Column:
     """Count of values below low or above high; both bounds belong to the range, and null is no violation."""
     found = F.lit(False)
     if low is not None:
-        found = found | (F.col(column) < low)
+        found = found | (named(column) < low)
     if high is not None:
-        found = found | (F.col(column) > high)
+        found = found | (named(column) > high)
     return F.count_if(found)
 
 
@@ -65,7 +70,7 @@ def per_column(df: DataFrame, columns: Sequence[str], metric, name: str) -> Data
 
 def duplicate_groups(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Key groups with more than one row; nulls form groups of their own."""
-    return df.groupBy(*key).agg(row_count().alias("dup_count")).filter("dup_count > 1")
+    return df.groupBy(*[named(k) for k in key]).agg(row_count().alias("dup_count")).filter("dup_count > 1")
 
 
 def duplicate_summary(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -74,22 +79,22 @@ def duplicate_summary(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Whole rows that occur more than once."""
-    return duplicate_groups(df, [f"`{c}`" for c in df.columns])
+    return duplicate_groups(df, df.columns)
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count_distinct(column).alias("distinct_count"))
+    return df.agg(F.count_distinct(named(column)).alias("distinct_count"))
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows of child with a key that no row of parent has; null keys aren't orphans. The planner picks the join by measured size."""
-    keys = parent.select(F.col(parent_key).alias("__parent")).filter("__parent is not null").distinct()
-    return child.filter(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("__parent"), "left_anti")
+    keys = parent.select(named(parent_key).alias("__parent")).filter("__parent is not null").distinct()
+    return child.filter(named(key).isNotNull()).join(keys, named(key) == F.col("__parent"), "left_anti")
 
 
 def freshness(df: DataFrame, column: str, as_of: str) -> DataFrame:
     """The greatest timestamp, and its age in hours at a given moment."""
-    found = df.agg(F.max(F.col(column).cast("timestamp_ntz")).alias("max_ts"))
+    found = df.agg(F.max(named(column).cast("timestamp_ntz")).alias("max_ts"))
     return found.select("max_ts", F.expr(f"timestampdiff(MICROSECOND, max_ts, timestamp_ntz'{as_of}') / 3.6e9D").alias("age_hours"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .assertions import named
 from .regression import exact_sum
 
 NULL_MARK = "∅"
@@ -37,10 +38,12 @@ def renamed(df: DataFrame, legacy_names: Mapping[str, str]) -> DataFrame:
 
 def key_text(df: DataFrame, column: str) -> Column:
     """A value as text that doesn't depend on its numeric type: integral numbers without a point, null as a mark."""
-    c, kind = F.col(column), df.schema[column].dataType
+    c, kind = named(column), df.schema[column].dataType
     text = c.cast("string")
     if isinstance(kind, T.NumericType) and not isinstance(kind, T.IntegralType):
         text = F.when((c % 1 == 0) & (F.abs(c) < 1e37), c.cast("decimal(38,0)").cast("string")).otherwise(text)
+    if type_category(kind) == "text":  # a value that begins with the mark is told apart from null
+        text = F.when(F.startswith(text, F.lit(NULL_MARK)), F.concat(F.lit(NULL_MARK), text)).otherwise(text)
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
@@ -52,14 +55,14 @@ def measure(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     made: list[tuple[str, str, Column]] = [("row_count", "", F.count(F.lit(1)))]
     for f in df.schema:
-        made.append(("null_count", f.name, F.count_if(F.col(f.name).isNull())))
+        made.append(("null_count", f.name, F.count_if(named(f.name).isNull())))
         if isinstance(f.dataType, T.NumericType):
-            made += [("sum", f.name, exact_sum(df, f.name)), ("min", f.name, F.min(f.name)), ("max", f.name, F.max(f.name))]
+            made += [("sum", f.name, exact_sum(df, f.name)), ("min", f.name, F.min(named(f.name))), ("max", f.name, F.max(named(f.name)))]
     one = df.agg(*[c.cast("double").alias(f"m{k}") for k, (_, _, c) in enumerate(made)])
     rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("col_name"), F.col(f"m{k}").alias("value")) for k, (kind, name, _) in enumerate(made)])
     out = one.select(F.explode(rows).alias("x")).select("x.*")
     for key in keys:
-        out = out.union(df.agg(F.count_distinct(key).cast("double").alias("value")).select(F.lit("distinct").alias("kind"), F.lit(key).alias("col_name"), "value"))
+        out = out.union(df.agg(F.count_distinct(named(key)).cast("double").alias("value")).select(F.lit("distinct").alias("kind"), F.lit(key).alias("col_name"), "value"))
     return out
 
 
@@ -112,7 +115,7 @@ def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
     """A hash that tells nulls from values and moved values from kept ones, the same for all types of a category."""
     parts: list[Column] = []
     for name in sorted(columns):
-        kind, c = df.schema[name].dataType, F.col(name)
+        kind, c = df.schema[name].dataType, named(name)
         if isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0):
             c = c.cast("decimal(38,0)").cast("string")
         elif isinstance(kind, T.NumericType):
@@ -123,7 +126,7 @@ def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
             c = c.cast("string")
         elif not isinstance(kind, T.BooleanType):
             c = F.to_json(F.struct(c.alias("v")))
-        parts += [F.col(name).isNull(), c]
+        parts += [named(name).isNull(), c]
     return F.xxhash64(*parts)
 
 
@@ -133,10 +136,15 @@ def hashed_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | Non
 
 
 def compare_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys whose rows differ or stand on one side only; all rows are compared, not a window of them."""
+    """Keys whose rows differ or stand on one side only; all rows are compared, not a window of them.
+
+    Rows of a key that repeats are compared as a whole: what one side has more often is missing or extra, or a
+    mismatch if each side has rows that the other lacks. One signed union and two groupings; no pairs are made.
+    """
     columns = [c for c in old.columns if c in new.columns]
-    a = hashed_rows(old, keys, columns).withColumnRenamed("row_hash", "old_hash")
-    b = hashed_rows(new, keys, columns).withColumnRenamed("row_hash", "new_hash")
-    both = a.join(b, list(keys), "full_outer")
-    state = F.when(F.col("new_hash").isNull(), "missing").when(F.col("old_hash").isNull(), "extra").when(F.col("old_hash") != F.col("new_hash"), "mismatch")
-    return both.select(*keys, state.alias("state")).filter("state is not null")
+    a, b = (hashed_rows(df, keys, columns).withColumn("__side", F.lit(side)) for df, side in ((old, 1), (new, -1)))
+    names = [named(k) for k in keys]
+    left = a.unionByName(b).groupBy(*names, "row_hash").agg(F.sum("__side").alias("n")).filter("n <> 0")
+    both = left.groupBy(*names).agg(F.max("n").alias("most"), F.min("n").alias("least"))
+    state = F.when((F.col("most") > 0) & (F.col("least") < 0), "mismatch").when(F.col("most") > 0, "missing").otherwise("extra")
+    return both.select(*names, state.alias("state"))

@@ -21,7 +21,7 @@ def exact_sum(df: DataFrame, column: str):
     The first holds 12 digits after the point, the second what a double has below them, down to 1e-38. What is not a
     number, or infinite, is left out. If the values are too large for that, it is the plain sum of doubles.
     """
-    kind, c = df.schema[column].dataType, F.col(column)
+    kind, c = df.schema[column].dataType, F.col("`" + column.replace("`", "``") + "`")
     if isinstance(kind, (IntegralType, DecimalType)):
         return F.sum(c.cast(DecimalType(38, getattr(kind, "scale", 0)))).cast("double")
     c = c.cast("double")
@@ -38,7 +38,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
     made = {ROW_COUNT: F.count(F.lit(1)).cast("double")}
     for c in numeric:
-        made |= {f"sum:{c}": F.coalesce(exact_sum(df, c), F.lit(0.0)), f"count:{c}": F.count(c).cast("double")}
+        made |= {f"sum:{c}": F.coalesce(exact_sum(df, c), F.lit(0.0)), f"count:{c}": F.count(F.col(f"`{c}`")).cast("double")}
     one = df.agg(*[v.alias(f"m{k}") for k, v in enumerate(made.values())])
     rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"m{k}").alias("value")) for k, name in enumerate(made)])
     return one.select(F.explode(rows).alias("x")).select("x.*")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.regression import fingerprint
 
@@ -17,9 +20,10 @@ def canonical_name(target: str) -> str:
 
 
 class BaselineStore:
-    """Folders <root>/<name> with rows/ (Parquet) and manifest/ (one JSON text).
+    """Folders <root>/<name>/<version> with rows/ (Parquet) and manifest/ (one JSON text).
 
-    A save writes beside the old version and takes its place at the end, so a save that breaks off leaves the old one.
+    A save writes a new version. It counts from the moment its manifest is complete, which is written last; only then
+    do older versions go. So a save that breaks off anywhere leaves the baseline that was there, and nothing is ever renamed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -32,34 +36,61 @@ class BaselineStore:
             raise ValueError(f"not a baseline name: {name!r}")
         return f"{self.root}/{name}"
 
+    def _folders(self, at: str) -> list[str]:
+        if not self._fs.exists(self._path(at)):
+            return []
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(at)) if s.isDirectory())
+
+    def _versions(self, name: str) -> list[str]:
+        """Complete versions, the oldest first."""
+        at = self._at(name)
+        return [v for v in self._folders(at) if self._fs.exists(self._path(f"{at}/{v}/manifest/_SUCCESS"))]
+
+    def _current(self, name: str) -> str:
+        found = self._versions(name)
+        if not found:
+            raise KeyError(f"there is no baseline {name}")
+        return f"{self._at(name)}/{found[-1]}"
+
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self._at(name)}/manifest"))
+        return bool(self._versions(name))
 
     def list_names(self) -> list[str]:
-        if not self._fs.exists(self._path(self.root)):
-            return []
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
-        return sorted(n for n in found if not n.startswith(".") and self.exists(n))
+        return [n for n in self._folders(self.root) if not n.startswith(".") and self.exists(n)]
 
     def save(self, name: str, df: DataFrame, **provenance: str) -> dict:
-        at, made = self._at(name), f"{self.root}/.{name}.new"
-        self._fs.delete(self._path(made), True)
-        df.write.parquet(f"{made}/rows")
-        kept = self.spark.read.parquet(f"{made}/rows")
+        now = datetime.now(timezone.utc)
+        at, made = self._at(name), f"v{now.strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{at}/{made}/rows")
+        kept = self.spark.read.parquet(f"{at}/{made}/rows")
         aggregates = {r.name: r.value for r in fingerprint(kept).collect()}
-        manifest = {"name": name, "columns": df.columns, "schema": kept.schema.jsonValue(), "row_count": int(aggregates["__row_count"]), "aggregates": aggregates, "created_at": datetime.now(timezone.utc).isoformat(), **provenance}
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{made}/manifest")
-        old = f"{self.root}/.{name}.old"
-        self._fs.delete(self._path(old), True)
-        if self._fs.exists(self._path(at)):
-            self._fs.rename(self._path(at), self._path(old))
-        self._fs.rename(self._path(made), self._path(at))
-        self._fs.delete(self._path(old), True)
+        manifest = {"name": name, "columns": df.columns, "schema": kept.schema.jsonValue(), "row_count": int(aggregates["__row_count"]), "aggregates": aggregates, "created_at": now.isoformat(), **provenance}
+        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{at}/{made}/manifest")
+        for old in self._folders(at):
+            if old < made:
+                self._fs.delete(self._path(f"{at}/{old}"), True)
         return manifest
 
     def manifest(self, name: str) -> dict:
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self._at(name)}/manifest").collect()))
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self._current(name)}/manifest").collect()))
 
     def load(self, name: str) -> DataFrame:
         """The rows, lazily."""
-        return self.spark.read.parquet(f"{self._at(name)}/rows")
+        return self.spark.read.parquet(f"{self._current(name)}/rows")
+
+    def index(self) -> DataFrame:
+        """name, row_count, created_at and manifest (JSON) of every baseline, read in one job."""
+        paths = [f"{self._current(n)}/manifest" for n in self.list_names()]
+        if not paths:
+            return self.spark.createDataFrame([], "name string, row_count long, created_at string, manifest string")
+        field = lambda name: F.get_json_object("value", f"$.{name}")
+        rows = self.spark.read.text(paths)
+        return rows.select(field("name").alias("name"), field("row_count").cast("long").alias("row_count"), field("created_at").alias("created_at"), F.col("value").alias("manifest"))
+
+
+def open_store(spark: SparkSession, config: Mapping[str, str] | None = None) -> BaselineStore:
+    """The store that a configuration names: {root: folder}, shared if all users name the same; a local one unless told otherwise."""
+    config = config or {}
+    if extra := set(config) - {"root"}:
+        raise ValueError(f"unknown fields: {sorted(extra)}")
+    return BaselineStore(spark, config.get("root", "baselines"))

@@ -70,6 +70,33 @@ def resolve(names: Iterable[str], entries: Iterable[Entry], ignore: Iterable[str
     return Resolution(resolved, unmapped, ignored)
 
 
+def resolve_post_swap(names: Iterable[str], entries: Iterable[Entry], ignore: Iterable[str] = (), identity: bool = False) -> Resolution:
+    """The same for a workbook that names the migrated objects already: each is found by its new name, so that its legacy snapshot is.
+
+    A name that several entries could be, and one whose legacy name has no database, can't be told and are named as
+    uninvertible. Two entries with one new name are an error of the map.
+    """
+    entries, resolved, unmapped, ignored, lost = list(entries), {}, [], [], []
+    shared = sorted({e.new for e in entries if sum(o.new.upper() == e.new.upper() for o in entries) > 1})
+    if shared:
+        raise ValueError(f"several objects become one: {shared}")
+    for name in dict.fromkeys(names):
+        found = [e for e in entries if same_object(e.new, name)]
+        if len(found) > 1:
+            lost.append(f"{name} (may be {', '.join(e.old for e in found)})")
+        elif found and found[0].old.count(".") < 2 <= found[0].new.count("."):
+            lost.append(f"{name} (its legacy name {found[0].old} has no database)")
+        elif found:
+            resolved[name] = found[0]
+        elif any(fnmatchcase(name.upper(), p.upper()) for p in ignore):
+            ignored.append(name)
+        elif identity:
+            resolved[name] = Entry(name, name)
+        else:
+            unmapped.append(name)
+    return Resolution(resolved, unmapped, ignored, lost)
+
+
 def invert(entries: Iterable[Entry]) -> tuple[list[Entry], list[str]]:
     """(the map the other way, names that several objects became and that can't be told apart)."""
     entries = list(entries)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Larger XML is refused, since one task holds a workbook whole.
 MAX_XML = 64 << 20
+# Connection classes, and functions of the workbook format that filter by user.
 LIVE_CLASSES = ("snowflake",)
 EXTRACT_CLASSES = ("hyper", "dataengine", "extract")
 
