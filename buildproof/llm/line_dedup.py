@@ -134,7 +134,8 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_
     """
     docs = settled(docs)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    rows = whole_rows(docs).join(repeated_runs(docs, text, id_col, run, min_words), ROW, "left")
+    # runs grow with the documents, so they are never broadcast, not even where a small table would allow it
+    rows = whole_rows(docs).join(repeated_runs(docs, text, id_col, run, min_words).hint("merge"), ROW, "left")
     old = F.col("doc").getField(text)
     lines, runs = lines_of(old), F.coalesce(F.col("runs"), F.array().cast("array<struct<from:int,len:int>>"))
     before = F.transform(runs, lambda r, i: F.when(i == 0, r["from"]).otherwise(r["from"] - F.get(runs, i - 1)["from"] - F.get(runs, i - 1)["len"]))
