@@ -9,13 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_tasks, slices
 
 #: Labelled documents used for training, at most; the bound of the sample.
 TRAIN_DOCS = 4000
 FOLDS = 4
 #: Hash buckets of words, and how many of them a model keeps.
 BUCKETS, KEPT = 1 << 18, 3000
-REMEMBERED = 300_000
+REMEMBERED, LONG_WORD = 300_000, 64
 #: Lengths of the beginnings of words that are features too.
 STEMS = (3, 4, 5, 6, 7)
 
@@ -36,9 +37,10 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     distinct = set(words)
     if len(_words) + len(distinct) > REMEMBERED:
         _words.clear()
-    for w in distinct.difference(_words):
+    long = {w: _buckets(w) for w in distinct if len(w) > LONG_WORD}  # not remembered, so that memory is bounded in bytes
+    for w in distinct.difference(_words, long):
         _words[w] = _buckets(w)
-    buckets = np.array(sorted(set().union(*map(_words.__getitem__, distinct))), np.int32)
+    buckets = np.array(sorted(set().union(*long.values(), *[_words[w] for w in distinct if w not in long])), np.int32)
     n = max(len(text), 1)
     upper = len(text) - len(text.translate(None, bytes(range(65, 91))))
     signs = len(text.translate(None, bytes(b for b in range(256) if chr(b).isalnum() or b >= 128 or b in b" \t\n\r.,")))
@@ -89,12 +91,18 @@ class Linear:
     def __getstate__(self):
         return self.__dict__ | {"_table": None}
 
-    def proba(self, buckets: np.ndarray, dense: np.ndarray) -> float:
+    def probas(self, buckets: np.ndarray, sizes: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        """Probability of each document: one sparse product for all of them. buckets: of one after the other, sizes[k] of document k."""
         if self._table is None:
             self._table = np.zeros(BUCKETS)
             self._table[self.buckets] = self.w
-        margin = self._table[buckets].sum() + ((dense - self.mean) / self.spread) @ self.v + self.bias
-        return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=self._table[buckets], minlength=len(sizes))
+        margin = sums + ((dense - self.mean) / self.spread) @ self.v + self.bias
+        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+
+
+def _joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*docs, np.zeros(0, np.int32)]).astype(np.int64), np.array([len(d) for d in docs], np.int64)
 
 
 class Chain:
@@ -114,17 +122,18 @@ class Chain:
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 if len(inside) and len(outside):
                     model = Linear().fit([docs[i] for i in inside], dense[inside], y[inside])
-                    unseen[outside] = [model.proba(docs[i], dense[i]) for i in outside]
+                    unseen[outside] = model.probas(*_joined([docs[i] for i in outside]), dense[outside])
             self.models.append(Linear().fit(docs, dense, y))
             self.thresholds.append(best_threshold(unseen, y))
             dense = np.column_stack((dense, unseen))
         return self
 
-    def proba(self, buckets: np.ndarray, shape: np.ndarray) -> list[float]:
-        out: list[float] = []
+    def probas(self, docs: list[np.ndarray], shape: np.ndarray) -> np.ndarray:
+        """documents x categories"""
+        buckets, sizes = _joined(docs)
         for model in self.models:
-            out.append(model.proba(buckets, np.concatenate((shape, out))))
-        return out
+            shape = np.column_stack((shape, model.probas(buckets, sizes, shape)))
+        return shape[:, shape.shape[1] - len(self.models) :]
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -166,21 +175,21 @@ def score(docs: DataFrame, chain: Chain | None, names: list[str], text: str = "t
     """id, and p_<name> and is_<name> of every category, for every whole text.
 
     A text that is null or without a word has probability 0 in all of them, as has any text when nothing could be learned.
+    Rows are scored one by one, so repeated rows and ids get the same; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
     fields = [f"p_{n}" for n in names] + [f"is_{n}" for n in names]
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             p = np.zeros((b.num_rows, len(names)))
-            for k, t in enumerate(b.column(1).to_pylist() if chain else []):
-                buckets, shape = features(t)
-                if len(buckets):
-                    p[k] = chain.proba(buckets, shape)
+            made = [features(t) for t in b.column(1).to_pylist()] if chain else []
+            if some := [k for k, (buckets, _) in enumerate(made) if len(buckets)]:
+                p[some] = chain.probas([made[k][0] for k in some], np.array([made[k][1] for k in some]))
             flags = p >= (np.array(chain.thresholds) if chain else 2.0)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in p.T], *[pa.array((f & (c > 0)).tolist(), pa.bool_()) for f, c in zip(flags.T, p.T)]], names=["id", *fields])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{f}` {'double' if f.startswith('p_') else 'boolean'}" for f in fields))
+    return in_tasks(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{f}` {'double' if f.startswith('p_') else 'boolean'}" for f in fields))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,3 +29,39 @@ def test_edge_cases(spark):
 def test_threshold_and_features():
     assert best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1, 1, 0, 0])) == 0.55
     assert len(features(b"The the THE")[0]) == 2 and len(features(None)[0]) == 0
+
+
+def test_sparse_chain_matches_a_dense_one():
+    """Every step of the chain with plain dense matrices: out-of-fold inputs in training, earlier probabilities in prediction."""
+    import numpy as np
+
+    from buildproof.llm.toxicity import BUCKETS, FOLDS, Chain, Linear, features
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["good", "bad", "vile", "text", "word", "more"], 4)) for _ in range(90)]
+    labels = np.array([[int("bad" in t), int("vile" in t and "bad" in t)] for t in texts])
+    made = [features(t.encode()) for t in texts]
+    docs, shape = [m[0] for m in made], np.array([m[1] for m in made])
+    chain = Chain().fit(docs, shape, labels, ["a", "b"])
+
+    def dense(model, d, x):
+        row = np.zeros(BUCKETS)
+        row[d] = 1
+        weights = np.zeros(BUCKETS)
+        weights[model.buckets] = model.w
+        return 1 / (1 + np.exp(-(row @ weights + ((x - model.mean) / model.spread) @ model.v + model.bias)))
+
+    fold = np.random.default_rng(3).permutation(len(docs)) % FOLDS
+    unseen = np.zeros(len(docs))
+    for f in range(FOLDS):
+        inside = np.flatnonzero(fold != f)
+        model = Linear().fit([docs[i] for i in inside], shape[inside], labels[inside, 0])
+        for i in np.flatnonzero(fold == f):
+            unseen[i] = dense(model, docs[i], shape[i])
+    second = Linear().fit(docs, np.column_stack((shape, unseen)), labels[:, 1])
+    assert np.allclose(second.w, chain.models[1].w) and np.allclose(second.v, chain.models[1].v)
+    got = chain.probas(docs, shape)
+    for k, d in enumerate(docs):
+        a = dense(chain.models[0], d, shape[k])
+        assert np.allclose(got[k], [a, dense(chain.models[1], d, np.append(shape[k], a))])
+    assert ((got[:, 0] > 0.5) == labels[:, 0]).mean() > 0.95
