@@ -303,5 +303,6 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
 
     id_type = rows.schema["id"].dataType.simpleString()
     packed = in_tasks(rows, pack, f"{ROW} {ROW_TYPE}, id {id_type}, url string, z binary")  # pages are shuffled whole
-    joined = packed.join(template.hint("merge"), ROW, "left")  # templates grow with the pages.select(ROW, "id", "url", "z", "template", "most")
+    # templates grow with the pages, so they are never broadcast
+    joined = packed.join(template.hint("merge"), ROW, "left").select(ROW, "id", "url", "z", "template", "most")
     return in_tasks(joined, read, f"{ROW} {ROW_TYPE}, id {id_type}, url string, text string, n_template int")

@@ -34,7 +34,7 @@ def fingerprints(docs: DataFrame, text: str, id_col: str, run: int, min_words: i
     """
     columns = [_hashes(text).alias("h")]
     if min_words:
-        columns.append(F.transform(lines_of(F.col(text)), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))).alias("words"))
+        columns.append(F.transform(lines_of(F.col(text)), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("words"))
     rows = docs.select(ROW, F.col(id_col).alias("id"), *columns).filter(F.size("h") >= run)
     starts = F.sequence(F.lit(0), F.size("h") - run)
     if min_words:

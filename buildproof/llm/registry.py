@@ -110,10 +110,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_line_dedup",
     r"""
     WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-    w AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS start FROM l WHERE len(lines) >= 3),
-    k AS (SELECT doc_id, start, array_to_string(lines[start + 1:start + 3], chr(10)) AS part FROM w),
-    later AS (SELECT doc_id, start FROM k QUALIFY row_number() OVER (PARTITION BY part ORDER BY doc_id, start) > 1),
-    gone AS (SELECT DISTINCT doc_id, unnest([start, start + 1, start + 2]) AS i FROM later),
+    n AS (SELECT doc_id, lines, unnest([1, 2, 3]) AS n FROM l),
+    w AS (SELECT doc_id, lines, n, unnest(range(0, len(lines) - n + 1)) AS start FROM n WHERE len(lines) >= n),
+    p AS (SELECT doc_id, start, n, array_to_string(lines[start + 1:start + n], chr(10)) AS part FROM w),
+    k AS (SELECT * FROM p WHERE n = 3 OR len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) >= 50),
+    later AS (SELECT doc_id, start, n FROM k QUALIFY row_number() OVER (PARTITION BY n, part ORDER BY doc_id, start) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS i FROM later),
     e AS (SELECT doc_id, unnest(lines) AS line, unnest(range(0, len(lines))) AS i FROM l),
     s AS (SELECT e.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
                  coalesce(string_agg(e.line, chr(10) ORDER BY e.i) FILTER (WHERE gone.i IS NULL), '') AS kept
@@ -124,7 +126,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_repeated_lines
 
-    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"), min_words=50)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
