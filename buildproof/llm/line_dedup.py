@@ -26,36 +26,44 @@ def _least_at(part: Column) -> Column:
     return F.array_position(part, F.array_min(part)).cast("int") - 1
 
 
-def fingerprints(docs: DataFrame, text: str, id_col: str, run: int, min_words: int = 0) -> DataFrame:
-    """One row per selected line: place, finger (its hash), and the hashes around it that a window with it can hold, the first at `lo`.
+def _lengths(run: int, min_words: int | None) -> range:
+    """Numbers of lines of the stretches that count."""
+    return range(1 if min_words else run, run + 1)
 
-    Every window of `run` lines (with min_words words or more) selects its leftmost least hash; a line that several
-    windows select is one row. words: numbers of words of the lines around, if they count.
+
+def fingerprints(docs: DataFrame, text: str, id_col: str, run: int, min_words: int | None = None) -> DataFrame:
+    """One row per selected line: len, place, finger (its hash), and the hashes around it that a window with it can hold, the first at `lo`.
+
+    Every window of `run` lines, and every shorter one with min_words words or more if that is given, selects its
+    leftmost least hash; a line that several windows of one length select is one row. words: numbers of words of the lines around.
     """
-    columns = [_hashes(text).alias("h")]
-    if min_words:
-        columns.append(F.transform(lines_of(F.col(text)), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != ""))).alias("words"))
-    rows = docs.select(ROW, F.col(id_col).alias("id"), *columns).filter(F.size("h") >= run)
-    starts = F.sequence(F.lit(0), F.size("h") - run)
-    if min_words:
-        starts = F.filter(starts, lambda i: F.aggregate(F.slice("words", i + 1, F.lit(run)), F.lit(0), lambda s, n: s + n) >= min_words)
-    places = F.array_distinct(F.transform(starts, lambda i: i + _least_at(F.slice("h", i + 1, F.lit(run)))))
-    lo = lambda p: F.greatest(p - (run - 1), F.lit(0))
-    around = lambda c, p: F.slice(c, lo(p) + 1, p + run - lo(p))
-    made = lambda p: F.struct(p.alias("place"), F.get("h", p).alias("finger"), lo(p).alias("lo"), around("h", p).alias("around"), *([around("words", p).alias("words")] if min_words else []))
-    found = rows.select(ROW, "id", F.explode(F.transform(places, made)).alias("x"))
+    count = F.transform(lines_of(F.col(text)), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))) if min_words else F.lit(None).cast("array<int>")
+    rows = docs.select(ROW, F.col(id_col).alias("id"), _hashes(text).alias("h"), count.alias("words"))
+
+    def selected(n: int) -> Column:
+        starts = F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>"))
+        if n < run:
+            starts = F.filter(starts, lambda i: F.aggregate(F.slice("words", i + 1, F.lit(n)), F.lit(0), lambda s, x: s + x) >= min_words)
+        places = starts if n == 1 else F.array_distinct(F.transform(starts, lambda i: i + _least_at(F.slice("h", i + 1, F.lit(n)))))
+        lo = lambda p: F.greatest(p - (n - 1), F.lit(0))
+        around = lambda c, p: F.slice(c, lo(p) + 1, p + n - lo(p))
+        words = lambda p: around("words", p) if n < run else F.lit(None).cast("array<int>")
+        return F.transform(places, lambda p: F.struct(F.lit(n).alias("len"), p.alias("place"), F.get("h", p).alias("finger"), lo(p).alias("lo"), around("h", p).alias("around"), words(p).alias("words")))
+
+    found = rows.select(ROW, "id", F.explode(F.concat(*[selected(n) for n in _lengths(run, min_words)])).alias("x"))
     return found.select(ROW, "id", "x.*")
 
 
-def seeds(found: DataFrame, run: int, min_words: int = 0) -> DataFrame:
+def seeds(found: DataFrame, run: int, min_words: int | None = None) -> DataFrame:
     """start, len and hash of every window that selected one of these lines: the least match that counts."""
-    part = lambda c, s: F.slice(c, s - F.col("lo") + 1, F.lit(run))
-    last = F.least(F.col("place"), F.col("lo") + F.size("around") - run)
+    n = F.col("len")
+    part = lambda c, s: F.slice(c, s - F.col("lo") + 1, n)
+    last = F.least(F.col("place"), F.col("lo") + F.size("around") - n)
     starts = F.when(last >= F.col("lo"), F.sequence(F.col("lo"), last)).otherwise(F.array().cast("array<int>"))
     mine = lambda s: s + _least_at(part("around", s)) == F.col("place")
-    long = lambda s: F.aggregate(part("words", s), F.lit(0), lambda t, n: t + n) >= min_words if min_words else F.lit(True)
+    long = lambda s: (n == run) | (F.aggregate(part("words", s), F.lit(0), lambda t, x: t + x) >= min_words) if min_words else F.lit(True)
     each = F.transform(F.filter(starts, lambda s: mine(s) & long(s)), lambda s: F.struct(s.alias("start"), F.xxhash64(part("around", s)).alias("window")))
-    return found.select(ROW, "id", "finger", F.explode(each).alias("x")).select(ROW, "id", "finger", "x.start", F.lit(run).alias("len"), "x.window")
+    return found.select(ROW, "id", "finger", "len", F.explode(each).alias("x")).select(ROW, "id", "finger", "x.start", "len", "x.window")
 
 
 def _blocks(docs: DataFrame, text: str, run: int) -> DataFrame:
@@ -102,16 +110,11 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", r
     and joins can be split: a line may stand in most documents.
     """
     docs = settled(docs)
-    rows, found, staged = numbered(docs), None, []
-    for length in range(1 if min_words else run, run + 1):
-        words = 0 if length == run else min_words
-        kept = stage(fingerprints(rows, text, id_col, length, words), "fingerprints")
-        shared = kept.groupBy("finger").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("finger")
-        some = seeds(kept.join(apart(shared, "finger"), "finger", "left_semi"), length, words)
-        found = some if found is None else found.union(some)
-        staged.append(kept)
-    found = stage(found, "seeds")
-    discard(*staged)
+    rows = numbered(docs)
+    kept = stage(fingerprints(rows, text, id_col, run, min_words), "fingerprints")
+    shared = kept.groupBy("len", "finger").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "finger")
+    found = stage(seeds(kept.join(apart(shared, "len", "finger"), ["len", "finger"], "left_semi"), run, min_words), "seeds")
+    discard(kept)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("start").alias("start"))
     key = ["finger", "window", "len"]
     first = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select(*key, F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
