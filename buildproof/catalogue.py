@@ -289,6 +289,24 @@ def m_null_001(spark, sf_dir):
     return M.compare_nulls(*_measured(spark, sf_dir), 0.01)
 
 
+_RETYPED = "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderdate, TRUE AS o_orderpriority, 1 AS further FROM orders"
+_KIND = "CASE WHEN regexp_matches({0}, 'INT|DOUBLE|FLOAT|DECIMAL') THEN 'numeric' WHEN {0} = 'VARCHAR' THEN 'text' WHEN regexp_matches({0}, '^(DATE|TIMESTAMP)') THEN 'date-time' WHEN {0} = 'BOOLEAN' THEN 'boolean' ELSE 'other' END"
+
+
+@query(
+    "m_schema_001",
+    f"WITH a AS (SELECT column_name AS col_name, {_KIND.format('column_type')} AS kind FROM (DESCRIBE SELECT * FROM orders)), b AS (SELECT column_name AS col_name, {_KIND.format('column_type')} AS kind FROM (DESCRIBE {_RETYPED})), "
+    + "v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col_name, COUNT({c}) AS n FROM orders" for c, _ in _COLUMNS) + ") "
+    "SELECT a.col_name, CASE WHEN b.kind IS NULL THEN 'missing' ELSE a.kind || ' became ' || b.kind END AS state, CAST(v.n AS BIGINT) AS n_values "
+    "FROM a JOIN v USING (col_name) LEFT JOIN b USING (col_name) WHERE b.kind IS NULL OR b.kind <> a.kind",
+)
+def m_schema_001(spark, sf_dir):
+    """Columns that a migration lost or changed in kind, and how many values of the legacy table that concerns."""
+    orders = table(spark, sf_dir, "orders")
+    new = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", "o_orderdate", F.lit(True).alias("o_orderpriority"), F.lit(1).alias("further"))
+    return M.schema_losses(orders, new)
+
+
 @query("m_grain_groups", "SELECT l_returnflag, l_linestatus, CAST(COUNT(*) AS BIGINT) AS group_count FROM lineitem GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20")
 def m_grain_groups(spark, sf_dir):
     return M.grain_groups(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], 20)

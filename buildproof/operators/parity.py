@@ -96,6 +96,16 @@ def compare_schemas(old: DataFrame, new: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
+def schema_losses(old: DataFrame, new: DataFrame) -> DataFrame:
+    """col_name, state, n_values: the legacy columns at fault and the values in each that are at stake, counted in one pass over the legacy rows."""
+    wrong = compare_schemas(old, new)
+    if not wrong:
+        return old.limit(0).select(F.lit("").alias("col_name"), F.lit("").alias("state"), F.lit(0).cast("long").alias("n_values"))
+    one = old.agg(*[F.count(named(c)).alias(f"m{k}") for k, (c, _) in enumerate(wrong)])
+    rows = F.array(*[F.struct(F.lit(c).alias("col_name"), F.lit(w).alias("state"), F.col(f"m{k}").alias("n_values")) for k, (c, w) in enumerate(wrong)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
 def grain_groups(df: DataFrame, grain: Sequence[str], top: int | None = None) -> DataFrame:
     """Groups and their row counts, all of them or the largest few."""
     found = df.select(*[key_text(df, g).alias(g) for g in grain]).groupBy(*grain).agg(F.count(F.lit(1)).alias("group_count"))

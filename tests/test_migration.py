@@ -48,6 +48,17 @@ def test_each_drift_is_seen(store, orders):
     assert statuses(store, moved.union(moved.limit(1)))["HASH"] == "ERROR"
 
 
+def test_schema_losses_count_the_values_at_stake(orders):
+    from buildproof.operators.parity import schema_losses
+
+    moved = orders.drop("o_totalprice").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("more", F.lit(1))
+    some = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")))
+    n, even = orders.count(), orders.filter("o_orderkey % 2 = 0").count()
+    assert sorted(map(tuple, schema_losses(some, moved).collect())) == [("o_custkey", "numeric became text", n), ("o_totalprice", "missing", even)]
+    assert schema_losses(orders, orders.withColumn("more", F.lit(1))).count() == 0
+    assert schema_losses(orders.limit(0), moved).filter("n_values = 0").count() == 2
+
+
 def test_preparations(spark, store, orders):
     assert check_snapshots(store, ["orders"]).status == "PASS" and check_snapshots(store, ["orders", "none"]).status == "FAIL"
     assert check_map(Resolution({}, ["x"], [])).status == "FAIL" and check_map(Resolution({}, [], ["y"])).status == "PASS"
