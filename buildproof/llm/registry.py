@@ -143,3 +143,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("id") % 50 == 0)
+
+
+@query("op12_exact_topk")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
