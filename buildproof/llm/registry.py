@@ -158,3 +158,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_products
 
     return top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
