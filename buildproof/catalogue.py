@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from .checks.verdict import roll_up
 from .functions import pii
 from .operators import assertions as A
+from .operators import evidence as E
 from .operators import parity as M
 from .operators import regression as R
+from .sources.baseline import BaselineStore
+from .sources.scratch import new_folder
+from .streaming import checks as S
 
 QUERIES = {}
 ORACLES = {}
@@ -186,6 +190,18 @@ def trend_last_20(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value").withColumn("rank", F.row_number().over(newest)).filter("rank <= 20").drop("rank")
 
 
+@query(
+    "evidence_per_key",
+    "SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 "
+    "QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5(l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey), l_quantity) <= 20",
+)
+def evidence_per_key(spark, sf_dir):
+    """The violations shown of each return flag: the same twenty under any partitioning."""
+    bad = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    mark = F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return E.bottom_k(bad, 20, [mark], F.col("l_quantity"), ["l_returnflag"]).select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+
+
 # Regression
 
 _SUM = "CAST(coalesce(SUM(CAST({0} AS DECIMAL(38,{1}))), 0) AS DOUBLE)"
@@ -232,6 +248,14 @@ def r_diff_001(spark, sf_dir):
     return changes.groupBy(F.col("__change").alias("change")).agg(F.sum("__times").alias("n"))
 
 
+@query("r_diff_tree", ORACLES["r_diff_001"])
+def r_diff_tree(spark, sf_dir):
+    """r_diff_001 by the tree kept beside a baseline: only leaves that differ are read of it."""
+    store = BaselineStore(spark, new_folder(spark, "baselines"))
+    store.save("orders", table(spark, sf_dir, "orders"), tree=True, keys=["o_orderkey"])
+    return store.row_changes("orders", migrated(spark, sf_dir)).groupBy(F.col("__change").alias("change")).agg(F.sum("__times").alias("n"))
+
+
 # Migration parity
 
 _COLUMNS = (("o_orderkey", 0), ("o_custkey", 0), ("o_orderstatus", None), ("o_totalprice", 2), ("o_orderdate", None), ("o_orderpriority", None))
@@ -262,7 +286,51 @@ def _measured(spark, sf_dir):
 
 @query("m_metrics", _measure_sql("orders"))
 def m_metrics(spark, sf_dir):
-    return M.measure(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"])
+    return M.measure(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey"]).filter("kind not in ('nan', 'inf', '-inf')").drop("exact")
+
+
+_IRREGULAR = "SELECT event_id, CASE WHEN event_id % 997 = 0 THEN CAST('nan' AS DOUBLE) WHEN event_id % 991 = 0 THEN CAST('inf' AS DOUBLE) ELSE value END AS value FROM events"
+_NAN_SQL = "SELECT 'nan' AS kind, CAST(COUNT(*) FILTER (WHERE isnan(value)) AS DOUBLE) AS v FROM {0} UNION ALL SELECT 'inf', CAST(COUNT(*) FILTER (WHERE value = CAST('inf' AS DOUBLE)) AS DOUBLE) FROM {0}"
+
+
+@query(
+    "r_agg_nan",
+    f"WITH c AS ({_IRREGULAR}), b AS ({_NAN_SQL.format('events')}), n AS ({_NAN_SQL.format('c')}) "
+    "SELECT kind || ':value' AS name, b.v AS baseline, n.v AS current FROM b JOIN n USING (kind) WHERE b.v <> n.v",
+)
+def r_agg_nan(spark, sf_dir):
+    """Figures that moved where some values became NaN or infinite; the sum, which leaves those out, moves as well and is left to r_agg_001."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    value = F.when(F.col("event_id") % 997 == 0, float("nan")).when(F.col("event_id") % 991 == 0, float("inf")).otherwise(F.col("value"))
+    moved = R.fingerprint_breaches(R.fingerprint(events.withColumn("value", value), irregular=True), R.fingerprint(events, irregular=True))
+    return moved.filter("name not like 'sum:%'")
+
+
+_LARGE = 1 << 53
+
+
+@query(
+    "m_agg_exact",
+    f"WITH o AS (SELECT o_orderkey + {_LARGE} AS k FROM orders), n AS (SELECT k + 1 AS k FROM o) "
+    "SELECT kind, 'k' AS col_name, a > b AS breach FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}' AS kind, (SELECT {f}(k) FROM n) AS a, (SELECT {f}(k) FROM o) AS b" for f in ("sum", "min", "max"))
+    + ")",
+)
+def m_agg_exact(spark, sf_dir):
+    """Integers beyond the digits of a double, each one larger on the new side: sums and extremes differ by all digits."""
+    old = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + _LARGE).alias("k"))
+    return M.compare_metrics(M.measure(old), M.measure(old.select((F.col("k") + 1).alias("k"))), ["sum", "min", "max"], 0.0).select("kind", "col_name", "breach")
+
+
+@query(
+    "m_hash_case",
+    f"WITH c AS ({MIGRATED}) SELECT CAST(coalesce(o.o_orderkey, c.o_orderkey) AS VARCHAR) AS o_orderkey, CASE WHEN c.o_orderkey IS NULL THEN 'missing' ELSE 'mismatch' END AS state "
+    "FROM orders o LEFT JOIN c ON o.o_orderkey = c.o_orderkey WHERE c.o_orderkey IS NULL OR o.o_totalprice IS DISTINCT FROM c.o_totalprice OR o.o_orderpriority IS DISTINCT FROM c.o_orderpriority",
+)
+def m_hash_case(spark, sf_dir):
+    """Rows by key where the migrated side spells all its columns in upper case."""
+    new = migrated(spark, sf_dir)
+    return M.compare_rows(table(spark, sf_dir, "orders"), new.toDF(*[c.upper() for c in new.columns]), ["O_ORDERKEY"])
 
 
 @query("m_row_001", _compared_sql("'row_count'", 0.0))
@@ -378,13 +446,14 @@ def _hidden_sql() -> str:
     return out
 
 
-@query("pii_redact_documents", f"SELECT doc_id, sha256({_hidden_sql()}) AS text_sha256 FROM documents")
-def pii_redact_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(pii.hide(F.col("text")), 256).alias("text_sha256"))
-
-
 _DIGIT = "CAST(substr(s, length(s) - i, 1) AS INTEGER)"
 _CHECK = f"list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN i % 2 = 0 THEN {_DIGIT} WHEN {_DIGIT} > 4 THEN {_DIGIT} * 2 - 9 ELSE {_DIGIT} * 2 END))"
+_CARDS = f"list_filter(list_transform(regexp_extract_all(text, '{pii.CARD}'), lambda x: regexp_replace(x, '[ -]', '', 'g')), lambda s: {_CHECK} % 10 = 0)"
+
+
+@query("pii_redact_documents", f"SELECT doc_id, sha256(CASE WHEN len({_CARDS}) > 0 THEN '{pii.HIDDEN}' ELSE {_hidden_sql()} END) AS text_sha256 FROM documents")
+def pii_redact_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(pii.hide_all(F.col("text")), 256).alias("text_sha256"))
 
 
 @query(
@@ -420,3 +489,35 @@ def verdict_rollup(spark, sf_dir):
     )
     results = per.select("c_nationkey", F.explode(found).alias("r")).select("c_nationkey", "r.*")
     return roll_up(results, "c_nationkey")
+
+
+# Streams
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream, a file at a time."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events*.parquet")
+
+
+@query(
+    "stream_duplicate_keys",
+    "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, event_type, COUNT(*) AS n FROM events GROUP BY ALL), m AS (SELECT MAX(ts) AS ts FROM events) "
+    "SELECT w.window_start, user_id, event_type, CAST(n AS BIGINT) AS dup_count FROM w, m WHERE n > 1 AND w.window_start + INTERVAL 1 HOUR <= m.ts - INTERVAL 2 HOURS",
+)
+def stream_duplicate_keys(spark, sf_dir):
+    """Users with several events of a kind within an hour, from the stream of events; windows are final two hours later."""
+    found = S.replayed(_event_stream(spark, sf_dir), "duplicates", lambda s: S.duplicate_keys(s, ["user_id", "event_type"], "ts", "1 hour", "2 hours"))
+    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_orphans",
+    "WITH m AS (SELECT least(MAX(ts) FILTER (WHERE event_type = 'click'), MAX(ts) FILTER (WHERE event_type = 'view')) AS ts FROM events), p AS (SELECT user_id, ts FROM events WHERE event_type = 'view') "
+    "SELECT c.event_id, c.user_id FROM events c, m WHERE event_type = 'click' AND c.ts + INTERVAL 1 HOUR < m.ts - INTERVAL 1 DAY "
+    "AND NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = c.user_id AND p.ts >= c.ts - INTERVAL 1 DAY AND p.ts <= c.ts + INTERVAL 1 HOUR)",
+)
+def stream_orphans(spark, sf_dir):
+    """Clicks without a view of the same user in the day before or the hour after, from two streams of events."""
+    s = _event_stream(spark, sf_dir)
+    child, parent = s.filter("event_type = 'click'").select("event_id", "user_id", "ts"), s.filter("event_type = 'view'").select("user_id", "ts")
+    return S.replayed(s, "orphans", lambda _: S.orphans(child, "user_id", "ts", parent, "user_id", "ts", "1 DAY", "1 HOUR", "1 day").select("event_id", "user_id"))

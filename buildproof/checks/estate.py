@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import glob
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.catalyst import assert_read_only
 from ..plans.lineage import projected_columns
+from ..plans.static import table_exists
 from ..sources import mapping
 from ..sources.baseline import BaselineStore
 from ..sources.workbook import read_workbooks, relations
@@ -22,6 +25,12 @@ from .verdict import Result, verdict
 MODES = ("snapshot", "check", "run")
 
 
+# The fields of a manifest and what a snapshot prefix may be made of.
+MANIFEST_FIELDS = ("version", "workbooks")
+WORKBOOK_FIELDS = ("path", "map", "snapshot_prefix")
+PREFIX = r"[a-z0-9_-]+"
+
+
 @dataclass(frozen=True)
 class Listed:
     """A workbook of an estate, the map of its objects and what its snapshots are named by."""
@@ -30,49 +39,55 @@ class Listed:
     map: str | None = None
     snapshot_prefix: str | None = None
 
+    def __post_init__(self):
+        if self.snapshot_prefix is not None and not re.fullmatch(PREFIX, self.snapshot_prefix):
+            raise ValueError(f"{self.path}: {self.snapshot_prefix!r} is no snapshot prefix")
+
     @property
     def prefix(self) -> str:
         return self.snapshot_prefix or re.sub(r"[^a-z0-9_-]+", "_", Path(self.path).stem.lower()).strip("_") or "workbook"
 
 
-def load_manifest(spec: str, default_map: str | None = None) -> list[Listed]:
-    """The workbooks that a YAML manifest lists, or that a glob finds. None at all, and two of one prefix, are refused.
+def _manifest_rows(file: Path, default_map: str | None) -> Iterator[Listed]:
+    content = read_mapping(file)
+    known_only(content, MANIFEST_FIELDS, str(file))
+    if content.get("version") != 1:
+        raise ValueError(f"{file}: version must be 1")
+    beside = lambda name: str(file.parent / name)
+    for row in content.get("workbooks") or ():
+        known_only(row, WORKBOOK_FIELDS, str(file))
+        yield Listed(beside(row["path"]), beside(row["map"]) if row.get("map") else default_map, row.get("snapshot_prefix"))
 
-    Paths of a manifest are relative to it. A workbook without a map of its own has the default one.
-    """
-    path = Path(spec)
-    if path.suffix.lower() in (".yml", ".yaml") and path.is_file():
-        raw = read_mapping(path)
-        known_only(raw, ("version", "workbooks"), str(spec))
-        if raw.get("version") != 1:
-            raise ValueError(f"{spec}: version must be 1")
-        found = []
-        for w in raw.get("workbooks") or []:
-            known_only(w, ("path", "map", "snapshot_prefix"), str(spec))
-            prefix = w.get("snapshot_prefix")
-            if prefix is not None and not re.fullmatch(r"[a-z0-9_-]+", prefix):
-                raise ValueError(f"{spec}: {prefix!r} is no snapshot prefix")
-            found.append(Listed(str(path.parent / w["path"]), str(path.parent / w["map"]) if w.get("map") else default_map, prefix))
-    else:
-        found = [Listed(p, default_map) for p in sorted(glob.glob(str(spec), recursive=True))]
-    if not found:
-        raise ValueError(f"{spec} names no workbook")
-    by_prefix: dict[str, list[str]] = {}
-    for w in found:
-        by_prefix.setdefault(w.prefix.casefold(), []).append(w.path)
-    if shared := {p: paths for p, paths in by_prefix.items() if len(paths) > 1}:
-        raise ValueError(f"{spec}: workbooks would share snapshots: {shared}")
-    return found
-
-
-def read_object(spark: SparkSession, name: str) -> DataFrame:
-    """A table by its full name, or a registered one by the last part of it."""
-    try:
-        if spark.catalog.tableExists(name):
-            return spark.table(name)
-    except Exception:  # more parts than this catalog's names have
-        pass
-    return spark.table(name.rsplit(".", 1)[-1])
+
+def clashes(rows: Iterable[Listed]) -> dict[str, list[str]]:
+    """Paths by prefix, whatever its case, where several workbooks would write the same snapshots."""
+    ordered = sorted((r.prefix.casefold(), r.path) for r in rows)
+    grouped = {prefix: [path for _, path in members] for prefix, members in groupby(ordered, key=itemgetter(0))}
+    return {prefix: paths for prefix, paths in grouped.items() if len(paths) > 1}
+
+
+def estate_of(source: str, default_map: str | None = None) -> list[Listed]:
+    """The workbooks that a YAML manifest lists, with paths relative to it, or else those that a glob finds. An estate has a workbook, and none of two share snapshots."""
+    file = Path(source)
+    is_manifest = file.is_file() and file.suffix.lower() in (".yml", ".yaml")
+    rows = [*_manifest_rows(file, default_map)] if is_manifest else [Listed(p, default_map) for p in sorted(glob.glob(source, recursive=True))]
+    if problem := "names no workbook" if not rows else f"lists workbooks that would share snapshots: {found}" if (found := clashes(rows)) else "":
+        raise ValueError(f"{source} {problem}")
+    return rows
+
+
+class NoSuchObject(LookupError):
+    """A table that neither the run's own names nor the catalog know by its full name."""
+
+
+def read_object(spark: SparkSession, name: str, tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The table of exactly this name: one of the given tables (full names, in any case), or the catalog's. No part of a name is ever left out."""
+    given = {k.upper(): df for k, df in (tables or {}).items()}
+    if name.upper() in given:
+        return given[name.upper()]
+    if not table_exists(spark, name):
+        raise NoSuchObject(f"there is no table {name}")
+    return spark.table(name)
 
 
 @dataclass(frozen=True)
@@ -91,7 +106,7 @@ def _query(spark: SparkSession, sql: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in kept]) if kept else df
 
 
-def _objects(spark: SparkSession, workbook: Listed, parts: DataFrame, swapped: bool, identity: bool) -> tuple[list[_Object], mapping.Resolution]:
+def _objects(spark: SparkSession, workbook: Listed, parts: DataFrame, swapped: bool, identity: bool, tables: Mapping[str, DataFrame] | None) -> tuple[list[_Object], mapping.Resolution]:
     config = read_mapping(workbook.map) if workbook.map else {"version": 1}
     entries, ignore = mapping.load(config)
     rows = relations(parts).filter("kind <> 'refused'").collect()  # one row per datasource of a workbook
@@ -104,20 +119,21 @@ def _objects(spark: SparkSession, workbook: Listed, parts: DataFrame, swapped: b
             out.append(_Object(migration.snapshot_name(workbook.prefix, r.datasource, label), mapping.Entry(label, label), *[lambda sql=r.detail: _query(spark, sql)] * 2))
         elif r.detail in resolution.resolved:
             e = resolution.resolved[r.detail]
-            out.append(_Object(migration.snapshot_name(workbook.prefix, r.datasource, e.old), e, lambda e=e: read_object(spark, e.old), lambda e=e: read_object(spark, e.new)))
+            out.append(_Object(migration.snapshot_name(workbook.prefix, r.datasource, e.old), e, lambda e=e: read_object(spark, e.old, tables), lambda e=e: read_object(spark, e.new, tables)))
     return out, resolution
 
 
-def run_parity(spark: SparkSession, workbook: Listed, store: BaselineStore, mode: str = "run", swapped: bool = False, identity: bool = False) -> list[Result]:
+def run_parity(spark: SparkSession, workbook: Listed, store: BaselineStore, mode: str = "run", swapped: bool = False, identity: bool = False, tables: Mapping[str, DataFrame] | None = None) -> list[Result]:
     """The results of one workbook. snapshot: measure its legacy objects and keep that; check: compare the migrated ones; run: both.
 
-    swapped: the workbook names the migrated objects already. An object without a snapshot fails M-SNAP-001 and is not compared.
+    swapped: the workbook names the migrated objects already. tables: objects by their full names, beside those of the catalog. An object
+    without a snapshot fails M-SNAP-001 and is not compared; a migrated one that isn't there fails M-SCHEMA-001.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     parts = read_workbooks(spark, workbook.path)
     out = migration.check_sources(relations(parts))
-    objects, resolution = _objects(spark, workbook, parts, swapped, identity)
+    objects, resolution = _objects(spark, workbook, parts, swapped, identity, tables)
     out.append(migration.check_map(resolution))
     if mode in ("snapshot", "run"):
         for o in objects:
@@ -126,7 +142,12 @@ def run_parity(spark: SparkSession, workbook: Listed, store: BaselineStore, mode
         out.append(migration.check_snapshots(store, [o.snapshot for o in objects]))
         for o in objects:
             if store.exists(f"{o.snapshot}__metrics"):
-                out += migration.check_object(store, o.snapshot, o.target(), o.entry)
+                try:
+                    target = o.target()
+                except NoSuchObject as lost:
+                    out.append(migration.missing_target(str(lost)))
+                    continue
+                out += migration.check_object(store, o.snapshot, target, o.entry)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,11 +42,13 @@ def save_snapshot(store: BaselineStore, name: str, legacy: DataFrame, entry: Ent
     missing = [c for c in (*entry.keys, *entry.grain) if c.upper() not in {x.upper() for x in legacy.columns}]
     if missing:
         raise ValueError(f"{entry.old} has no column {_few(missing)}")
-    if entry.grain:
-        store.save(f"{name}__grain", P.grain_groups(legacy, entry.grain))
-    if entry.keys:
-        store.save(f"{name}__rows", P.hashed_rows(legacy, entry.keys))
-    store.save(f"{name}__metrics", P.measure(legacy, entry.keys), object=entry.old, measured_schema=legacy.schema.jsonValue())
+    keys, grain = P.spelled(entry.keys, legacy.columns), P.spelled(entry.grain, legacy.columns)
+    if grain:
+        store.save(f"{name}__grain", P.grain_groups(legacy, grain))
+    if keys:
+        hashed = P.hashed_rows(legacy, keys)
+        store.save(f"{name}__rows", hashed, tree=True, keys=keys, unique=P.repeated_keys(hashed, keys).isEmpty())
+    store.save(f"{name}__metrics", P.measure(legacy, keys), object=entry.old, measured_schema=legacy.schema.jsonValue())
 
 
 def check_sources(relations: DataFrame) -> list[Result]:
@@ -79,21 +81,27 @@ def _difference(check: str, name: str, severity: str, found: DataFrame | None, d
     return _made(check, name, severity, "FAIL" if rows else "PASS", told, expected)
 
 
+def missing_target(why: str) -> Result:
+    """M-SCHEMA-001 of an object whose migrated table isn't there: nothing of it can be compared."""
+    return _made("M-SCHEMA-001", "same columns and kinds of type", "BLOCKER", "FAIL", why, "every legacy column")
+
+
 def check_object(store: BaselineStore, name: str, target: DataFrame, entry: Entry, row_tolerance: float = 0.0) -> list[Result]:
-    """The comparisons of one migrated object with its snapshot. Columns are compared under their legacy names."""
+    """The comparisons of one migrated object with its snapshot. Columns are compared under their legacy names and spelling."""
     spark = target.sparkSession
-    live = P.renamed(target, {new: old for old, new in entry.columns.items()})
     old_schema = StructType.fromJson(store.manifest(f"{name}__metrics")["measured_schema"])
+    live = P.respelled(P.renamed(target, {new: old for old, new in entry.columns.items()}), old_schema.names)
+    entry = replace(entry, keys=tuple(P.spelled(entry.keys, old_schema.names)), grain=tuple(P.spelled(entry.grain, old_schema.names)))
     wrong = P.compare_schemas(spark.createDataFrame([], old_schema), live)
     out = [_made("M-SCHEMA-001", "same columns and kinds of type", "BLOCKER", "FAIL" if wrong else "PASS", _few(f"{c}: {w}" for c, w in wrong), "every legacy column")]
     gone = {c.upper() for c, _ in wrong}
     keys = [k for k in entry.keys if k.upper() not in gone]
-    shared = [f.name for f in old_schema if f.name.upper() in {c.upper() for c in live.columns}]
+    shared = [c for c in old_schema.names if c in live.columns]
     old, new = store.load(f"{name}__metrics"), P.measure(live.select(*shared), keys)
     changed = lambda r: f"{r.kind} {r.col_name}: {r.old_value:g} became {r.new_value:g}"
     ranked = lambda df: df.filter("breach").orderBy(F.desc("diff"), "col_name", "kind")
     out.append(_difference("M-ROW-001", "same number of rows", "BLOCKER", ranked(P.compare_metrics(old, new, ["row_count"], row_tolerance)), changed, "", "the same number"))
-    out.append(_difference("M-AGG-001", "same sums and extremes", "HIGH", ranked(P.compare_metrics(old, new, ["sum", "min", "max"], entry.tolerance)), changed, "", f"within {entry.tolerance:g}"))
+    out.append(_difference("M-AGG-001", "same sums and extremes", "HIGH", ranked(P.compare_metrics(old, new, ["sum", "min", "max", "nan", "inf", "-inf"], entry.tolerance)), changed, "", f"within {entry.tolerance:g}"))
     out.append(_difference("M-NULL-001", "same share of nulls", "HIGH", ranked(P.compare_nulls(old, new, entry.tolerance)), changed, "", f"within {entry.tolerance:g}"))
     out.append(_difference("M-DIST-001", "same number of keys", "HIGH", ranked(P.compare_metrics(old, new, ["distinct"], entry.tolerance)) if entry.keys else None, changed, "no keys declared", f"within {entry.tolerance:g}"))
     grain = P.compare_grain(store.load(f"{name}__grain"), P.grain_groups(live, entry.grain), entry.grain, entry.tolerance) if entry.grain and not gone & {g.upper() for g in entry.grain} else None
@@ -103,18 +111,23 @@ def check_object(store: BaselineStore, name: str, target: DataFrame, entry: Entr
 
 
 def _check_rows(store, name, live, entry, keys, shared, old_schema) -> Result:
+    """By the tree of the snapshot: one scan of the live rows for their digests, then only leaves that differ are read on either side.
+
+    Where a leaf's keys are those of the snapshot, in which no key repeats, none repeats in the live rows either; so only leaves of other keys are looked at for that.
+    """
     about = ("M-HASH-001", "same rows", "HIGH")
     if not entry.keys:
         return _made(*about, "SKIP", "no keys declared")
     if len(keys) < len(entry.keys) or len(shared) < len(old_schema):
         return _made(*about, "WARN", "the columns differ, so rows can't be compared")
-    kept, now = store.load(f"{name}__rows"), P.hashed_rows(live, entry.keys, shared)
-    for side, rows in (("legacy", kept), ("migrated", now)):
-        if rows.groupBy(*entry.keys).count().filter("count > 1").limit(1).count():
-            return _made(*about, "ERROR", f"the key is not unique in the {side} rows")
-    both = kept.withColumnRenamed("row_hash", "a").join(now.withColumnRenamed("row_hash", "b"), list(entry.keys), "full_outer")
-    found = both.filter("a is null or b is null or a <> b")
-    return _difference(*about, found, lambda r: f"{tuple(r[k] for k in entry.keys)}: {'missing' if r.b is None else 'extra' if r.a is None else 'different'}", "", "the same rows by key")
+    kept, now, manifest = store.load(f"{name}__rows"), P.hashed_rows(live, entry.keys, shared), store.manifest(f"{name}__rows")
+    leaves, mine, theirs = store.changed_leaves(f"{name}__rows", now) or (None, now, kept)
+    if not manifest.get("unique", leaves is None and P.repeated_keys(kept, entry.keys).isEmpty()):
+        return _made(*about, "ERROR", "the key is not unique in the legacy rows")
+    if (leaves is None or not leaves.filter("keys_differ").isEmpty()) and not P.repeated_keys(mine, entry.keys).isEmpty():
+        return _made(*about, "ERROR", "the key is not unique in the migrated rows")
+    found = P.changed_keys(theirs, mine, entry.keys)
+    return _difference(*about, found, lambda r: f"{tuple(r[k] for k in entry.keys)}: {'different' if r.state == 'mismatch' else r.state}", "", "the same rows by key")
 
 
 @dataclass(frozen=True)

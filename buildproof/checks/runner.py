@@ -7,9 +7,12 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..functions.pii import safe_sample
+from ..operators.evidence import counted
+from ..sources.scratch import written
 from .registry import CHECKS, Check, Context, result
 from .verdict import FAMILIES, Result, coverage, summary, verdict
 
@@ -52,21 +55,30 @@ def _blocked(check: Check, spec: Spec, ctx: Context) -> Result | None:
     return None
 
 
+def _columns(ctx: Context, some: list[tuple[int, Check, Spec]]) -> tuple[list[Column], list[tuple[int, str]]]:
+    """The metric columns of some checks, and the check and name that each belongs to."""
+    columns, where = [], []
+    for at, check, spec in some:
+        params = dict(spec.params) | ({"as_of": ctx.as_of} if ctx.as_of else {})
+        for name, column in check.metrics(ctx.build, params).items():
+            columns.append(column.alias(f"m{len(columns)}"))
+            where.append((at, name))
+    return columns, where
+
+
+def _by_check(where: list[tuple[int, str]], values: Mapping[str, Any]) -> dict[int, dict[str, Any]]:
+    out: dict[int, dict[str, Any]] = {}
+    for k, (at, name) in enumerate(where):
+        out.setdefault(at, {})[name] = values[f"m{k}"]
+    return out
+
+
 def _scalar(ctx: Context, wanted: list[tuple[int, Check, Spec]]) -> dict[int, dict[str, Any] | Exception]:
     """Metric values per check: from one pass, or one by one where that fails, so that a bad check fails alone."""
 
     def measure(some):
-        columns, where = [], []
-        for at, check, spec in some:
-            params = dict(spec.params) | ({"as_of": ctx.as_of} if ctx.as_of else {})
-            for name, column in check.metrics(ctx.build, params).items():
-                columns.append(column.alias(f"m{len(columns)}"))
-                where.append((at, name))
-        row = ctx.build.agg(*columns).first()
-        out: dict[int, dict[str, Any]] = {}
-        for k, (at, name) in enumerate(where):
-            out.setdefault(at, {})[name] = row[k]
-        return out
+        columns, where = _columns(ctx, some)
+        return _by_check(where, ctx.build.agg(*columns).first().asDict())
 
     if not wanted:
         return {}
@@ -82,15 +94,39 @@ def _scalar(ctx: Context, wanted: list[tuple[int, Check, Spec]]) -> dict[int, di
         return out
 
 
-def _sampled(df: DataFrame, ctx: Context) -> tuple[int, list[dict]]:
-    """How many rows there are, and a few of them with personal data hidden before they leave the executors.
+def _scans_only(build: DataFrame) -> bool:
+    """Whether a build is a filtered or projected scan of one table, which costs no more to read again than a copy of it."""
+    node = build._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("SubqueryAlias", "View", "Project", "Filter"):
+        node = node.child()
+    return node.getClass().getSimpleName() in ("LogicalRelation", "LocalRelation", "Range", "LogicalRDD", "OneRowRelation")
+
 
-    Few rows are counted as they are shown, in one run of the build; only if there are more are they counted.
+def _settled(ctx: Context, scalar: list[tuple[int, Check, Spec]]) -> tuple[Context, dict[int, Any] | None]:
+    """The context with a copy of the build that was written once, and the metrics observed in the job that wrote it.
+
+    Row checks then read the copy, so that the build's sources are scanned once however many checks there are. Metrics are None if there are none to
+    observe, or one of them broke the job: then the copy is written without them, and they are taken of it.
     """
-    cap = max(ctx.evidence_rows, 1)
-    found = [r.asDict(recursive=True) for r in (safe_sample(df, cap + 1, ctx.pii_names) if ctx.redact else df.limit(cap + 1)).collect()]
-    n = len(found) if len(found) <= cap else df.count()
-    return n, [] if ctx.aggregate_only else found[: ctx.evidence_rows]
+    columns, where = _columns(ctx, scalar)
+    if columns:
+        seen = Observation()
+        try:
+            copy = written(ctx.build.observe(seen, *columns), "build")
+            # an empty plan may report nothing
+            values = seen.get if copy.limit(1).count() else None
+            return replace(ctx, build=copy), None if values is None else _by_check(where, values)
+        except Exception:  # a metric of bad data; a bad build fails again below
+            pass
+    return replace(ctx, build=written(ctx.build, "build")), None
+
+
+def _sampled(df: DataFrame, ctx: Context, first: tuple[str, ...]) -> tuple[int, list[dict]]:
+    """How many rows there are, and a few of them, the same in every run, with personal data hidden before they leave the executors. One job."""
+    cap = 0 if ctx.aggregate_only else ctx.evidence_rows
+    show = (lambda some: safe_sample(some, cap, ctx.pii_names)) if ctx.redact else (lambda some: some)
+    n, rows = counted(df, cap, [F.desc(c) for c in first if c in df.columns], show)
+    return n, [r.asDict(recursive=True) for r in rows]
 
 
 def _folded(found: list[tuple[str, str]], expected: str) -> tuple[str, str, str]:
@@ -114,16 +150,22 @@ def run_checks(ctx: Context, specs: Iterable[Spec]) -> Run:
         else:
             (scalar if check.metrics else grouped).append((at, check, spec))
     began = time.monotonic()
-    values = _scalar(ctx, scalar)
+    values, on_rows = None, ctx
+    if any(check.rows for _, check, _ in grouped) and not _scans_only(ctx.build):
+        try:
+            on_rows, values = _settled(ctx, scalar)
+        except Exception:  # the build breaks: every check says so by itself
+            on_rows = ctx
+    values = _scalar(on_rows, scalar) if values is None else values
     each = int((time.monotonic() - began) * 1000)
     for at, check, spec in scalar:
         found[at] = _decided(check, spec, values[at], each)
     for at, check, spec in grouped:
         began = time.monotonic()
         try:
-            value: Any = check.first(ctx, spec.params) if check.first else _folded(check.find(ctx, spec.params), check.name) if check.find else None
+            value: Any = check.first(on_rows, spec.params) if check.first else _folded(check.find(ctx, spec.params), check.name) if check.find else None
             if value is None:
-                n, sample = _sampled(check.rows(ctx, spec.params), ctx)
+                n, sample = _sampled(check.rows(on_rows, spec.params), ctx, check.worst)
                 value = {"rows": n, "sample": sample}
         except Exception as error:
             value = error

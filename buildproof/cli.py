@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .checks import audit, ruleset
-from .checks.estate import MODES, load_manifest, run_estate
+from .checks.estate import MODES, estate_of, read_object, run_estate
 from .checks.limits import limited
 from .checks.registry import CHECKS, Context
 from .checks.report import as_html, as_json, as_junit, estate_as_html, estate_as_json, estate_as_junit
@@ -52,7 +52,7 @@ def doctor() -> list[tuple[str, bool, str]]:
 
 def _arguments(argv):
     parser = argparse.ArgumentParser(prog="buildproof", description=__doc__)
-    parser.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table to register")
+    parser.add_argument("--table", action="append", default=[], metavar="NAME=PATH", help="a Parquet table to register; a name with dots is the full name of an object of a workbook or map")
     parser.add_argument("--store", default="baselines", help="folder of baselines")
     commands = parser.add_subparsers(dest="command", required=True)
     check = commands.add_parser("check", help="run checks on a build script")
@@ -71,6 +71,7 @@ def _arguments(argv):
     save = commands.add_parser("baseline", help="keep the result of a build script")
     save.add_argument("script")
     save.add_argument("--name")
+    save.add_argument("--key", action="append", default=[], help="a column that the rows are laid out by, so that a changed row touches one leaf")
     parity = commands.add_parser("parity", help="compare two registered tables")
     parity.add_argument("old")
     parity.add_argument("new")
@@ -103,15 +104,18 @@ def main(argv=None) -> int:
             print("\n".join(f"{'ok' if ok else 'FAIL'}  {what}: {said}" for what, ok, said in found))
             return 0 if all(ok for _, ok, _ in found) else TOOL_ERROR
         spark = SparkSession.builder.appName("buildproof").getOrCreate()
+        tables = {}
         for one in args.table:
             name, _, path = one.partition("=")
-            spark.read.parquet(path).createOrReplaceTempView(name)
+            tables[name] = spark.read.parquet(path)
+            if "." not in name:
+                tables[name].createOrReplaceTempView(name)
         if args.command == "parity":
-            found = compare_metrics(measure(spark.table(args.old)), measure(spark.table(args.new)), ["row_count", "sum", "min", "max"], args.tolerance).collect()
+            found = compare_metrics(measure(read_object(spark, args.old, tables)), measure(read_object(spark, args.new, tables)), ["row_count", "sum", "min", "max"], args.tolerance).collect()
             print(json.dumps([r.asDict() for r in found], indent=2))
             return 2 if any(r.breach for r in found) else 0
         if args.command == "estate":
-            estate = run_estate(spark, load_manifest(args.workbooks, args.map), BaselineStore(spark, args.store), args.mode, swapped=args.swapped, identity=args.identity)
+            estate = run_estate(spark, estate_of(args.workbooks, args.map), BaselineStore(spark, args.store), args.mode, swapped=args.swapped, identity=args.identity, tables=tables)
             print({"json": estate_as_json, "junit": estate_as_junit, "html": estate_as_html}[args.format](estate))
             return EXIT_CODES[estate.verdict]
         if args.command == "lineage":
@@ -125,7 +129,7 @@ def main(argv=None) -> int:
         store = BaselineStore(spark, args.store)
         name = getattr(args, "name", None) or getattr(args, "baseline", None) or canonical_name(build.name or Path(args.script).stem)
         if args.command == "baseline":
-            print(json.dumps(store.save(name, build.result), indent=2))
+            print(json.dumps(store.save(name, build.result, tree=True, keys=args.key), indent=2))
             return 0
         specs = [Spec(**s) for s in json.loads(Path(args.checks).read_text())] if args.checks else []
         rules = ruleset.load(args.ruleset, ruleset.read_pin(args.pin) if args.pin else None) if args.ruleset else ruleset.Ruleset("none")
@@ -142,7 +146,7 @@ def main(argv=None) -> int:
         workbooks = read_workbooks(spark, args.workbooks) if args.workbooks else None
         baseline = store.load(name) if store.exists(name) else None
         shown = rules.defaults
-        context = Context(build.result, baseline=baseline, as_of=args.as_of, queries=tuple(build.queries), workbooks=workbooks, migrated=migrated, evidence_rows=shown.evidence_sample_rows, aggregate_only=shown.aggregate_only, pii_names=rules.pii_column_patterns, redact=shown.redact_pii)
+        context = Context(build.result, baseline=baseline, kept=(store, name) if baseline is not None else None, as_of=args.as_of, queries=tuple(build.queries), workbooks=workbooks, migrated=migrated, evidence_rows=shown.evidence_sample_rows, aggregate_only=shown.aggregate_only, pii_names=rules.pii_column_patterns, redact=shown.redact_pii)
         with limited(spark, f"check-{name}", shown.statement_timeout_s * max(len(specs), 1) if args.ruleset else None):
             run = run_checks(context, specs)
         if args.audit:

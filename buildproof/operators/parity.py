@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .assertions import named
-from .regression import exact_sum
+from .regression import exact_sum, no_numbers
 
 NULL_MARK = "∅"
 EPSILON = 1e-9
+#: A difference of texts of digits is never less than this.
+LEAST = 1e-38
 
 
 def type_category(kind: T.DataType) -> str:
@@ -36,6 +38,19 @@ def renamed(df: DataFrame, legacy_names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(legacy_names))
 
 
+def spelled(names: Iterable[str], columns: Sequence[str]) -> list[str]:
+    """The names as `columns` spells them; one that it lacks, or has in two spellings, stays as it is."""
+    known: dict[str, list[str]] = {}
+    for c in columns:
+        known.setdefault(c.upper(), []).append(c)
+    return [n if n in columns else known[n.upper()][0] if len(known.get(n.upper(), ())) == 1 else n for n in names]
+
+
+def respelled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with its columns under the spelling of `columns` where they differ by case alone, as they do after most migrations."""
+    return df.toDF(*spelled(df.columns, columns))
+
+
 def key_text(df: DataFrame, column: str) -> Column:
     """A value as text that doesn't depend on its numeric type: integral numbers without a point, null as a mark."""
     c, kind = named(column), df.schema[column].dataType
@@ -47,32 +62,52 @@ def key_text(df: DataFrame, column: str) -> Column:
     return F.coalesce(text, F.lit(NULL_MARK))
 
 
+#: What a sum, minimum or maximum of these is, to the last digit.
+EXACT = "decimal(38,{0})"
+
+
+def _exactly(df: DataFrame, name: str) -> dict[str, Column]:
+    """Sum, minimum and maximum of an integer or decimal column as text, which keeps the digits that a double loses; none of other columns."""
+    kind, c = df.schema[name].dataType, named(name)
+    if isinstance(kind, T.IntegralType) or isinstance(kind, T.DecimalType):
+        exact = EXACT.format(getattr(kind, "scale", 0))
+        return {"sum": F.try_sum(c.cast(exact)).cast("string"), "min": F.min(c).cast("string"), "max": F.max(c).cast("string")}
+    return {}
+
+
 def measure(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """kind, col_name, value: rows; per column nulls; per numeric column sum, min, max; per key distinct values.
+    """kind, col_name, value, exact: rows; per column nulls; per numeric column sum, min, max and, for floats, NaN and infinities; per key distinct values.
 
-    All but the distinct values come from one pass; these would multiply the rows of a shared pass, so
-    each has its own, with partial counts of its own.
+    value is a double; exact, where a column's type has more digits than that, the same as text. All come from one scan: rows are expanded once for
+    each key and grouped by its values before the shuffle, beside one row a task for all other metrics.
     """
-    made: list[tuple[str, str, Column]] = [("row_count", "", F.count(F.lit(1)))]
+    made: list[tuple[str, str, Column, Column | None]] = [("row_count", "", F.count(F.lit(1)), None)]
     for f in df.schema:
-        made.append(("null_count", f.name, F.count_if(named(f.name).isNull())))
+        made.append(("null_count", f.name, F.count_if(named(f.name).isNull()), None))
         if isinstance(f.dataType, T.NumericType):
-            made += [("sum", f.name, exact_sum(df, f.name)), ("min", f.name, F.min(named(f.name))), ("max", f.name, F.max(named(f.name)))]
-    one = df.agg(*[c.cast("double").alias(f"m{k}") for k, (_, _, c) in enumerate(made)])
-    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("col_name"), F.col(f"m{k}").alias("value")) for k, (kind, name, _) in enumerate(made)])
-    out = one.select(F.explode(rows).alias("x")).select("x.*")
-    for key in keys:
-        out = out.union(df.agg(F.count_distinct(named(key)).cast("double").alias("value")).select(F.lit("distinct").alias("kind"), F.lit(key).alias("col_name"), "value"))
-    return out
+            exact = _exactly(df, f.name)
+            made += [(kind, f.name, c, exact.get(kind)) for kind, c in (("sum", exact_sum(df, f.name)), ("min", F.min(named(f.name))), ("max", F.max(named(f.name))))]
+            made += [(kind, f.name, c, None) for kind, c in no_numbers(df, f.name).items()]
+    made += [("distinct", k, F.count_distinct(named(k)), None) for k in keys]
+    columns = [c for k, (_, _, value, exact) in enumerate(made) for c in (value.cast("double").alias(f"m{k}"), (F.lit(None).cast("string") if exact is None else exact).alias(f"x{k}"))]
+    one = df.agg(*columns)
+    rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("col_name"), F.col(f"m{k}").alias("value"), F.col(f"x{k}").alias("exact")) for k, (kind, name, _, _) in enumerate(made)])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def compare_metrics(old: DataFrame, new: DataFrame, kinds: Sequence[str], tolerance: float) -> DataFrame:
-    """kind, col_name, old_value, new_value, diff of metrics of both sides; breach tells what exceeds the tolerance. Unmeasured ones are left out."""
-    left = old.filter(F.col("kind").isin(*kinds)).select("kind", "col_name", F.col("value").alias("old_value"))
-    right = new.select("kind", "col_name", F.col("value").alias("new_value"))
-    both = left.join(right, ["kind", "col_name"]).filter("old_value is not null and new_value is not null")
-    diff = relative_difference(F.col("new_value"), F.col("old_value"))
-    return both.withColumn("diff", diff).withColumn("breach", F.col("diff") > tolerance)
+    """kind, col_name, old_value, new_value, diff of metrics of both sides; breach tells what exceeds the tolerance. Unmeasured ones are left out.
+
+    Columns are the same whatever the case of their names. Where both sides know all digits, the difference is that of all digits.
+    """
+    exact = lambda df: F.col("exact") if "exact" in df.columns else F.lit(None).cast("string")
+    left = old.filter(F.col("kind").isin(*kinds)).select("kind", "col_name", F.upper("col_name").alias("_name"), F.col("value").alias("old_value"), exact(old).alias("_old"))
+    right = new.select("kind", F.upper("col_name").alias("_name"), F.col("value").alias("new_value"), exact(new).alias("_new"))
+    both = left.join(right, ["kind", "_name"]).filter("old_value is not null and new_value is not null")
+    gaps = [F.abs(F.col("_new").try_cast(EXACT.format(s)) - F.col("_old").try_cast(EXACT.format(s))).cast("double") for s in (30, 20, 10, 0)]  # as many digits as both have room for
+    by_digits = F.greatest(F.coalesce(*gaps), F.lit(LEAST)) / F.greatest(F.abs(F.col("old_value")), F.lit(EPSILON))
+    diff = F.when(F.col("_old") == F.col("_new"), F.lit(0.0)).when(F.coalesce(*gaps).isNotNull(), by_digits).otherwise(relative_difference(F.col("new_value"), F.col("old_value")))
+    return both.select("kind", "col_name", "old_value", "new_value", diff.alias("diff")).withColumn("breach", F.col("diff") > tolerance)
 
 
 def compare_nulls(old: DataFrame, new: DataFrame, tolerance: float) -> DataFrame:
@@ -124,7 +159,7 @@ def compare_grain(old: DataFrame, new: DataFrame, grain: Sequence[str], toleranc
 def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
     """A hash that tells nulls from values and moved values from kept ones, the same for all types of a category."""
     parts: list[Column] = []
-    for name in sorted(columns):
+    for name in sorted(columns, key=lambda c: (c.upper(), c)):
         kind, c = df.schema[name].dataType, named(name)
         if isinstance(kind, T.IntegralType) or (isinstance(kind, T.DecimalType) and kind.scale == 0):
             c = c.cast("decimal(38,0)").cast("string")
@@ -145,16 +180,27 @@ def hashed_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | Non
     return df.select(*[key_text(df, k).alias(k) for k in keys], row_hash(df, columns or df.columns).alias("row_hash"))
 
 
-def compare_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys whose rows differ or stand on one side only; all rows are compared, not a window of them.
+def repeated_keys(hashed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of hashed rows that stand there more than once."""
+    return hashed.groupBy(*[named(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
-    Rows of a key that repeats are compared as a whole: what one side has more often is missing or extra, or a
-    mismatch if each side has rows that the other lacks. One signed union and two groupings; no pairs are made.
-    """
-    columns = [c for c in old.columns if c in new.columns]
-    a, b = (hashed_rows(df, keys, columns).withColumn("__side", F.lit(side)) for df, side in ((old, 1), (new, -1)))
+
+def changed_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of hashed rows that differ or stand on one side only, with the state: one signed union and two groupings; no pairs are made."""
     names = [named(k) for k in keys]
+    a, b = (df.withColumn("__side", F.lit(side)) for df, side in ((old, 1), (new, -1)))
     left = a.unionByName(b).groupBy(*names, "row_hash").agg(F.sum("__side").alias("n")).filter("n <> 0")
     both = left.groupBy(*names).agg(F.max("n").alias("most"), F.min("n").alias("least"))
     state = F.when((F.col("most") > 0) & (F.col("least") < 0), "mismatch").when(F.col("most") > 0, "missing").otherwise("extra")
     return both.select(*names, state.alias("state"))
+
+
+def compare_rows(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys whose rows differ or stand on one side only; all rows are compared, not a window of them. Names may differ in case.
+
+    Rows of a key that repeats are compared as a whole: what one side has more often is missing or extra, or a
+    mismatch if each side has rows that the other lacks.
+    """
+    new, keys = respelled(new, old.columns), spelled(keys, old.columns)
+    columns = [c for c in old.columns if c in new.columns]
+    return changed_keys(hashed_rows(old, keys, columns), hashed_rows(new, keys, columns), keys)

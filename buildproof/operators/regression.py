@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegralType, MapType, NumericType
+from pyspark.sql.types import DecimalType, FractionalType, IntegralType, MapType, NumericType
+
+from .assertions import named
 
 ROW_COUNT = "__row_count"
 
@@ -21,7 +23,7 @@ def exact_sum(df: DataFrame, column: str):
     The first holds 12 digits after the point, the second what a double has below them, down to 1e-38. What is not a
     number, or infinite, is left out. If the values are too large for that, it is the plain sum of doubles.
     """
-    kind, c = df.schema[column].dataType, F.col("`" + column.replace("`", "``") + "`")
+    kind, c = df.schema[column].dataType, named(column)
     if isinstance(kind, (IntegralType, DecimalType)):
         return F.sum(c.cast(DecimalType(38, getattr(kind, "scale", 0)))).cast("double")
     c = c.cast("double")
@@ -33,12 +35,26 @@ def exact_sum(df: DataFrame, column: str):
     return F.when((F.count(c) == F.count(low)) & exact.isNotNull(), exact).otherwise(F.sum(c))
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """name, value: the number of rows, and the sum and count of every numeric column, from one pass."""
-    numeric = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+def no_numbers(df: DataFrame, column: str) -> dict[str, Column]:
+    """Counts of NaN and of both infinities of a column of floats, which its sum leaves out; none of other columns."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, FractionalType) or isinstance(kind, DecimalType):
+        return {}
+    c = named(column).cast("double")
+    return {"nan": F.count_if(F.isnan(c)), "inf": F.count_if(c == float("inf")), "-inf": F.count_if(c == float("-inf"))}
+
+
+def fingerprint(df: DataFrame, irregular: bool = False) -> DataFrame:
+    """name, value: the number of rows, and the sum and count of every numeric column, from one pass.
+
+    irregular: how many values are NaN or infinite as well, as the sums leave them out while the counts don't.
+    """
     made = {ROW_COUNT: F.count(F.lit(1)).cast("double")}
-    for c in numeric:
-        made |= {f"sum:{c}": F.coalesce(exact_sum(df, c), F.lit(0.0)), f"count:{c}": F.count(F.col(f"`{c}`")).cast("double")}
+    for f in df.schema:
+        if isinstance(f.dataType, NumericType):
+            made |= {f"sum:{f.name}": F.coalesce(exact_sum(df, f.name), F.lit(0.0)), f"count:{f.name}": F.count(named(f.name)).cast("double")}
+            if irregular:
+                made |= {f"{what}:{f.name}": c.cast("double") for what, c in no_numbers(df, f.name).items()}
     one = df.agg(*[v.alias(f"m{k}") for k, v in enumerate(made.values())])
     rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"m{k}").alias("value")) for k, name in enumerate(made)])
     return one.select(F.explode(rows).alias("x")).select("x.*")
@@ -53,7 +69,7 @@ def fingerprint_breaches(current: DataFrame, baseline: DataFrame, tolerance_pct:
 
 
 def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*[F.array_sort(F.map_entries(c)).alias(c) if isinstance(df.schema[c].dataType, MapType) else F.col(f"`{c}`") for c in columns])
+    return df.select(*[F.array_sort(F.map_entries(named(c))).alias(c) if isinstance(df.schema[c].dataType, MapType) else named(c) for c in columns])
 
 
 def _shared(current: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,8 +95,8 @@ def row_changes(current: DataFrame, baseline: DataFrame) -> DataFrame:
     now, before = _shared(current, baseline)
     columns = now.columns
     signed = now.withColumn("__n", F.lit(1)).unionByName(before.withColumn("__n", F.lit(-1)))
-    found = signed.groupBy(*[f"`{c}`" for c in columns]).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
-    return found.select(F.when(F.col("__n") > 0, "added").otherwise("removed").alias("__change"), F.abs("__n").alias("__times"), *[f"`{c}`" for c in columns])
+    found = signed.groupBy(*[named(c) for c in columns]).agg(F.sum("__n").alias("__n")).filter("__n <> 0")
+    return found.select(F.when(F.col("__n") > 0, "added").otherwise("removed").alias("__change"), F.abs("__n").alias("__times"), *[named(c) for c in columns])
 
 
 def schema_changes(current: DataFrame, baseline: DataFrame) -> tuple[list[str], list[str]]:

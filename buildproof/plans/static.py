@@ -154,18 +154,39 @@ def check(spark: SparkSession, sql: str, deprecated=(), certified=(), sandbox=()
     return list(dict.fromkeys(out))
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog knows a table by exactly this name, whose parts may be schema, or catalog and schema. Names of a catalog that isn't there are unknown."""
+    try:
+        return spark.catalog.tableExists(name)
+    except Exception as error:
+        # an unknown catalog, or more parts than the catalog's names have
+        if getattr(error, "getCondition", lambda: None)() in ("CATALOG_NOT_FOUND", "REQUIRES_SINGLE_PART_NAMESPACE", "SCHEMA_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "IDENTIFIER_TOO_MANY_NAME_PARTS") or "CatalogNotFound" in str(error):
+            return False
+        raise
+
+
 def missing_tables(spark: SparkSession, names: list[str]) -> list[str]:
     """Tables that the catalog doesn't know (S-META-001)."""
-    return [n for n in names if not spark.catalog.tableExists(n)]
+    return [n for n in names if not table_exists(spark, n)]
 
 
 def deprecated_by_comment(spark: SparkSession, names: list[str]) -> list[str]:
     """Tables whose comment says DEPRECATED (S-META-003)."""
-    return [n for n in names if spark.catalog.tableExists(n) and "DEPRECATED" in (spark.catalog.getTable(n).description or "").upper()]
+    return [n for n in names if table_exists(spark, n) and "DEPRECATED" in (spark.catalog.getTable(n).description or "").upper()]
+
+
+def _family(kind_name: str) -> str:
+    for family, pattern in (("number", r"tinyint|smallint|int|bigint|float|double|decimal"), ("datetime", "date|timestamp"), ("semistructured", "array|map|struct|variant")):
+        if re.match(pattern, kind_name):
+            return family
+    return kind_name
 
 
 def mismatched_keys(spark: SparkSession, sql: str) -> list[tuple[str, str, str]]:
-    """(condition, type, type) of equi-joins whose sides differ in kind once the casts that analysis adds are taken off (S-META-002)."""
+    """(condition, type, type) of equi-joins whose sides differ in kind once the casts that analysis adds are taken off (S-META-002).
+
+    A condition may stand at the join or, for tables joined by comma, in a WHERE above it.
+    """
     plan = spark.sql(sql)._jdf.queryExecution().analyzed()
     out = []
 
@@ -174,15 +195,28 @@ def mismatched_keys(spark: SparkSession, sql: str) -> list[tuple[str, str, str]]
             e = e.child()
         return e
 
-    family = lambda t: "number" if re.match(r"tinyint|smallint|int|bigint|float|double|decimal", t) else "datetime" if re.match("date|timestamp", t) else "semistructured" if re.match("array|map|struct|variant", t) else t
+    def ties(a, b, node) -> bool:
+        """Whether some join at or below a node has one expression on either side."""
+        stack = [node]
+        while stack:
+            n = stack.pop()
+            if kind(n) == "Join":
+                left, right = n.left().outputSet(), n.right().outputSet()
+                if any(not x.references().isEmpty() and x.references().subsetOf(left) and not y.references().isEmpty() and y.references().subsetOf(right) for x, y in ((a, b), (b, a))):
+                    return True
+            if kind(n) in ("Join", "Filter", "SubqueryAlias"):
+                stack += inputs(n)
+        return False
+
     stack = [plan]
     while stack:
         node = stack.pop()
-        if kind(node) == "Join" and not node.condition().isEmpty():
-            for e in _inside(node.condition().get()):
-                if kind(e) == "EqualTo":
-                    a, b = (bare(s).dataType().simpleString() for s in (e.left(), e.right()))
-                    if family(a) != family(b):
-                        out.append((e.sql(), a, b))
+        condition = node.condition().get() if kind(node) == "Join" and not node.condition().isEmpty() else node.condition() if kind(node) == "Filter" else None
+        for e in _inside(condition) if condition is not None else ():
+            if kind(e) == "EqualTo":
+                sides = [bare(s) for s in (e.left(), e.right())]
+                a, b = (s.dataType().simpleString() for s in sides)
+                if _family(a) != _family(b) and (kind(node) == "Join" or ties(*sides, node.child())):
+                    out.append((e.sql(), a, b))
         stack += inputs(node)
     return out

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from buildproof.checks import audit, ruleset
-from buildproof.checks.estate import Listed, load_manifest, run_estate, run_parity
+from buildproof.checks.estate import Listed, estate_of, run_estate, run_parity
 from buildproof.checks.limits import TimedOut, limited, read_capped
 from buildproof.checks.registry import Context
 from buildproof.checks.report import estate_as_html, estate_as_json, estate_as_junit
@@ -139,17 +139,18 @@ def test_estate_runs_both_phases(spark, tmp_path):
     for name, new in (("good", "estate_new"), ("bad", "estate_bad")):
         (tmp_path / f"{name}.yml").write_text(f"version: 1\nobjects:\n  - {{old: DB.S.estate_old, new: N.S.{new}, keys: [k], grain: [g]}}\n")
     (tmp_path / "estate.yml").write_text("version: 1\nworkbooks:\n  - {path: good.twb, map: good.yml}\n  - {path: bad.twb, map: bad.yml}\n  - {path: gone.twb}\n")
-    store, listed = BaselineStore(spark, str(tmp_path / "store")), load_manifest(str(tmp_path / "estate.yml"))
-    estate = run_estate(spark, listed, store)
+    store, listed = BaselineStore(spark, str(tmp_path / "store")), estate_of(str(tmp_path / "estate.yml"))
+    tables = {"DB.S.ESTATE_OLD": spark.table("estate_old"), "n.s.estate_new": spark.table("estate_new"), "N.S.estate_bad": spark.table("estate_bad"), "DB.S.estate_new": spark.table("estate_new")}
+    estate = run_estate(spark, listed, store, tables=tables)
     verdicts = {w.path.rsplit("/", 1)[-1]: estate.verdict_of(w.path) for w in estate.workbooks}
     assert verdicts == {"good.twb": "READY", "bad.twb": "BLOCKED", "gone.twb": "BLOCKED"} and estate.verdict == "BLOCKED" and len(estate.errors) == 1
     assert json.loads(estate_as_json(estate))["verdict"] == "BLOCKED" and "M-ROW-001" in estate_as_junit(estate) and "good.twb" in estate_as_html(estate)
-    missing = run_parity(spark, Listed(str(tmp_path / "good.twb"), str(tmp_path / "good.yml"), "other"), store, "check")
+    missing = run_parity(spark, Listed(str(tmp_path / "good.twb"), str(tmp_path / "good.yml"), "other"), store, "check", tables=tables)
     assert {r.id: r.status for r in missing}["M-SNAP-001"] == "FAIL"
     (tmp_path / "swapped").mkdir()
     _workbook(tmp_path / "swapped" / "good.twb", ["estate_new"])
     (tmp_path / "good.yml").write_text("version: 1\nobjects:\n  - {old: DB.S.estate_old, new: DB.S.estate_new, keys: [k], grain: [g]}\n")
-    after = run_parity(spark, Listed(str(tmp_path / "swapped" / "good.twb"), str(tmp_path / "good.yml")), store, "check", swapped=True)
+    after = run_parity(spark, Listed(str(tmp_path / "swapped" / "good.twb"), str(tmp_path / "good.yml")), store, "check", swapped=True, tables=tables)
     assert {r.status for r in after} == {"PASS"} and any(r.id == "M-HASH-001" for r in after)
 
 
@@ -157,16 +158,16 @@ def test_manifests(tmp_path):
     for folder in ("a", "b"):
         (tmp_path / folder).mkdir()
         _workbook(tmp_path / folder / "same.twb", [])
-    assert len(load_manifest(str(tmp_path / "a" / "*.twb"), "m.yml")) == 1
+    assert len(estate_of(str(tmp_path / "a" / "*.twb"), "m.yml")) == 1
     with pytest.raises(ValueError, match="share"):
-        load_manifest(str(tmp_path / "*" / "*.twb"))
+        estate_of(str(tmp_path / "*" / "*.twb"))
     with pytest.raises(ValueError, match="no workbook"):
-        load_manifest(str(tmp_path / "none" / "*.twb"))
+        estate_of(str(tmp_path / "none" / "*.twb"))
     (tmp_path / "m.yml").write_text("version: 1\nworkbooks: [{path: a/same.twb}, {path: b/same.twb, snapshot_prefix: other}]")
-    assert [w.prefix for w in load_manifest(str(tmp_path / "m.yml"))] == ["same", "other"]
+    assert [w.prefix for w in estate_of(str(tmp_path / "m.yml"))] == ["same", "other"]
     (tmp_path / "m.yml").write_text("version: 1\nworkbooks: [{path: a/same.twb, snapshot_prefix: ../x}]")
     with pytest.raises(ValueError):
-        load_manifest(str(tmp_path / "m.yml"))
+        estate_of(str(tmp_path / "m.yml"))
 
 
 def test_names_after_the_swap():
