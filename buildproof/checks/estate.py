@@ -5,11 +5,13 @@ from __future__ import annotations
 import glob
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import groupby
 from operator import itemgetter
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.catalyst import assert_read_only
@@ -19,6 +21,7 @@ from ..sources import mapping
 from ..sources.baseline import BaselineStore
 from ..sources.workbook import read_workbooks, relations
 from . import migration
+from .limits import limited
 from .ruleset import known_only, read_mapping
 from .verdict import Result, verdict
 
@@ -123,18 +126,23 @@ def _objects(spark: SparkSession, workbook: Listed, parts: DataFrame, swapped: b
     return out, resolution
 
 
-def run_parity(spark: SparkSession, workbook: Listed, store: BaselineStore, mode: str = "run", swapped: bool = False, identity: bool = False, tables: Mapping[str, DataFrame] | None = None) -> list[Result]:
+def run_parity(spark: SparkSession, workbook: Listed, store: BaselineStore, mode: str = "run", swapped: bool = False, identity: bool = False, tables: Mapping[str, DataFrame] | None = None, static_only: bool = False) -> list[Result]:
     """The results of one workbook. snapshot: measure its legacy objects and keep that; check: compare the migrated ones; run: both.
 
     swapped: the workbook names the migrated objects already. tables: objects by their full names, beside those of the catalog. An object
-    without a snapshot fails M-SNAP-001 and is not compared; a migrated one that isn't there fails M-SCHEMA-001.
+    without a snapshot fails M-SNAP-001 and is not compared; a migrated one that isn't there fails M-SCHEMA-001. static_only: sources and map
+    are checked and no table is read; it can't be asked of a run, whose second phase needs what the first one measures.
     """
+    if static_only and mode == "run":
+        raise ValueError("a run of both phases can't be static")
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     parts = read_workbooks(spark, workbook.path)
     out = migration.check_sources(relations(parts))
     objects, resolution = _objects(spark, workbook, parts, swapped, identity, tables)
     out.append(migration.check_map(resolution))
+    if static_only:
+        return out
     if mode in ("snapshot", "run"):
         for o in objects:
             migration.save_snapshot(store, o.snapshot, o.legacy(), o.entry)
@@ -166,21 +174,39 @@ class Estate:
         return "BLOCKED" if found.results is None else verdict(found.results)
 
 
-def run_estate(spark: SparkSession, workbooks: list[Listed], store: BaselineStore, mode: str = "run", **how) -> Estate:
-    """All workbooks in turn. One that breaks off is blocked and stops no other.
+def _phase(spark: SparkSession, work: Listed, store: BaselineStore, phase: str, seconds: float | None, how: Mapping) -> list[Result]:
+    """One workbook in a thread of its own: its jobs share a pool and a tag, by which they are cancelled when time is up."""
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", work.prefix)
+    try:
+        with limited(spark, job_tag(work), seconds):
+            return run_parity(spark, work, store, phase, **how)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
-    In a run of both phases all are measured before any is compared, and one that can't be measured isn't compared.
+
+def job_tag(work: Listed) -> str:
+    """The tag of all jobs of a workbook, for spark.sparkContext.cancelJobsWithTag()."""
+    return f"estate-{work.prefix}"
+
+
+def run_estate(spark: SparkSession, workbooks: list[Listed], store: BaselineStore, mode: str = "run", at_once: int = 1, seconds: float | None = None, **how) -> Estate:
+    """All workbooks, several at once. One that breaks off, takes longer than `seconds` in a phase or is cancelled is blocked and stops no other.
+
+    In a run of both phases all are measured before any is compared, and one that can't be measured isn't compared. With
+    spark.scheduler.mode=FAIR the workbooks share the executors evenly, so that a large one doesn't hold up the small ones.
     """
+    if at_once < 1:
+        raise ValueError("one workbook at once is the least")
     phases = ("snapshot", "check") if mode == "run" else (mode,)
     results: dict[str, list[Result] | None] = {w.path: [] for w in workbooks}
     errors: dict[str, str] = {}
     for phase in phases:
-        for w in workbooks:
-            if results[w.path] is None:
-                continue
-            try:
-                results[w.path] = run_parity(spark, w, store, phase, **how)  # the last phase tells the same and more
-            except Exception as error:
-                results[w.path], errors[w.path] = None, str(error).splitlines()[0][:300]
+        with ThreadPoolExecutor(at_once) as pool:
+            left = {w.path: pool.submit(inheritable_thread_target(spark)(_phase), spark, w, store, phase, seconds, how) for w in workbooks if results[w.path] is not None}
+            for path, done in left.items():
+                try:
+                    results[path] = done.result()  # the last phase tells the same and more
+                except Exception as error:
+                    results[path], errors[path] = None, (str(error).splitlines() or [type(error).__name__])[0][:300]
     found = [migration.Workbook(w.path, results[w.path]) for w in workbooks]
     return Estate(mode, found, *migration.check_estate(found), errors)

@@ -69,6 +69,40 @@ class Context:
         return self.measured[key]
 
 
+#: What kind of value each parameter holds.
+PARAM_KINDS = {
+    **dict.fromkeys(("key", "columns", "allowed", "deprecated", "certified", "sandbox", "raw", "integration"), "list"),
+    **dict.fromkeys(("fk_column", "ref_table", "ref_column", "column", "event_ts_col", "name", "severity", "field_regex"), "str"),
+    **dict.fromkeys(("metric_sql", "source_of_truth_sql", "sql"), "sql"),
+    **dict.fromkeys(("threshold", "tolerance_abs", "tolerance_pct", "sla_hours", "min", "max", "blow_up"), "float"),
+    **dict.fromkeys(("min_rows", "max_rows", "max_bytes", "max_files", "max_filters"), "int"),
+    "need_user_filter": "bool",
+}
+#: Parameters that checks take beside those that they need, by check.
+OPTIONAL = {
+    "D-GRAIN-002": ("min_rows", "max_rows"),
+    "D-NULL-002": ("threshold",),
+    "D-BLANK-001": ("threshold",),
+    "D-RANGE-001": ("min", "max"),
+    "D-DISTINCT-001": ("min", "max"),
+    "D-FRESH-001": ("sla_hours",),
+    "D-RECON-001": ("tolerance_abs", "tolerance_pct"),
+    "D-CUSTOM-001": ("severity",),
+    "R-AGG-001": ("tolerance_pct",),
+    "S-STAT-007": ("deprecated",),
+    "S-STAT-012": ("sandbox",),
+    "S-STAT-013": ("raw",),
+    "S-STAT-015": ("integration",),
+    "S-META-003": ("deprecated",),
+    "S-META-004": ("certified",),
+    "P-COST-001": ("max_bytes", "max_files"),
+    "P-CARD-001": ("blow_up",),
+    "T-SRC-003": ("certified",),
+    "T-NAME-001": ("field_regex",),
+    "T-FILT-001": ("max_filters",),
+    "T-RLS-001": ("need_user_filter",),
+}
+
 #: Hours that a build may be old unless a limit is given.
 SLA_HOURS = 24.0
 
@@ -82,6 +116,17 @@ def register(check: Check) -> Check:
     return check
 
 
+def parameters(check: Check) -> list[dict[str, Any]]:
+    """name, type and required of every parameter of a check, for forms and specs."""
+    needed = [n for n in check.needs if n in PARAM_KINDS]
+    return [{"name": n, "type": PARAM_KINDS[n], "required": n in needed} for n in (*needed, *OPTIONAL.get(check.id, ()))]
+
+
+def catalogue() -> list[dict[str, Any]]:
+    """Every check with its family, severity, what it needs of a run, and its parameters."""
+    return [{"id": c.id, "name": c.name, "family": c.family, "severity": c.severity, "needs": [n for n in c.needs if n not in PARAM_KINDS], "params": parameters(c)} for c in CHECKS.values()]
+
+
 def result(check: Check, status: str, observed: str = "", expected: str = "", severity: str | None = None, **more) -> Result:
     return Result(check.id, check.name, check.family, severity or check.severity, status, observed, expected, **more)
 
@@ -253,11 +298,16 @@ def _deprecated(ctx: Context, params: Params) -> list[tuple[str, str]]:
 
 def _measured(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
     def find(ctx: Context, params: Params) -> list[tuple[str, str]]:
-        from ..plans import performance
+        from ..plans import fanout, performance
 
         facts = ctx.once("facts", lambda: performance.measured(ctx.build))
         status = performance.judge(facts, **{k: params[k] for k in ("max_bytes", "max_files", "blow_up") if k in params})[check]
-        return [(status, ", ".join(f"{k}: {v}" for k, v in facts.items()))]
+        told = ", ".join(f"{k}: {v}" for k, v in facts.items())
+        if check == "P-CARD-001":
+            grown = ctx.once(("joins", params.get("blow_up", 10)), lambda: [j for j in fanout.joins(ctx.build, params.get("blow_up", 10)) if j.growth >= params.get("blow_up", 10)])
+            named = [f"{j.how} join on {j.on or 'nothing'}: {j.left} and {j.right} rows gave {j.out}" + (f", most for key {j.key} with about {j.times} rows" if j.key is not None else "") for j in grown]
+            return [("WARN", n) for n in named] or [(status, told)]
+        return [(status, told)]
 
     return find
 

@@ -139,6 +139,28 @@ def read_pin(path: str | Path) -> str | None:
     return Path(path).read_text(encoding="utf-8").strip() or None if Path(path).exists() else None
 
 
+def write_pin(path: str | Path, version: str) -> None:
+    """Pin a version: the only one that runs naming this file accept."""
+    make({"version": version}, "pin")
+    Path(path).write_text(version + "\n", encoding="utf-8")
+
+
+def pull(source: str | Path, folder: str | Path) -> list[str]:
+    """Copy the rulesets and profiles of a folder, once all of the rulesets can be read; the names of what was copied."""
+    files = sorted(f for f in Path(source).rglob("*") if f.suffix.lower() in (".yml", ".yaml"))
+    if not files:
+        raise ValueError(f"{source} has no rulesets")
+    for f in files:
+        raw = read_mapping(f)
+        if "version" in raw:  # a profile has none
+            make(raw, str(f))
+    for f in files:
+        to = Path(folder) / f.relative_to(source)
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_bytes(f.read_bytes())
+    return [str(f.relative_to(source)) for f in files]
+
+
 def overlaid(base: Ruleset, profile: Mapping[str, Any], where: str = "profile") -> Ruleset:
     """The ruleset with a profile on top: defaults, naming, severities and thresholds by field, lists extended, checks replaced by id or added."""
     known_only(profile, ["name", "description", *(f.name for f in fields(Ruleset) if f.name != "version")], where)

@@ -1,22 +1,22 @@
-"""python -m buildproof.cli: check a build, keep a baseline, compare two tables."""
+"""python -m buildproof.cli: check a build, keep baselines, compare tables and the objects of workbooks."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from .checks import audit, ruleset
-from .checks.estate import MODES, estate_of, read_object, run_estate
+from .checks.estate import MODES, Listed, estate_of, read_object, run_estate, run_parity
 from .checks.limits import limited
-from .checks.registry import CHECKS, Context
+from .checks.registry import CHECKS, Context, catalogue
 from .checks.report import as_html, as_json, as_junit, estate_as_html, estate_as_json, estate_as_junit
-from .checks.runner import Spec, run_checks
-from .checks.verdict import EXIT_CODES, TOOL_ERROR
+from .checks.runner import Run, Spec, run_checks
+from .checks.verdict import EXIT_CODES, TOOL_ERROR, coverage, summary, verdict
 from .operators.parity import compare_metrics, measure
 from .plans.build import fold
 from .plans.lineage import lineage
@@ -24,6 +24,25 @@ from .sources import mapping
 from .sources.baseline import BaselineStore, canonical_name
 from .sources.workbook import read_workbooks
 
+#: The file of the pinned version unless another is named.
+PIN = "ruleset.pin"
+SAMPLES = {
+    "ruleset.yml": """version: "1"
+defaults: {fail_on: REVIEW, evidence_sample_rows: 20}
+checks:
+  - id: D-GRAIN-001
+    params: {key: [id]}
+  - id: D-NULL-002
+    params: {columns: [amount], threshold: 0.01}
+  - id: S-STAT-001
+""",
+    "map.yml": """version: 1
+defaults: {tolerance_pct: 0.01}
+objects:
+  - {old: OLD_DB.SALES.ORDERS, new: NEW_DB.SALES.ORDERS, keys: [order_id], grain: [region]}
+""",
+}
+
 
 def doctor() -> list[tuple[str, bool, str]]:
     """(what, whether it works, what was seen) of the parts that a run needs."""
@@ -68,20 +87,46 @@ def _arguments(argv):
     check.add_argument("--workbooks", help="folder or glob of BI workbooks")
     check.add_argument("--map", help="JSON object map of a migration")
     check.add_argument("--snapshot", help="name of the legacy object's snapshot in the store; needs --map")
-    save = commands.add_parser("baseline", help="keep the result of a build script")
-    save.add_argument("script")
-    save.add_argument("--name")
-    save.add_argument("--key", action="append", default=[], help="a column that the rows are laid out by, so that a changed row touches one leaf")
-    parity = commands.add_parser("parity", help="compare two registered tables")
-    parity.add_argument("old")
-    parity.add_argument("new")
-    parity.add_argument("--tolerance", type=float, default=0.01)
+    kept = commands.add_parser("baseline", help="keep results of build scripts").add_subparsers(dest="action", required=True)
+    for action, what in (("create", "keep a first result"), ("update", "keep a newer result")):
+        save = kept.add_parser(action, help=what)
+        save.add_argument("script")
+        save.add_argument("--name")
+        save.add_argument("--key", action="append", default=[], help="a column that the rows are laid out by, so that a changed row touches one leaf")
+    kept.add_parser("list", help="show what is kept")
+    rules = commands.add_parser("rules", help="pin or fetch rulesets").add_subparsers(dest="action", required=True)
+    pin = rules.add_parser("pin", help="let runs accept one version only")
+    pin.add_argument("version")
+    show = rules.add_parser("show", help="say which version is pinned")
+    for one in (pin, show):
+        one.add_argument("--pin", default=PIN, help="file of the pin")
+    pulled = rules.add_parser("pull", help="copy the rulesets of a checkout")
+    pulled.add_argument("source")
+    pulled.add_argument("folder")
+    start = commands.add_parser("init", help="write a sample ruleset and object map; what is there stays")
+    start.add_argument("folder", nargs="?", default=".")
+    two = commands.add_parser("compare", help="compare the figures of two tables")
+    two.add_argument("old")
+    two.add_argument("new")
+    two.add_argument("--tolerance", type=float, default=0.01)
+    parity = commands.add_parser("parity", help="measure or compare the objects of one workbook")
+    parity.add_argument("mode", choices=MODES)
+    parity.add_argument("workbook")
+    parity.add_argument("--map", help="YAML object map; without it all names stay")
+    parity.add_argument("--prefix", help="what the snapshots are named by, if not by the workbook")
+    parity.add_argument("--swapped", action="store_true", help="the workbook names the migrated objects already")
+    parity.add_argument("--identity", action="store_true", help="objects that the map lacks kept their names")
+    parity.add_argument("--static-only", action="store_true", help="sources and map only, no table is read")
+    parity.add_argument("--ruleset", help="YAML ruleset: severities, checks left out, and the verdict that fails")
+    parity.add_argument("--format", choices=("json", "junit", "html"), default="json")
     estate = commands.add_parser("estate", help="measure or compare the objects of workbooks")
     estate.add_argument("mode", choices=MODES)
     estate.add_argument("workbooks", help="YAML manifest or glob")
     estate.add_argument("--map", help="YAML object map for workbooks without their own")
     estate.add_argument("--swapped", action="store_true", help="the workbooks name the migrated objects already")
     estate.add_argument("--identity", action="store_true", help="objects that the map lacks kept their names")
+    estate.add_argument("--at-once", type=int, default=1, help="workbooks that run at the same time")
+    estate.add_argument("--seconds", type=float, help="time limit of a workbook in a phase")
     estate.add_argument("--format", choices=("json", "junit", "html"), default="json")
     graph = commands.add_parser("lineage", help="show what a query reads and how it is joined")
     graph.add_argument("script")
@@ -89,7 +134,8 @@ def _arguments(argv):
     runs.add_argument("log")
     runs.add_argument("--last", type=int, default=20)
     commands.add_parser("doctor", help="say whether this installation works")
-    commands.add_parser("list", help="list the checks")
+    listed = commands.add_parser("list", help="list the checks")
+    listed.add_argument("--format", choices=("text", "json"), default="text", help="json has the parameters as well")
     return parser.parse_args(argv)
 
 
@@ -97,7 +143,23 @@ def main(argv=None) -> int:
     args = _arguments(argv)
     try:
         if args.command == "list":
-            print("\n".join(f"{c.id}  {c.severity}  {c.name}" for c in CHECKS.values()))
+            print(json.dumps(catalogue(), indent=2) if args.format == "json" else "\n".join(f"{c.id}  {c.severity}  {c.name}" for c in CHECKS.values()))
+            return 0
+        if args.command == "rules":
+            if args.action == "pull":
+                print("\n".join(ruleset.pull(args.source, args.folder)))
+            elif args.action == "pin":
+                ruleset.write_pin(args.pin, args.version)
+            else:
+                print(ruleset.read_pin(args.pin) or "no version is pinned")
+            return 0
+        if args.command == "init":
+            for name, content in SAMPLES.items():
+                at = Path(args.folder) / name
+                at.parent.mkdir(parents=True, exist_ok=True)
+                if not at.exists():
+                    at.write_text(content, encoding="utf-8")
+                    print(at)
             return 0
         if args.command == "doctor":
             found = doctor()
@@ -111,11 +173,19 @@ def main(argv=None) -> int:
             if "." not in name:
                 tables[name].createOrReplaceTempView(name)
         if args.command == "parity":
+            rules = ruleset.load(args.ruleset) if args.ruleset else ruleset.Ruleset("none")
+            results = run_parity(spark, Listed(args.workbook, args.map, args.prefix), BaselineStore(spark, args.store), args.mode, swapped=args.swapped, identity=args.identity, tables=tables, static_only=args.static_only)
+            off = {c.id for c in rules.checks if not c.enabled}
+            results = [replace(r, severity=rules.severity_overrides.get(r.id, r.severity)) for r in results if r.id not in off]
+            run = Run(results, verdict(results), summary(results), coverage(results, ("migration_parity",)))
+            print({"json": as_json, "junit": as_junit, "html": as_html}[args.format](run))
+            return EXIT_CODES[run.verdict] or (1 if args.ruleset and rules.fails(run.verdict) else 0)
+        if args.command == "compare":
             found = compare_metrics(measure(read_object(spark, args.old, tables)), measure(read_object(spark, args.new, tables)), ["row_count", "sum", "min", "max"], args.tolerance).collect()
             print(json.dumps([r.asDict() for r in found], indent=2))
             return 2 if any(r.breach for r in found) else 0
         if args.command == "estate":
-            estate = run_estate(spark, estate_of(args.workbooks, args.map), BaselineStore(spark, args.store), args.mode, swapped=args.swapped, identity=args.identity, tables=tables)
+            estate = run_estate(spark, estate_of(args.workbooks, args.map), BaselineStore(spark, args.store), args.mode, swapped=args.swapped, identity=args.identity, tables=tables, at_once=args.at_once, seconds=args.seconds)
             print({"json": estate_as_json, "junit": estate_as_junit, "html": estate_as_html}[args.format](estate))
             return EXIT_CODES[estate.verdict]
         if args.command == "lineage":
@@ -125,10 +195,15 @@ def main(argv=None) -> int:
         if args.command == "history":
             print("\n".join(r for r in audit.trend(audit.history(spark, args.log), args.last).orderBy("target", "n").toJSON().collect()))
             return 0
+        if args.command == "baseline" and args.action == "list":
+            print("\n".join(f"{r.name}  {r.row_count} rows  {r.created_at}" for r in BaselineStore(spark, args.store).index().orderBy("name").toLocalIterator()) or "no baselines are kept")
+            return 0
         build = fold(spark, Path(args.script).read_text(encoding="utf-8-sig"))
         store = BaselineStore(spark, args.store)
         name = getattr(args, "name", None) or getattr(args, "baseline", None) or canonical_name(build.name or Path(args.script).stem)
         if args.command == "baseline":
+            if store.exists(name) != (args.action == "update"):
+                raise ValueError(f"there is {'no' if args.action == 'update' else 'already a'} baseline {name}")
             print(json.dumps(store.save(name, build.result, tree=True, keys=args.key), indent=2))
             return 0
         specs = [Spec(**s) for s in json.loads(Path(args.checks).read_text())] if args.checks else []

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalyst import READ_NODES, assert_read_only, kind, parse, walk
+from .catalyst import READ_NODES, NotReadOnly, assert_read_only, kind, parse, walk
 
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;", re.S)
 _CREATE = re.compile(r"\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:GLOBAL\s+|TEMP(?:ORARY)?\s+|TRANSIENT\s+)*(?:VIEW|TABLE)\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`\"]+)\s*(?:\([^)]*\)\s*)?(?:USING\s+\w+\s+)?AS\s+(.*)\Z", re.I | re.S)
@@ -69,6 +69,22 @@ def fold(spark: SparkSession, script: str) -> Build:
     return found
 
 
+def created(spark: SparkSession, script: str) -> list[tuple[str | None, str]]:
+    """(name, query) of what a script creates, in order, and its other reads without a name. Nothing is run or registered; other statements are left out."""
+    out: list[tuple[str | None, str]] = []
+    for statement in statements(script):
+        body = _TOKEN.sub(lambda m: " " if m.group().startswith(("--", "/*")) else m.group(), statement)
+        made = _CREATE.match(body)
+        try:
+            assert_read_only(spark, made[2] if made else body)
+        except NotReadOnly:
+            if made:
+                raise
+            continue
+        out.append((re.sub(r'[`"]', "", made[1]), made[2]) if made else (None, body))
+    return out
+
+
 def roles(df: DataFrame) -> dict[str, str]:
     """A role for columns whose names suggest one: key, amount, and at most one timestamp."""
     out: dict[str, str] = {}
