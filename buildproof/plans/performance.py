@@ -25,6 +25,11 @@ def _nodes(df: DataFrame):
         stack += items(node.children())
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under a plan of its own, whose metrics start at zero."""
+    return df.alias("measured")
+
+
 def measured(df: DataFrame) -> dict[str, int]:
     """Run a build once, and take rows, bytes read and bytes spilled from its own metrics."""
     df._jdf.queryExecution().toRdd().count()
