@@ -20,6 +20,9 @@ END_ID = 2
 #: Phases of the multiplicative weights method and prices asked in each, how fast a length that lags behind gains
 #: weight, how much more a long piece is worth than its tokens, and how often what rounding leaves is solved again.
 PHASES, ASKED, RATE, POWER, ROUNDS = 2, 24, 0.5, 1.15, 4
+#: Of the covering program: turns of pricing at most, and turns without progress; steps of the weights in each and their size; the share of the bound
+#: that is near enough; and how often what rounding leaves is packed by the program again.
+TURNS, PATIENCE, STEPS, STEP, GAP, AGAIN = 40, 5, 150, 0.4, 0.001, 3
 #: Texts that the library encodes itself: those with white space beyond ASCII, with separators that some tables
 #: count as white space, with what may be a special token of the file, or with very long words.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -215,12 +218,11 @@ def _rounded(lengths: np.ndarray, uses: dict[tuple[int, ...], float], left: dict
     return out
 
 
-def configure(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences for a histogram of lengths: (lengths in order, number of such sequences).
+def _full_first(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences for a histogram: full ones by program() as often as they can be had, the other pieces best fit, longest first.
 
-    The configuration program is solved and its uses are rounded; the pieces that rounding leaves are a smaller
-    program, solved in turn. What fills no sequence after that is filled best fit, longest first. If best fit
-    does better with the pieces of the last programs than these did, they are undone, but never the first.
+    What rounding leaves is a smaller program, solved in turn. If best fit does better with the pieces of the last programs than these did, they are undone.
+    Where lengths fill sequences exactly there is little to gain after this; elsewhere it is where cover() starts.
     """
     left = dict(counts)
     whole = [((size,), left.pop(size))] if size in left else []
@@ -231,7 +233,6 @@ def configure(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[
         if not found:
             break
         rounds.append(found)
-    used = lambda some: sum(n for _, n in some)
     best = None
     for kept in range(len(rounds), min(len(rounds), 1) - 1, -1):
         rest = {k: n for k, n in left.items() if n}
@@ -239,11 +240,115 @@ def configure(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[
             for k in held:
                 rest[k] = rest.get(k, 0) + n
         made = [*whole, *(x for found in rounds[:kept] for x in found), *fill(rest, size)]
-        if best is None or used(made) < used(best):
+        if best is None or _used(made) < _used(best):
             best = made
     return best
 
 
+def _used(sequences) -> int:
+    return sum(n for _, n in sequences)
+
+
+def _rising(price: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The nearest prices that don't fall with length: a longer piece is never worth less, as it can stand for a shorter one."""
+    runs: list[list[float]] = []
+    for p, w in zip(price, weight):
+        runs.append([p, w, 1])
+        while len(runs) > 1 and runs[-2][0] > runs[-1][0]:
+            p2, w2, n2 = runs.pop()
+            p1, w1, n1 = runs.pop()
+            runs.append([(p1 * w1 + p2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
+    return np.repeat([r[0] for r in runs], [r[2] for r in runs])
+
+
+def cover(counts: dict[int, int], start: list[tuple[tuple[int, ...], int]], size: int = SEQUENCE) -> tuple[np.ndarray, list[tuple[int, ...]], np.ndarray, float, float]:
+    """The configuration program itself: fewest fractional uses of patterns of any fill that hold every length as often as it occurs.
+
+    Returns (lengths, patterns, uses, sequences used, bound); no packing needs fewer sequences than bound. In each turn the
+    knapsack's dynamic program prices patterns: with prices at which the dearest pattern is worth 1, all pieces together are worth no more than the fewest sequences,
+    which is the bound; and for each length the dearest pattern that holds it joins the known ones. Then both sides move by multiplicative weights, each step taken at the point
+    where a first one would lead: uses grow where a pattern is worth over 1, prices where a length is held too seldom; the second half of the steps is averaged.
+    It ends when uses and bound are within GAP of each other, or nothing has got better for some turns.
+    """
+    lengths = np.array(sorted(counts), np.int64)
+    need, at, m = np.array([counts[int(k)] for k in lengths], float), {int(k): i for i, k in enumerate(lengths)}, len(lengths)
+    known: dict[tuple[int, ...], float] = defaultdict(float)
+    for held, n in start:
+        known[tuple(sorted(at[k] for k in held))] += n
+    patterns, price, bound, better = list(known), lengths / size, 0.0, 0
+    uses = np.array([known[p] for p in patterns])
+    least, kept = float(uses.sum()), dict(zip(patterns, uses))
+    for turn in range(TURNS):
+        price = _rising(price, need)
+        taken = best_values(price, lengths, size)
+        worth = float(price[best_pattern(taken, lengths, size)].sum())
+        bound, price = max(bound, float(need @ price) / worth), price / worth
+        if least <= max(bound * (1 + GAP), np.ceil(bound - 1e-6)) or turn - better > PATIENCE:
+            break
+        there = set(patterns)
+        for i in range(m):
+            pattern = tuple(sorted([i, *best_pattern(taken, lengths, size - int(lengths[i]))]))
+            if pattern not in there:
+                there.add(pattern)
+                patterns.append(pattern)
+        which = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+        held = np.concatenate([np.array(p, np.int64) for p in patterns])
+        most, fair = np.zeros(len(patterns)), np.full(len(patterns), np.inf)
+        np.maximum.at(most, which, need[held])
+        np.minimum.at(fair, which, (need / np.bincount(held, minlength=m))[held])
+        now = fair * 0.1
+        now[: len(uses)] = np.maximum(uses, 0.01 * fair[: len(uses)])
+
+        def pull(uses, price):
+            worth, had = np.bincount(which, price[held], len(patterns)), np.bincount(held, uses[which], m)  # noqa: B023
+            return np.exp(STEP * (worth - 1) / np.maximum(worth, 1)), np.exp(STEP * (need - had) / np.maximum(need, had))
+
+        sums, asked = np.zeros(len(patterns)), price
+        total = np.zeros(m)
+        for step in range(STEPS):
+            u, p = pull(now, asked)
+            u, p = pull(np.minimum(now * u, most), asked * p)
+            now, asked = np.minimum(now * u, most), asked * p
+            if step >= STEPS // 2:
+                sums, total = sums + now, total + asked
+        uses, price = sums / (STEPS - STEPS // 2), total / (STEPS - STEPS // 2)
+        short = np.maximum(0, need - np.bincount(held, uses[which], m))
+        found = float(uses.sum() + 1.2 * (short @ lengths) / size)
+        if found < least:
+            least, kept, better = found, dict(zip(patterns, uses)), turn
+        elif found > least * 1.02:  # went astray
+            uses = np.array([kept.get(p, 0.0) for p in patterns])
+        # patterns that are hardly used and not worth it are forgotten
+        alive = (uses > 1e-3) | (np.bincount(which, price[held], len(patterns)) > 0.99)
+        patterns, uses = [p for p, on in zip(patterns, alive) if on], uses[alive]
+    return lengths, list(kept), np.array(list(kept.values())), least, bound
+
+
+def configured(counts: dict[int, int], size: int = SEQUENCE, again: int = AGAIN) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """(sequences, bound) for a histogram of lengths: (lengths in order, number of such sequences), and the number that no packing can go below.
+
+    The program starts from full sequences, or from best fit where that needs fewer. Its uses are rounded down, the pieces that this leaves are packed
+    in the same way, and the result counts unless what it started from is no worse.
+    """
+    left = {k: n for k, n in counts.items() if n}
+    if not left:
+        return [], 0.0
+    start = min((_full_first(left, size), fill(dict(left), size)), key=_used)
+    lengths, patterns, uses, least, bound = cover(left, start, size)
+    if least >= _used(start) * (1 - 1e-4) or not again:
+        return start, bound
+    order = np.argsort(-uses)
+    # the longest piece first: rounding hands on what a pattern loses to the next one with the same longest piece
+    made = _rounded(lengths, {tuple(reversed(patterns[k])): float(uses[k]) for k in order}, left)
+    made += configured(left, size, again - 1)[0]
+    return (made if _used(made) < _used(start) else start), bound
+
+
+def configure(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences for a histogram of lengths: (lengths in order, number of such sequences)."""
+    return configured(counts, size)[0]
+
+
 def _slots(patterns) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: the first rank that each run of slots takes, the first sequence of the run, and the place in it."""
     taken, found, base = defaultdict(int), defaultdict(list), 0

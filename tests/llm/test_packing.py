@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from buildproof.llm.packing import ByteCodec, best_pattern, best_values, configure, fill, pack, piece_bounds, program
+from buildproof.llm.packing import ByteCodec, best_pattern, best_values, configure, configured, fill, pack, piece_bounds, program
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = ["a  b\n\n c\t d ", "  ", "\n\nx", " \xa0 y", "don't  stop'll\r\n\r\nz", "<|endoftext|> hi", "é  日本語　テスト", "", None, "end \n", "x" * 5000, "word " * 30_000, "a\x1fb", "🙂🙂 ok"]
@@ -96,3 +96,66 @@ def test_the_program_places_nearly_all_pieces(times):
         for j in pattern:
             used[int(lengths[j])] += amount
     assert all(used[k] <= n + 1e-6 for k, n in some.items()) and sum(used.values()) >= 0.95 * sum(some.values())
+
+
+def families():
+    rng = np.random.default_rng(12)
+    made = {"as found": {510: 600, 270: 600, 260: 600, 230: 1200}, "one length": {400: 1001}, "halves": {512: 7, 513: 5, 511: 6}, "tiny": {1: 5000, 1023: 3}}
+    for sd in (10, 60, 150):
+        made[f"normal 400 {sd}"] = np.clip(rng.normal(400, sd, 20_000), 1, 1024).astype(int)
+        made[f"normal 300 {sd}"] = np.clip(rng.normal(300, sd, 5_000), 1, 1024).astype(int)
+    for low, high, n in ((200, 700, 5000), (330, 360, 3000), (260, 400, 8000), (100, 500, 2000), (341, 520, 4000), (1, 1024, 6000)):
+        made[f"uniform {low} {high}"] = rng.integers(low, high, n)
+    for seed in range(4):
+        some = np.random.default_rng(seed)
+        made[f"few {seed}"] = {int(k): int(n) for k, n in zip(some.integers(150, 520, 12), some.integers(50, 900, 12))}
+    return {name: c if isinstance(c, dict) else {int(k): int(n) for k, n in Counter(c.tolist()).items()} for name, c in made.items()}
+
+
+def test_the_covering_program_beats_best_fit_and_meets_its_bound():
+    """Lengths that seldom fill a sequence exactly: within half a percent (and a sequence) of what no packing goes below, and mostly fewer than best fit."""
+    beaten = 0
+    for name, counts in families().items():
+        beaten += fewer_than_best_fit(name, counts)
+    assert beaten >= 12
+
+
+def fewer_than_best_fit(name, counts):
+    found, bound = configured(counts)
+    got = Counter()
+    for pattern, n in found:
+        assert sum(pattern) <= 1024 and n > 0
+        for k in pattern:
+            got[k] += n
+    assert got == counts
+    used = sum(n for _, n in found)
+    plain = sum(n for _, n in fill(dict(counts), 1024))
+    assert bound <= used + 1e-6 and used <= plain and used <= bound * 1.005 + 1
+    assert name != "as found" or used == 900
+    return used < plain
+
+
+def test_the_bound_holds_against_brute_force():
+    """Small programs of which the fewest sequences are known by trying all packings."""
+    from functools import lru_cache
+
+    rng = random.Random(4)
+    for _ in range(12):
+        lengths = sorted(rng.sample(range(2, 11), 4))
+        counts = tuple(rng.randint(0, 3) for _ in lengths)
+
+        @lru_cache(None)
+        def fewest(left, room=0):
+            if not any(left):
+                return 0
+            best = 99
+            for i, n in enumerate(left):
+                if n:
+                    after = (*left[:i], n - 1, *left[i + 1 :])
+                    if lengths[i] <= room:  # noqa: B023
+                        best = min(best, fewest(after, room - lengths[i]))  # noqa: B023
+                    best = min(best, 1 + fewest(after, 12 - lengths[i]))  # noqa: B023
+            return best
+
+        found, bound = configured({k: n for k, n in zip(lengths, counts) if n}, 12)
+        assert bound <= fewest(counts) + 1e-9 <= sum(n for _, n in found) + 1e-9 and sum(n for _, n in found) <= fewest(counts) + 1
