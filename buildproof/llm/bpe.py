@@ -231,7 +231,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add decoded, the text that the library's decode() gives for the ids (a column of that name is replaced)."""
+    """Add decoded, the text that the library's decode() gives for the ids (a column of that name is replaced).
+
+    Every row is decoded by itself, so repeated ids and rows are texts of their own and order plays no part; all other columns stay. No ids give an empty text, no rows none.
+    """
     fields = [f for f in encoded.columns if f != "decoded"]
     encoded = encoded.select(*fields)
     at = fields.index("ids")

@@ -6,6 +6,7 @@ import html as entities
 import re
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401, as pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ PASSAGES = frozenset("p blockquote pre li dl dd dt table".split())
 # Element names and naming habits of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 DROPPED = frozenset("aside button canvas dialog embed footer form head iframe input menu nav noscript object option select svg template textarea title audio video".split())
+BOXES = frozenset("address center details div dl fieldset ol section table ul".split())
 INNER = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol tr tbody thead tfoot caption figure figcaption address details summary center".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +39,9 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 
 #: Stands for the page itself among its elements, so that the pages of a host are counted with its subtrees.
 WHOLE = -1
+#: What a hash was made of: a subtree or a telling name, or the slot of a box counted on its host, or on all hosts (under the name EVERYWHERE).
+SUBTREE, SLOT, ANY_SLOT = 0, 1, 2
+EVERYWHERE = "*"
 
 
 class Page:
@@ -47,7 +52,8 @@ class Page:
     an element is inside. runs: (element, text), with element -1 where a block ends.
     """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: bool = True):
+        self.names = names  # whether telling classes and ids count
         self.parent, self.tag, self.dropped, self.hinted, self.guarded, self.holds, self.label = [], [], [], [], [], [], []
         self.runs: list[tuple[int, str]] = []
         self.stack: list[int] = []
@@ -113,8 +119,8 @@ class Page:
         names = f"{found.get('class', '')} {found.get('id', '')}"
         drop = tag in DROPPED or (tag == "header" and not guarded) or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
         own = tag not in CONTENT and tag not in ("html", "body")
-        drop = drop or (own and (bool(_ROLE.match(found.get("role", ""))) or not _NEVER_TEXT.isdisjoint(found.get("class", "").lower().split()) and guarded))
-        hint = own and not drop and bool(_HINT.search(names))
+        drop = drop or (own and (bool(_ROLE.match(found.get("role", ""))) or self.names and not _NEVER_TEXT.isdisjoint(found.get("class", "").lower().split()) and guarded))
+        hint = own and not drop and self.names and bool(_HINT.search(names))
         if tag in BLOCKS or drop or hint:
             self.parent.append(-1 if around is None else around)
             self.tag.append(tag)
@@ -169,6 +175,34 @@ class Page:
         made = [(k, f"\x02{self.label[k]}") for k, hint in enumerate(self.hinted) if hint and not self.holds[k]]
         return [(k, xxhash.xxh64_intdigest(x) - (1 << 63)) for k, x in [(WHOLE, "\x03"), *made]]
 
+    def slots(self) -> list[tuple[int, int]]:
+        """(element, hash of its label) of boxes with a class or id, beside the content: what they hold is masked, so that boxes of changing text are counted too."""
+        import xxhash
+
+        if not self.marked():
+            return []
+        made = [(k, f"\x04{label}") for k, label in enumerate(self.label) if self.tag[k] in BOXES and not (self.guarded[k] or self.holds[k] or self.dropped[k]) and not label.endswith(".")]
+        return [(k, xxhash.xxh64_intdigest(x) - (1 << 63)) for k, x in made]
+
+    def marked(self) -> bool:
+        """Whether an element marks the content."""
+        return any(tag in CONTENT and not drop for tag, drop in zip(self.tag, self.dropped))
+
+    def _boxes(self, slots: set[int]) -> set[int]:
+        """Boxes in recurring slots that go: those beside the content, unless they have more text than all of it."""
+        if not slots or not self.marked():
+            return set()
+        size, content = [0] * len(self.tag), 0
+        for k, text in self.runs:
+            if k >= 0:
+                n = len(text) - text.count(" ")
+                size[k] += n
+                content += n if self.guarded[k] or self.tag[k] in CONTENT else 0
+        for k in range(len(self.tag) - 1, -1, -1):
+            if self.parent[k] >= 0:
+                size[self.parent[k]] += size[k]
+        return {k for k in slots if size[k] <= content}
+
     def hashes(self) -> dict[int, int]:
         """Subtree hash of every element that may belong to a template: outside the content, and not around it."""
         import xxhash
@@ -187,8 +221,8 @@ class Page:
         return out
 
     def _named(self, template: set[int], most: set[int]) -> list[bool]:
-        """Elements that go by kind or name. A telling name counts outside the content where the host has too few pages to count, or where pages of the host have that slot; inside it, where most have."""
-        large = WHOLE in template
+        """Elements that go by kind or name. A telling name counts beside a marked content, and else where the host has too few pages to count, or pages of the host have that slot; inside the content, where most have."""
+        large = WHOLE in template and not self.marked()
         return [d or (h and not self.holds[k] and (k in most if self.guarded[k] else k in template or not large)) for k, (d, h) in enumerate(zip(self.dropped, self.hinted))]
 
     def _spared(self, template: set[int], most: set[int], named: list[bool]) -> set[int]:
@@ -196,7 +230,7 @@ class Page:
 
         The text of a passage counts for the element around it. Those that most pages of the host have are not spared.
         """
-        if any(tag in CONTENT and not drop for tag, drop in zip(self.tag, self.dropped)):
+        if self.marked():
             return set()
         around = set(self.parent)
         passage = [not hint and (tag in PASSAGES or (label == "div." and k not in around)) for k, (tag, label, hint) in enumerate(zip(self.tag, self.label, self.hinted))]
@@ -221,15 +255,16 @@ class Page:
             lost[k] = named[k] or (k in template and k not in out) or (parent >= 0 and lost[parent])
         return out
 
-    def read(self, template: set[int], most: set[int] = frozenset()) -> tuple[str, int]:
+    def read(self, template: set[int], most: set[int] = frozenset(), slots: set[int] = frozenset()) -> tuple[str, int]:
         """The blocks in page order, one a line, without what is dropped or part of the template; and how many subtrees the template took.
 
         template: elements that recur on the host, with WHOLE if it has pages enough to count; most: those of them
-        that stand on most of its pages. The template is taken first; kinds and names are for what it leaves.
+        that stand on most of its pages; slots: boxes whose slot recurs, on the host or on any. These are taken first; kinds and names are for what they leave.
         """
         named = self._named(template, most)
         counted = {k for k in template if k >= 0 and not self.guarded[k]}
         counted -= self._spared(counted, most, named) if counted else set()
+        counted |= self._boxes(slots)
         gone, taken = [], 0
         for k, parent in enumerate(self.parent):
             below = parent >= 0 and gone[parent]
@@ -254,12 +289,14 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id", min_pages: int = MIN_PAGES, names: bool = True) -> DataFrame:
     """__row, id, url, text, n_template of every page; text is empty where nothing is left, and for null html.
 
     n_template: subtrees of the page that the counts removed. Equal pages count once, so a page that was fetched many times is
     no template. A template stands on min_pages pages and on PER_MILLE of each thousand of the host; so does
-    the slot of an element with a telling name, whatever it holds. The counts are partial sums by host and hash, and
+    the slot of an element with a telling name, whatever it holds. On pages with an article or main, a box beside it goes by its class and id, whatever these are and it holds, where such boxes stand
+    beside the content on so many pages of the host, or on min_pages of all hosts, which serves hosts with few pages. Telling names decide only on what no count does; names=False leaves
+    them out. The counts are partial sums by host and hash, and
     what recurs is joined back by both; one host may hold most of the pages. Rows that repeat an id are pages of their
     own, pages without a host count as one host, an empty table gives no rows, other columns are ignored.
     """
@@ -267,23 +304,29 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
 
     def subtrees(batches):
         for b in slices(batches):
-            at, order, digest = [], [], []
+            at, kind, order, digest = [], [], [], []
             for k, source in enumerate(b.column(3).to_pylist()):
-                page = Page(source)
-                for node, h in [*page.labels(), *page.hashes().items()]:
-                    at.append(k)
-                    order.append(node)
-                    digest.append(h)
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(order, pa.int32()), pa.array(digest, pa.int64())], names=[ROW, "host", "page", "node", "subtree"])
+                page = Page(source, names)
+                slots = page.slots()
+                for sort, found in ((SUBTREE, [*page.labels(), *page.hashes().items()]), (SLOT, slots), (ANY_SLOT, slots)):
+                    at += [k] * len(found)
+                    kind += [sort] * len(found)
+                    order += [node for node, _ in found]
+                    digest += [h for _, h in found]
+            at, kind = pa.array(at, pa.int64()), pa.array(kind, pa.int32())
+            host = pa.compute.if_else(pa.compute.equal(kind, ANY_SLOT), EVERYWHERE, b.column(1).take(at))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), host, b.column(2).take(at), kind, pa.array(order, pa.int32()), pa.array(digest, pa.int64())], names=[ROW, "host", "page", "kind", "node", "subtree"])
 
     found = rows.select(ROW, _host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    found = stage(in_tasks(found, subtrees, f"{ROW} {ROW_TYPE}, host string, page long, node int, subtree long"), "subtrees")
+    found = stage(in_tasks(found, subtrees, f"{ROW} {ROW_TYPE}, host string, page long, kind int, node int, subtree long"), "subtrees")
     totals = found.filter(F.col("node") == WHOLE).select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     shared = found.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    shared = shared.join(apart(totals, "host"), "host").filter(F.col("n") * 1000 >= F.col("pages") * PER_MILLE)
-    shared = shared.select("host", "subtree", (F.col("n") * 2 > F.col("pages")).alias("most"))
-    template = found.join(apart(shared, "host", "subtree"), ["host", "subtree"]).groupBy(ROW).agg(F.collect_list("node").alias("template"), F.collect_list(F.when(F.col("most"), F.col("node"))).alias("most"))
+    # the count over all hosts has no total of its own
+    shared = shared.join(apart(totals, "host"), "host", "left").filter(F.col("pages").isNull() | (F.col("n") * 1000 >= F.col("pages") * PER_MILLE))
+    shared = shared.select("host", "subtree", F.coalesce(F.col("n") * 2 > F.col("pages"), F.lit(False)).alias("most"))
+    joined = found.join(apart(shared, "host", "subtree"), ["host", "subtree"])
+    of = lambda condition: F.collect_set(F.when(condition, F.col("node")))
+    template = joined.groupBy(ROW).agg(of(F.col("kind") == SUBTREE).alias("template"), of((F.col("kind") == SUBTREE) & F.col("most")).alias("most"), of(F.col("kind") != SUBTREE).alias("slots"))
 
     def pack(batches):
         import zstandard
@@ -298,11 +341,11 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", id_col: str
 
         grow = zstandard.ZstdDecompressor().decompress
         for b in slices(batches):
-            made = [Page(grow(z).decode()).read(set(t or ()), set(m or ())) for z, t, m in zip(*(c.to_pylist() for c in b.columns[3:6]))]
+            made = [Page(grow(z).decode(), names).read(set(t or ()), set(m or ()), set(x or ())) for z, t, m, x in zip(*(c.to_pylist() for c in b.columns[3:7]))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32())], names=[ROW, "id", "url", "text", "n_template"])
 
     id_type = rows.schema["id"].dataType.simpleString()
     packed = in_tasks(rows, pack, f"{ROW} {ROW_TYPE}, id {id_type}, url string, z binary")  # pages are shuffled whole
     # templates grow with the pages, so they are never broadcast
-    joined = packed.join(template.hint("merge"), ROW, "left").select(ROW, "id", "url", "z", "template", "most")
+    joined = packed.join(template.hint("merge"), ROW, "left").select(ROW, "id", "url", "z", "template", "most", "slots")
     return in_tasks(joined, read, f"{ROW} {ROW_TYPE}, id {id_type}, url string, text string, n_template int")

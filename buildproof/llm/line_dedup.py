@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str, id_col: str, run: int, min_words: i
 
 
 def seeds(found: DataFrame, run: int, min_words: int | None = None) -> DataFrame:
-    """start, len and hash of every window that selected one of these lines: the least match that counts."""
+    """For every line and length: place, the windows that selected it (start and hash each, the least match that counts), and the hash and start of all of them together."""
     n = F.col("len")
     part = lambda c, s: F.slice(c, s - F.col("lo") + 1, n)
     last = F.least(F.col("place"), F.col("lo") + F.size("around") - n)
@@ -63,7 +63,20 @@ def seeds(found: DataFrame, run: int, min_words: int | None = None) -> DataFrame
     mine = lambda s: s + _least_at(part("around", s)) == F.col("place")
     long = lambda s: (n == run) | (F.aggregate(part("words", s), F.lit(0), lambda t, x: t + x) >= min_words) if min_words else F.lit(True)
     each = F.transform(F.filter(starts, lambda s: mine(s) & long(s)), lambda s: F.struct(s.alias("start"), F.xxhash64(part("around", s)).alias("window")))
-    return found.select(ROW, "id", "finger", "len", F.explode(each).alias("x")).select(ROW, "id", "finger", "x.start", "len", "x.window")
+    found = found.withColumn("windows", each).filter(F.size("windows") > 0)
+    first = F.col("windows")[0]["start"]
+    context = F.slice("around", first - F.col("lo") + 1, F.element_at("windows", -1)["start"] - first + n)
+    return found.select(ROW, "id", "finger", "len", first.alias("start"), F.xxhash64(context).alias("window"), "windows")
+
+
+def _matched(keys: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that are a later place of their window, with the first place r0, s0; the other rows). keys: rows without what only the second needs."""
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("start").alias("start"))
+    key = ["finger", "window", "len"]
+    first = keys.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select(*key, F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
+    is_later = F.col("r0").isNotNull() & ((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0")))
+    both = rows.join(apart(first, *key), key, "left")
+    return both.filter(is_later), both.filter(~is_later).select(*rows.columns)
 
 
 def _blocks(docs: DataFrame, text: str, run: int) -> DataFrame:
@@ -74,14 +87,21 @@ def _blocks(docs: DataFrame, text: str, run: int) -> DataFrame:
     return rows.select(ROW, F.explode(each).alias("x")).select(ROW, "x.block", "x.lines")
 
 
+def _seeds(matches: DataFrame) -> DataFrame:
+    """__row, r0, shift, block, block0 and the seeds (start, len) of a diagonal in a pair of blocks. Of matches that touch one is enough: extension finds what the others cover."""
+    pairs = matches.select(ROW, "start", "len", "r0", (F.col("start") - F.col("s0")).alias("shift"), F.floor(F.col("start") / BLOCK).cast("int").alias("block"), F.floor(F.col("s0") / BLOCK).cast("int").alias("block0"))
+    pairs = pairs.groupBy(ROW, "r0", "shift", "block", "block0").agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("seeds"))
+    alone = lambda x, i: (i == 0) | (x["start"] > F.get("seeds", i - 1)["start"] + F.get("seeds", i - 1)["len"])
+    return pairs.withColumn("seeds", F.filter("seeds", alone))
+
+
 def _extended(matches: DataFrame, blocks: DataFrame) -> DataFrame:
     """__row, from, len of the runs of equal lines around matches. matches: __row, start, len, and the earlier place r0, s0.
 
     Matches of one diagonal in a pair of blocks are extended together. The lines are compared again by both hashes;
     a match that does not hold is dropped. What goes beyond a block is found from the matches in the next one.
     """
-    pairs = matches.select(ROW, "start", "len", "r0", (F.col("start") - F.col("s0")).alias("shift"), F.floor(F.col("start") / BLOCK).cast("int").alias("block"), F.floor(F.col("s0") / BLOCK).cast("int").alias("block0"))
-    pairs = pairs.groupBy(ROW, "r0", "shift", "block", "block0").agg(F.collect_set(F.struct("start", "len")).alias("seeds"))
+    pairs = _seeds(matches)
     there = blocks.select(F.col(ROW).alias("r0"), F.col("block").alias("block0"), F.col("lines").alias("lines0"))
     both = pairs.join(blocks, [ROW, "block"]).join(there, ["r0", "block0"])
     at, at0 = F.col("block") * BLOCK, F.col("block0") * BLOCK + F.col("shift")
@@ -105,9 +125,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", r
 
     A stretch of `run` lines, or of fewer with min_words words or more if that is given, goes if it occurred before: in a row of
     smaller id (null last), or of an earlier place, or earlier in the same text. Two equal stretches select
-    the same line, so only lines whose hash is selected twice are looked at; their windows are joined to the first
-    place of each, and the match is extended to the lines before and after it. Counts are partial sums
-    and joins can be split: a line may stand in most documents.
+    the same line, so only lines whose hash is selected twice are looked at. Such a line is joined to the first place where all
+    windows that selected it are the same; where there is none, each window to the first place of its own. One seed of each stretch is
+    extended to the lines before and after it. Counts are partial sums and joins can be split: a line may stand in most documents.
     """
     docs = settled(docs)
     rows = numbered(docs)
@@ -115,13 +135,19 @@ def repeated_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", r
     shared = kept.groupBy("len", "finger").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("len", "finger")
     found = stage(seeds(kept.join(apart(shared, "len", "finger"), ["len", "finger"], "left_semi"), run, min_words), "seeds")
     discard(kept)
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col(ROW).alias("row"), F.col("start").alias("start"))
-    key = ["finger", "window", "len"]
-    first = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").select(*key, F.col("first.row").alias("r0"), F.col("first.start").alias("s0"))
-    later = found.join(apart(first, *key), key).filter((F.col(ROW) != F.col("r0")) | (F.col("start") != F.col("s0")))
+    later, rest = _matched(found.drop("windows"), found)
+    # its first and its last window, as these may begin in two blocks
+    ends = F.array_distinct(F.array(F.col("start"), F.element_at("windows", -1)["start"]))
+    match = [ROW, "start", "len", "r0", "s0"]
+    later = later.select(ROW, "start", "len", "r0", "s0", F.explode(ends).alias("at"))
+    later = later.select(ROW, F.col("at").alias("start"), "len", "r0", (F.col("at") - F.col("start") + F.col("s0")).alias("s0"))
+    # a window whose first place has been matched as a whole has an earlier one, so the others know all first places
+    rest = stage(rest, "rest")
+    single = rest.select(ROW, "id", "finger", "len", F.explode("windows").alias("x")).select(ROW, "id", "finger", "len", "x.*")
+    later = later.unionByName(_matched(single, single)[0].select(*match))
     blocks = stage(_blocks(rows, text, run), "line-blocks")
     spans = stage(_extended(later, blocks), "runs")
-    discard(found, blocks)
+    discard(found, rest, blocks)
     by_row = Window.partitionBy(ROW).orderBy("from", "len")
     end = F.max(F.col("from") + F.col("len")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     fresh = (F.col("from") > end).cast("int")

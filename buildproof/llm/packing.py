@@ -367,7 +367,8 @@ def pack(docs: DataFrame, path: str, text: str = "text", id_col: str = "doc_id",
 
     Only the histogram (at most `size` numbers) reaches the driver. Pieces of one length are numbered without
     bringing them together: by bucket of a hash, with the counts of the buckets before; so any
-    length may hold most of all pieces. A null or empty text is the end id alone; an empty table gives no rows.
+    length may hold most of all pieces. A null or empty text is the end id alone; an empty table gives no rows. Rows that repeat an id are documents of their own,
+    pieces of one length are taken in the order of a hash and then of their rows, and other columns are ignored, whatever their names.
     """
     made = stage(pieces(docs, path, text, id_col, size), "pieces")
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

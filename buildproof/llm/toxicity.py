@@ -152,7 +152,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], text: str = "text", id_col: str = "doc_id", most: int = TRAIN_DOCS) -> Chain | None:
     """A chain learned from labelled documents; None if there are none. At most `most` labels, those whose id hashes lowest, are used.
 
-    categories: name and 0/1 column of labels, in the order of the chain; rows with a null in any are left out.
+    categories: name and 0/1 column of labels, in the order of the chain; rows with a null in any are left out. Labels that repeat an id count as one, positive
+    if any is. Ties of the hash go by id. Other columns of both tables are ignored.
     """
     y = labels.select(F.col(id_col).alias("id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values())]).dropna()
     sample = y.groupBy("id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(categories))]).orderBy(F.xxhash64("id", F.lit(29)), "id").limit(most)
@@ -193,6 +194,10 @@ def score(docs: DataFrame, chain: Chain | None, names: list[str], text: str = "t
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_poor, p_toxic, is_poor, is_toxic: poor quality first, then toxicity given that."""
+    """doc_id, p_poor, p_toxic, is_poor, is_toxic: poor quality first, then toxicity given that.
+
+    One row per row of docs, repeated ids too; a null or empty text is scored as one without words; other columns are ignored, whatever their names. Where no
+    label can be used all probabilities are 0; an empty table gives no rows.
+    """
     categories = {"poor": 1 - F.col("quality"), "toxic": F.col("toxic")}
     return score(docs, train(docs, labels, categories), list(categories)).withColumnRenamed("id", "doc_id")

@@ -98,3 +98,27 @@ def test_counts_alone_find_boilerplate_without_telling_names(spark):
 def test_counts_remove_subtrees_of_the_given_pages(spark):
     found = extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
     assert found.selectExpr("count_if(n_template > 0) > 0.5 * count(*)").first()[0]
+
+
+def test_counts_alone_give_the_text_of_the_given_pages(spark, monkeypatch):
+    """Without telling names the text is that of the whole operator; without the counts of boxes it isn't."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    texts = lambda **how: {r.id: r.text for r in extract(pages, **how).collect()}
+    whole, counted, n = texts(), texts(names=False), pages.count()
+    assert sum(whole[k] != counted[k] for k in whole) <= 0.05 * n
+    uncounted = texts(names=False, min_pages=1 << 40)
+    assert sum(whole[k] != uncounted[k] for k in whole) > 0.3 * n
+
+
+def test_boxes_of_changing_text_go_by_their_slot(spark):
+    """Any class, on a large host, in few of its pages, and on hosts with a page each; what is larger than the content stays."""
+    page = lambda k, beside: f"<body><div class='wrap'><h1 class='title'>Title {k}</h1><main><p>Content of page {k}, some words of it.</p></main>{beside}</div></body>"
+    rows = [(k, f"http://big.example/{k}", page(k, f"<div class='x9'>Thing {k}</div>" if k % 2 else "")) for k in range(900)]
+    rows += [(1000 + k, f"http://big.example/c{k}", page(k, f"<section id=comments><p>Reader {k} says this.</p></section>")) for k in range(4)]
+    rows += [(2000 + k, f"http://host{k}.example/", page(k, f"<ul class='zz'><li>Other page {k}</li></ul>")) for k in range(8)]
+    rows += [(3000 + k, f"http://long{k}.example/", page(k, f"<div class='text'>{'The text itself. ' * 20}{k}</div>")) for k in range(8)]
+    rows += [(4000, "http://once.example/", page(0, "<div class='seen-once'>Stays</div>"))]
+    got = {r.id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in list(range(900)) + [1000 + k for k in range(4)] + [2000 + k for k in range(8)]:
+        assert got[k] == f"Title {k % 1000}\nContent of page {k % 1000}, some words of it.", k
+    assert all("The text itself." in got[3000 + k] for k in range(8)) and got[4000].endswith("\nStays")

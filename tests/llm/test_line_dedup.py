@@ -75,7 +75,8 @@ def test_only_selected_lines_are_joined(spark):
     windows = sum(t.count("\n") - 1 for t in texts)
     assert found.count() < 0.6 * windows
     assert found.select(ROW, "place").distinct().count() == found.count()
-    assert seeds(found, 3).select(ROW, "start").distinct().count() == windows  # no window is without a selected line
+    starts = seeds(found, 3).select(ROW, F.explode("windows.start").alias("start"))
+    assert starts.distinct().count() == windows  # no window is without a selected line
 
 
 def test_matches_are_extended_over_blocks_and_verified(spark):
@@ -92,3 +93,28 @@ def test_matches_are_extended_over_blocks_and_verified(spark):
     # one match is extended to all of its block that agrees; a false one is dropped
     matches = spark.createDataFrame([(ids[2], 100, 3, ids[1], 35), (ids[2], 10, 3, ids[1], 50)], schema)
     assert [(r["from"], r["len"]) for r in _extended(matches, _blocks(rows, "text", 3)).collect()] == [(70, 60)]
+
+
+def test_extension_finds_most_of_a_run(spark, monkeypatch):
+    """One seed for each stretch of a diagonal and block: without extension most repeated lines stay."""
+    from buildproof.llm import line_dedup
+    from buildproof.llm.common import ROW
+
+    rng = random.Random(11)
+    source = [f"line {k} {rng.random()}" for k in range(400)]
+    texts = ["\n".join(source)] + ["\n".join([f"own {d} {k}" for k in range(rng.randint(0, 9))] + source[a : a + 60] + [f"end {d}"] + source[b : b + 5]) for d in range(40) for a, b in [(rng.randint(0, 300), rng.randint(0, 390))]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain(list(enumerate(texts)), 3)
+    assert sorted([tuple(r) for r in drop_repeated_lines(docs).collect()], key=str) == want
+    seeds = []
+
+    def only_seeds(matches, blocks):
+        found = line_dedup._seeds(matches).select(ROW, F.explode("seeds").alias("x")).select(ROW, F.col("x.start").alias("from"), "x.len")
+        seeds.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "_extended", only_seeds)
+    without = drop_repeated_lines(docs).collect()
+    removed, all_ = sum(r.n_removed for r in without), sum(r[3] for r in want)
+    windows = sum(max(0, t.count("\n") - 1) for t in texts)
+    assert removed < 0.5 * all_ and all_ > 2000 and seeds[0] < 0.2 * windows
