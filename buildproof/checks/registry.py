@@ -254,23 +254,15 @@ def _static(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:
     return find
 
 
-def _read_names(ctx: Context) -> list[str]:
-    """Tables that the queries name; those that a query or the script defines itself are left out by the catalog or here."""
-    from ..plans.catalyst import items, kind, parse, walk
+def _resolved(ctx: Context) -> list:
+    """One row for each table that a query names, with what the catalog knows of it."""
+    from ..sources.catalog import of_queries
 
-    out: dict[str, None] = {}
-    for q in ctx.queries:
-        nodes = list(walk(parse(ctx.build.sparkSession, q)))
-        local = {p._1().lower() for n in nodes if kind(n) == "UnresolvedWith" for p in items(n.cteRelations())}
-        names = (".".join(items(n.multipartIdentifier())) for n in nodes if kind(n) == "UnresolvedRelation")
-        out |= {n: None for n in names if n.lower() not in local}
-    return list(out)
+    return ctx.once("references", lambda: of_queries(ctx.build.sparkSession, ctx.queries).orderBy("query", "reference").collect())
 
 
 def _missing(ctx: Context, params: Params) -> list[tuple[str, str]]:
-    from ..plans.static import missing_tables
-
-    return [("FAIL", n) for n in missing_tables(ctx.build.sparkSession, _read_names(ctx))]
+    return [("FAIL", n) for n in dict.fromkeys(r.reference for r in _resolved(ctx) if r.kind is None)]
 
 
 def _mismatched(ctx: Context, params: Params) -> list[tuple[str, str]]:
@@ -289,11 +281,8 @@ def _mismatched(ctx: Context, params: Params) -> list[tuple[str, str]]:
 
 
 def _deprecated(ctx: Context, params: Params) -> list[tuple[str, str]]:
-    from ..plans.static import deprecated_by_comment
-
     listed = {d.lower() for d in params.get("deprecated", ())}
-    names = _read_names(ctx)
-    return [("FAIL", n) for n in dict.fromkeys([*(n for n in names if n.lower() in listed), *deprecated_by_comment(ctx.build.sparkSession, names)])]
+    return [("FAIL", n) for n in dict.fromkeys(r.reference for r in _resolved(ctx) if r.reference.lower() in listed or "DEPRECATED" in (r.comment or "").upper())]
 
 
 def _measured(check: str) -> Callable[[Context, Params], list[tuple[str, str]]]:

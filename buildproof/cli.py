@@ -88,7 +88,7 @@ def _arguments(argv):
     check.add_argument("--map", help="JSON object map of a migration")
     check.add_argument("--snapshot", help="name of the legacy object's snapshot in the store; needs --map")
     kept = commands.add_parser("baseline", help="keep results of build scripts").add_subparsers(dest="action", required=True)
-    for action, what in (("create", "keep a first result"), ("update", "keep a newer result")):
+    for action, what in (("save", "keep a result, the first one or a newer"), ("create", "keep a first result"), ("update", "keep a newer result")):
         save = kept.add_parser(action, help=what)
         save.add_argument("script")
         save.add_argument("--name")
@@ -136,7 +136,15 @@ def _arguments(argv):
     commands.add_parser("doctor", help="say whether this installation works")
     listed = commands.add_parser("list", help="list the checks")
     listed.add_argument("--format", choices=("text", "json"), default="text", help="json has the parameters as well")
-    return parser.parse_args(argv)
+    given, at = list(sys.argv[1:] if argv is None else argv), 0
+    while at < len(given) and given[at].startswith("--"):  # options before the command
+        at += 1 if "=" in given[at] else 2
+    after = given[at + 1] if at + 1 < len(given) else "--help"
+    if given[at : at + 1] == ["baseline"] and after not in ("save", "create", "update", "list", "-h", "--help"):
+        given.insert(at + 1, "save")  # a script alone
+    if given[at : at + 1] == ["parity"] and after not in (*MODES, "-h", "--help"):
+        given[at] = "compare"  # two tables
+    return parser.parse_args(given)
 
 
 def main(argv=None) -> int:
@@ -202,7 +210,7 @@ def main(argv=None) -> int:
         store = BaselineStore(spark, args.store)
         name = getattr(args, "name", None) or getattr(args, "baseline", None) or canonical_name(build.name or Path(args.script).stem)
         if args.command == "baseline":
-            if store.exists(name) != (args.action == "update"):
+            if args.action != "save" and store.exists(name) != (args.action == "update"):
                 raise ValueError(f"there is {'no' if args.action == 'update' else 'already a'} baseline {name}")
             print(json.dumps(store.save(name, build.result, tree=True, keys=args.key), indent=2))
             return 0

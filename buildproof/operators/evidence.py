@@ -6,18 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
 
 from .assertions import named
+from .hashtree import hashable
 
 
 def content_hash(df: DataFrame) -> Column:
     """A hash of a whole row, which neither the order of rows nor their partitions change."""
-    parts: list[Column] = []
-    for f in df.schema:
-        c = named(f.name)
-        parts.append(F.array_sort(F.map_entries(c)) if isinstance(f.dataType, MapType) else c.cast("string") if isinstance(f.dataType, VariantType) else c)
-    return F.xxhash64(F.lit(7), *parts)
+    return F.xxhash64(F.lit(7), *[hashable(df, c) for c in df.columns])
 
 
 def bottom_k(df: DataFrame, k: int, first: Sequence[Column] = (), by: Column | None = None, per: Sequence[str] = ()) -> DataFrame:

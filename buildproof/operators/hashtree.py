@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from .assertions import named
 
@@ -42,13 +42,24 @@ def depth_for(rows: int) -> int:
     return depth
 
 
+def _unhashed(kind: DataType) -> bool:
+    """Whether a type is, or holds, one that has no hash: maps and variants."""
+    if isinstance(kind, StructType):
+        return any(_unhashed(f.dataType) for f in kind.fields)
+    return _unhashed(kind.elementType) if isinstance(kind, ArrayType) else isinstance(kind, (MapType, VariantType))
+
+
+def hashable(df: DataFrame, column: str) -> Column:
+    """The values of a column in a form that has a hash: maps as their sorted entries where those have one, else as JSON text."""
+    kind, c = df.schema[column].dataType, named(column)
+    if isinstance(kind, MapType) and not (_unhashed(kind.keyType) or _unhashed(kind.valueType)):
+        return F.array_sort(F.map_entries(c))
+    return F.to_json(F.struct(c.alias("v"))) if _unhashed(kind) else c
+
+
 def _hash(df: DataFrame, columns: Sequence[str], seed: int) -> Column:
-    """Of values as they are, nulls told apart from values; maps go by their sorted entries. Equal for -0.0 and 0.0, and for all NaN."""
-    parts: list[Column] = [F.lit(seed)]
-    for c in columns:
-        value = F.array_sort(F.map_entries(named(c))) if isinstance(df.schema[c].dataType, MapType) else named(c)
-        parts += [named(c).isNull(), value]
-    return F.xxhash64(*parts)
+    """Of values as they are, nulls told apart from values. Equal for -0.0 and 0.0, and for all NaN."""
+    return F.xxhash64(F.lit(seed), *[x for c in columns for x in (named(c).isNull(), hashable(df, c))])
 
 
 def with_leaf(df: DataFrame, layout: Layout) -> DataFrame:
@@ -57,9 +68,15 @@ def with_leaf(df: DataFrame, layout: Layout) -> DataFrame:
 
 
 def laid_out(df: DataFrame, layout: Layout, parts: int) -> DataFrame:
-    """Rows with leaf and folder, in ranges of leaves: each folder is written by few tasks, and the files of a folder hold their leaves in order."""
+    """Rows with leaf and folder, dealt out by ranges of leaves: each folder is written by few tasks, and each file holds a range of leaves in order.
+
+    Leaves come from a hash, so the ranges are known beforehand and df is computed once. A leaf that holds more than a task should (a key of very many rows) is
+    split by adaptive execution, as the deal is a rebalancing one.
+    """
+    leaves = FANOUT**layout.depth
     leafed = with_leaf(df, layout).withColumn(TOP, F.floor(F.col(LEAF) / layout.folders).cast("int"))
-    return leafed.repartitionByRange(parts, TOP, LEAF, _hash(leafed, layout.columns, 2)).sortWithinPartitions(TOP, LEAF)
+    ranged = leafed.withColumn("__range", F.floor(F.col(LEAF) / max(1, min(layout.folders, leaves // parts))))
+    return ranged.hint("rebalance", parts, F.col("__range")).sortWithinPartitions(TOP, LEAF).drop("__range")
 
 
 def tree(df: DataFrame, layout: Layout) -> DataFrame:

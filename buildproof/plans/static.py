@@ -165,16 +165,6 @@ def table_exists(spark: SparkSession, name: str) -> bool:
         raise
 
 
-def missing_tables(spark: SparkSession, names: list[str]) -> list[str]:
-    """Tables that the catalog doesn't know (S-META-001)."""
-    return [n for n in names if not table_exists(spark, n)]
-
-
-def deprecated_by_comment(spark: SparkSession, names: list[str]) -> list[str]:
-    """Tables whose comment says DEPRECATED (S-META-003)."""
-    return [n for n in names if table_exists(spark, n) and "DEPRECATED" in (spark.catalog.getTable(n).description or "").upper()]
-
-
 def _family(kind_name: str) -> str:
     for family, pattern in (("number", r"tinyint|smallint|int|bigint|float|double|decimal"), ("datetime", "date|timestamp"), ("semistructured", "array|map|struct|variant")):
         if re.match(pattern, kind_name):

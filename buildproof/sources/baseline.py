@@ -71,13 +71,17 @@ class BaselineStore:
     def list_names(self) -> list[str]:
         return [n for n in self._folders(self.root) if not n.startswith(".") and self.exists(n)]
 
-    def save(self, name: str, df: DataFrame, tree: bool = False, keys: Sequence[str] = (), **provenance) -> dict:
-        """A new version. tree: rows are laid out by leaf, with a tree of digests beside them (see operators/hashtree.py); keys choose the leaf, or else the whole row."""
+    def save(self, name: str, df: DataFrame, tree: bool = False, keys: Sequence[str] = (), rows: int | None = None, **provenance) -> dict:
+        """A new version. tree: rows are laid out by leaf, with a tree of digests beside them (see operators/hashtree.py); keys choose the leaf, or else the whole row.
+
+        rows: about how many there are, which the depth of the tree depends on. Unless it is given, the version before tells it, or else they are counted, which computes df once more.
+        """
         now = datetime.now(timezone.utc)
         at, made = self._at(name), f"v{now.strftime(STAMP)}-{uuid.uuid4().hex[:8]}"
         layout = None
         if tree:
-            rows = self.manifest(name)["row_count"] if self.exists(name) else df.count()  # only the depth depends on it
+            if rows is None:
+                rows = self.manifest(name)["row_count"] if self.exists(name) else df.count()
             layout = hashtree.Layout(tuple(df.columns), tuple(keys), hashtree.depth_for(rows))
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             hashtree.laid_out(df, layout, max(parts, min(4096, rows // 1_000_000))).write.partitionBy(hashtree.TOP).parquet(f"{at}/{made}/rows")

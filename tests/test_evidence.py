@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from buildproof.checks.registry import Context
 from buildproof.checks.runner import Spec, run_checks
 from buildproof.operators.evidence import bottom_k, counted
+from buildproof.plans.catalyst import items
 
 
 def test_the_same_rows_under_any_partitioning(spark):
@@ -21,6 +22,12 @@ def test_the_same_rows_under_any_partitioning(spark):
     assert [r.id for r in bottom_k(df, 2, [F.desc("id")]).collect()] == [4999, 4998]
 
 
+def test_rows_with_maps_inside_and_variants(spark):
+    df = spark.range(40).selectExpr("id", "struct(map('k', id) AS m) AS s", "array(map('k', array(id))) AS a", "map(id, map('x', 1)) AS mm", "parse_json(concat('[', id, ']')) AS v")
+    n, rows = counted(df, 3)
+    assert n == 40 and [r.id for r in rows] == [r.id for r in counted(df.repartition(6), 3)[1]]
+
+
 def test_counts_of_few_and_no_rows(spark):
     df = spark.range(30)
     assert counted(df.limit(0), 5) == (0, []) and counted(df.filter("id < 3"), 5)[0] == 3 and counted(df, 0) == (30, [])
@@ -29,14 +36,19 @@ def test_counts_of_few_and_no_rows(spark):
 
 def scans(spark, path, action):
     """How often a folder is scanned by the executions of an action, from their final plans."""
-    store = spark._jsparkSession.sharedState().statusStore()
-    before = store.executionsCount()
-    action()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    found, n = store.executionsList(int(before), 1000), 0
-    for k in range(found.size()):
-        nodes = store.planGraph(found.apply(k).executionId()).allNodes() if found.apply(k).jobs().size() else None
-        n += sum(f"{path}]" in nodes.apply(i).desc() for i in range(nodes.size())) if nodes is not None else 0
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    ids = lambda: [(e.executionId(), e.jobs().size()) for e in items(store.executionsList())]
+    before = max((k for k, _ in ids()), default=-1)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # else paths are cut short in plans
+    try:
+        action()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    bus.waitUntilEmpty(30_000)
+    n = 0
+    for k, jobs in ids():
+        if k > before and jobs:
+            n += sum(f"{path}]" in node.desc() for node in items(store.planGraph(k).allNodes()))
     return n
 
 
