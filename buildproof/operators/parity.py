@@ -78,8 +78,9 @@ def _exactly(df: DataFrame, name: str) -> dict[str, Column]:
 def measure(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """kind, col_name, value, exact: rows; per column nulls; per numeric column sum, min, max and, for floats, NaN and infinities; per key distinct values.
 
-    value is a double; exact, where a column's type has more digits than that, the same as text. All come from one scan: rows are expanded once for
-    each key and grouped by its values before the shuffle, beside one row a task for all other metrics.
+    value is a double; exact, where a column's type has more digits than that, the same as text. All but the
+    distinct values come from one scan, a row a task; those of all keys from a second one of the key columns alone, expanded to (key, value) and counted in two levels, so
+    that no other metric is carried through their shuffle.
     """
     made: list[tuple[str, str, Column, Column | None]] = [("row_count", "", F.count(F.lit(1)), None)]
     for f in df.schema:
@@ -88,11 +89,19 @@ def measure(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             exact = _exactly(df, f.name)
             made += [(kind, f.name, c, exact.get(kind)) for kind, c in (("sum", exact_sum(df, f.name)), ("min", F.min(named(f.name))), ("max", F.max(named(f.name))))]
             made += [(kind, f.name, c, None) for kind, c in no_numbers(df, f.name).items()]
-    made += [("distinct", k, F.count_distinct(named(k)), None) for k in keys]
     columns = [c for k, (_, _, value, exact) in enumerate(made) for c in (value.cast("double").alias(f"m{k}"), (F.lit(None).cast("string") if exact is None else exact).alias(f"x{k}"))]
     one = df.agg(*columns)
     rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("col_name"), F.col(f"m{k}").alias("value"), F.col(f"x{k}").alias("exact")) for k, (kind, name, _, _) in enumerate(made)])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    out = one.select(F.explode(rows).alias("x")).select("x.*")
+    if not keys:
+        return out
+    c_kind = {k: df.schema[k].dataType for k in keys}
+    floating = lambda k: isinstance(c_kind[k], (T.FloatType, T.DoubleType))
+    each = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), (named(k) + 0.0 if floating(k) else named(k)).cast("string").alias("v")) for i, k in enumerate(keys)])
+    counts = df.select(F.explode(each).alias("x")).select("x.*").filter("v is not null").distinct().groupBy("id").count()
+    of = F.element_at(F.array(*[F.lit(k) for k in keys]), (F.col("id") + 1).cast("int"))
+    found = df.sparkSession.range(len(keys)).join(counts, "id", "left")
+    return out.union(found.select(F.lit("distinct").alias("kind"), of.alias("col_name"), F.coalesce("count", F.lit(0)).cast("double").alias("value"), F.lit(None).cast("string").alias("exact")))
 
 
 def compare_metrics(old: DataFrame, new: DataFrame, kinds: Sequence[str], tolerance: float) -> DataFrame:
